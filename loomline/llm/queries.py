@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, topk, url_filter
+from . import exact_dedup, langid, mixing, sentencepiece_bpe, sharding, topk, url_filter
 
 #: The rules that op9's contract states.
 URL_RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
 
 
+#: The tokenizer's file, by its name in the folder of public tokenizers.
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,6 +29,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_rows(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
 
@@ -36,6 +55,6 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_jump_shards, op8_exact_topk, op9_url_filter, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sentencepiece, op5_jump_shards, op8_exact_topk, op9_url_filter, op10_pareto_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
