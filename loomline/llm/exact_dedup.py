@@ -84,13 +84,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     moved = chain.join(roots, "chain").select("pid", "grp", F.col("root.pid").alias("rpid"), F.col("root.grp").alias("rgrp")).distinct()
 
     rows = runs.where("kind = 0").select("doc_id", "text_sha256", "pid", "grp", "head")
-    # Two rows at most for each partition, whatever the input: small enough to broadcast.
-    rows = rows.join(F.broadcast(moved), ["pid", "grp"], "left").select(
-        "doc_id", "text_sha256", F.coalesce("rpid", "pid").alias("gp"), F.coalesce("rgrp", "grp").alias("gg"),
-        (F.col("head") & (F.coalesce("rpid", "pid") == F.col("pid")) & (F.coalesce("rgrp", "grp") == F.col("grp"))).alias("kept"),
+    # Groups are summed up within their partition first: no key has more rows than a partition, whatever is common.
+    local = scratch.stage(rows.groupBy("pid", "grp").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "op1-groups")
+    # Two border groups at most for each partition, whatever the input: small enough to broadcast.
+    across = local.join(F.broadcast(moved), ["pid", "grp"])
+    sums = across.groupBy("rpid", "rgrp").agg(F.min("keep_id").alias("whole_id"), F.sum("group_size").alias("whole_size"))
+    whole = across.join(sums, ["rpid", "rgrp"]).select("pid", "grp", "whole_id", "whole_size", ((F.col("rpid") == F.col("pid")) & (F.col("rgrp") == F.col("grp"))).alias("begins"))
+    groups = local.join(F.broadcast(whole), ["pid", "grp"], "left").select(
+        "pid", "grp", F.when(F.col("whole_size").isNull(), F.col("keep_id")).otherwise(F.col("whole_id")).alias("keep_id"),
+        F.coalesce("whole_size", "group_size").alias("group_size"), F.coalesce("begins", F.lit(True)).alias("begins"),
     )
-    sizes = rows.groupBy("gp", "gg").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(sizes, ["gp", "gg"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return rows.join(groups, ["pid", "grp"]).select("doc_id", "keep_id", "group_size", (F.col("head") & F.col("begins")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
