@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, sentencepiece_bpe, sharding, topk, url_filter
+from . import exact_dedup, langid, mixing, near_dedup, sentencepiece_bpe, sharding, topk, url_filter
 
 #: The rules that op9's contract states.
 URL_RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
@@ -38,6 +38,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_rows(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
 
@@ -55,6 +59,6 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sentencepiece, op5_jump_shards, op8_exact_topk, op9_url_filter, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sentencepiece, op4_near_dedup, op5_jump_shards, op8_exact_topk, op9_url_filter, op10_pareto_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
