@@ -31,10 +31,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Coordinates are BANDS * ROWS; a pair at exactly 0.75 misses all bands with probability 5e-6.
 BANDS, ROWS = 32, 4
-#: In blocks, pairs are taken to the full sets if so many of 128 coordinates agree; at 0.75 fewer do with probability below 1e-9.
-AGREE = 64
+#: In blocks, pairs are taken to the full sets if so many of 128 coordinates agree; at 0.75 fewer do with probability 1e-7.
+AGREE = 70
 #: Nodes of a bucket that are compared as one block with another.
-BLOCK = 1_000
+BLOCK = 500
 #: Shingles whose coordinates are made together, and words that a worker remembers.
 TOGETHER, REMEMBERED = 1 << 16, 500_000
 
@@ -176,41 +176,102 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare(nodes: list[bytes], roots: list[bytes], sigs: np.ndarray, sizes: np.ndarray, sides: np.ndarray, same: bool) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of nodes of different components whose signatures agree enough; with two blocks, pairs across them."""
-    label = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-    comp = np.array([label[r] for r in roots])
-    for i in np.arange(len(nodes)) if same else np.flatnonzero(sides == 0):
-        others = np.arange(i + 1, len(nodes)) if same else np.flatnonzero(sides == 1)
-        others = others[(comp[others] != comp[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= PERCENT * np.maximum(sizes[others], sizes[i]))]
+_ROW = ("bucket", "low", "high", "side", "band", "node", "root", "n_shingles", "sig")
+
+
+def _candidates(lines: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    """Places of two rows of a group, and how many coordinates they share, where the full sets must decide.
+
+    The two lie in different components and in different blocks (or the same,
+    if the group has one), sizes and signatures allow a link, and this bucket
+    is that of the first band that they share, so that no pair comes twice.
+    """
+    _, low, high, _, band = lines[0][:5]
+    label = {r: i for i, r in enumerate(dict.fromkeys(line[6] for line in lines))}
+    root = np.array([label[line[6]] for line in lines])
+    side, size = np.array([line[3] for line in lines]), np.array([line[7] for line in lines])
+    sigs = np.frombuffer(b"".join(line[8] for line in lines), np.uint16).reshape(len(lines), -1)
+    place = np.arange(len(lines))
+    for i in place if low == high else place[side == 0]:
+        others = place[i + 1 :] if low == high else place[side == 1]
+        others = others[(root[others] != root[i]) & (100 * np.minimum(size[others], size[i]) >= PERCENT * np.maximum(size[others], size[i]))]
         if len(others):
-            for j in others[(sigs[others] == sigs[i]).sum(axis=1) >= AGREE]:
-                yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
+            same = sigs[others] == sigs[i]
+            agree = same.sum(axis=1)
+            near = agree >= AGREE
+            first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            for j, n in zip(others[near][first].tolist(), agree[near][first].tolist(), strict=True):
+                yield int(i), j, n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare the sorted rows of one (bucket, block, block) after the other; a group has two blocks at most."""
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Sorted rows of one (bucket, block, block) after the other; a group has two blocks at most."""
 
     def rows():
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "side", "node", "root", "n_shingles", "sig")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
-    found: set[tuple[bytes, bytes]] = set()
-    for (_, low, high), group in itertools.groupby(rows(), lambda r: r[:3]):
+    for _, group in itertools.groupby(rows(), lambda r: r[:3]):
         lines = list(group)
-        if len(lines) < 2:
-            continue
-        sigs = np.frombuffer(b"".join(r[7] for r in lines), np.uint16).reshape(len(lines), -1)
-        found.update(_compare([r[4] for r in lines], [r[5] for r in lines], sigs, np.array([r[6] for r in lines]), np.array([r[3] for r in lines]), low == high))
+        if len(lines) > 1:
+            yield lines
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of groups that some candidate has: at most as many as came in, however many candidates there are."""
+    schema, out = None, []
+
+    def seen():
+        nonlocal schema
+        for batch in batches:
+            schema = batch.schema
+            yield batch
+
+    for lines in _groups(seen(), _ROW):
+        used = set()
+        for i, j, _ in _candidates(lines):
+            used.update((i, j))
+        out += [lines[i] for i in sorted(used)]
+        if len(out) >= 2_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(_ROW, zip(*out, strict=True), strict=True)], names=list(_ROW))
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(_ROW, zip(*out, strict=True), strict=True)], names=list(_ROW))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that the full sets confirm, the likeliest first; a candidate whose rows links of the group already connect adds nothing."""
+    found: list[tuple[bytes, bytes]] = []
+    for lines in _groups(batches, (*_ROW, "text")):
+        head = {line[6]: line[6] for line in lines}
+
+        def top(root, head=head):
+            while head[root] != root:
+                head[root] = head[head[root]]
+                root = head[root]
+            return root
+
+        sets: dict[int, set] = {}
+        for i, j, _ in sorted(_candidates(lines), key=lambda c: -c[2]):
+            a, b = top(lines[i][6]), top(lines[j][6])
+            if a == b:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_set(lines[k][-1])
+            both = len(sets[i] & sets[j])
+            if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                head[a] = b
+                found.append((lines[i][5], lines[j][5]))
         if len(found) >= 50_000:
             yield _pairs(found)
-            found.clear()
+            found = []
     if found:
         yield _pairs(found)
 
 
-def _pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    a, b = zip(*sorted(found), strict=True)
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
@@ -239,12 +300,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("r")).select("node", "r.doc_id", "r.n_shingles", "r.bands", "r.sig")
     nodes = scratch.stage(nodes, "op4-nodes")
 
-    # Buckets of two nodes or more, with the node that all others are compared with first.
-    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n_shingles")).alias("hub")).where("members > 1")
-    members = scratch.stage(banded.join(buckets, "bucket"), "op4-members")
-    fits = F.lit(100) * F.least("n_shingles", "hub.n_shingles") >= F.lit(PERCENT) * F.greatest("n_shingles", "hub.n_shingles")
-    stars = scratch.stage(members.where((F.col("node") != F.col("hub.node")) & fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "op4-stars")
+    # Buckets of two nodes or more.  All others of a bucket are compared with its hub first: the node that meets most nodes
+    # in all its buckets, as the original of a group of near copies does, so that the group hangs together at once.
+    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = scratch.stage(banded.join(shared, "bucket"), "op4-members")
+    meets = members.groupBy("node").agg(F.sum("members").alias("meets"), F.first("n_shingles").alias("n"))
+    placed = members.join(meets, "node")
+    hubs = placed.groupBy("bucket").agg(F.max(F.struct("meets", "node", "n")).alias("hub"))
+    size, hub_size = F.col("n_shingles"), F.col("hub.n")
+    fits = F.lit(100) * F.least(size, hub_size) >= F.lit(PERCENT) * F.greatest(size, hub_size)
+    stars = members.join(hubs, "bucket").where((F.col("node") != F.col("hub.node")) & fits)
+    stars = scratch.stage(stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "op4-stars")
 
     # The texts of all nodes in buckets, once for both rounds.
     asked = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("asked_id")), "node")
@@ -253,16 +320,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = scratch.stage(_confirmed(stars, texts), "op4-links")
 
     roots = scratch.stage(components(first), "op4-roots")
-    placed = members.select("bucket", "members", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = scratch.stage(placed, "op4-placed")
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root").select("bucket")
     waiting = placed.join(open_buckets, "bucket").join(nodes.select("node", "sig"), "node")
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     waiting = waiting.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    waiting = waiting.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root", "n_shingles", "sig")
-    grouped = waiting.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    more = grouped.mapInArrow(_blocks, "a binary, b binary").distinct().join(stars, ["a", "b"], "left_anti")
-    second = scratch.stage(_confirmed(more, texts), "op4-links")
+    side = (F.col("own") > F.col("other")).cast("int")
+    waiting = waiting.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "band", "node", "root", "n_shingles", "sig")
+    group = ["bucket", "low", "high"]
+    involved = waiting.repartition(*group).sortWithinPartitions(*group).mapInArrow(_involved, waiting.schema)
+    involved = scratch.stage(involved, "op4-involved")
+    second = involved.join(texts, "node").select(*_ROW, "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(_linked, "a binary, b binary")
+    second = scratch.stage(second, "op4-links")
 
     final = scratch.stage(components(first.unionByName(second)), "op4-roots")
     named = light.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
