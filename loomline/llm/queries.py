@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, mixing, near_dedup, sentencepiece_bpe, sharding, topk, url_filter
+from . import exact_dedup, html_extract, langid, mixing, near_dedup, sentencepiece_bpe, sharding, substring_dedup, topk, url_filter
 
 #: The rules that op9's contract states.
 URL_RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
@@ -50,6 +50,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -63,6 +67,6 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sentencepiece, op4_near_dedup, op5_jump_shards, op6_html_text, op8_exact_topk, op9_url_filter, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sentencepiece, op4_near_dedup, op5_jump_shards, op6_html_text, op7_suffix_dedup, op8_exact_topk, op9_url_filter, op10_pareto_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
