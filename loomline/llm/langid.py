@@ -271,3 +271,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_certain(docs: DataFrame, model: Model, least_share: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a language with at least ``least_share`` of its letters, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(sent.value)
+        for batch in batches:
+            found = label_texts(batch.column(at).to_pylist(), words)
+            yield batch.filter(pa.array([lang != UNDETERMINED and share >= least_share for lang, share in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,13 +53,29 @@ def drop(df: DataFrame) -> None:
 
 
 def mark() -> int:
-    """A point that :func:`release` can go back to."""
+    """A point that :func:`since` can look back to."""
     return len(_WRITTEN)
 
 
-def release(since: int = 0) -> None:
-    """Delete the tables staged after ``since``; results that read them must be written by then."""
-    while len(_WRITTEN) > since:
+def since(point: int) -> list[tuple[SparkSession, str]]:
+    """The tables staged after ``point``."""
+    return _WRITTEN[point:]
+
+
+def release_unread(tables: list[tuple[SparkSession, str]], df: DataFrame) -> list[tuple[SparkSession, str]]:
+    """Delete those of ``tables`` that ``df`` doesn't read; gives the others."""
+    files = df.inputFiles() if tables else []
+    read = [t for t in tables if any(t[1].split("://")[-1] in f for f in files)]
+    for entry in tables:
+        if entry not in read and entry in _WRITTEN:
+            _WRITTEN.remove(entry)
+            _delete(*entry)
+    return read
+
+
+def release() -> None:
+    """Delete all staged tables."""
+    while _WRITTEN:
         _delete(*_WRITTEN.pop())
 
 
