@@ -285,7 +285,7 @@ def star_positions(text: np.ndarray, block: int = 1 << 22) -> np.ndarray:
         found.append(stars)
         right_small, carried = bool(small[0]), bool(small[0])
         end = start
-    return np.unique(np.concatenate(found))
+    return np.concatenate(found[::-1])  # blocks came from the right, and each is in order
 
 
 def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -312,22 +312,33 @@ def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> tuple[np.n
 
 
 def _order_in_memory(names: np.ndarray, reach: int) -> np.ndarray:
-    """Order of the suffixes of ``names`` by their first ``reach`` names at least, by doubling."""
-    n, rank, h = len(names), names, 1
-    order = np.argsort(rank, kind="stable")
-    while h < reach:
-        next_rank = np.zeros(n, np.int64)
-        next_rank[: max(0, n - h)] = rank[h:] + 1
-        key = rank * np.int64(n + 2) + next_rank
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            break
+    """Order of the suffixes of ``names`` by their first ``reach`` names at least, by doubling.
+
+    A suffix's rank is the place where the group of its equals begins; only
+    groups of two or more are sorted on.
+    """
+    n, h = len(names), 1
+    order = np.argsort(names, kind="stable")
+    ordered = names[order]
+    rank = np.empty(n, np.int64)
+    place = np.arange(n)
+    todo = place
+    while True:
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        head = np.maximum.accumulate(np.where(fresh, todo, 0))
+        rank[order[todo]] = head
+        equal = ~fresh
+        equal[:-1] |= ~fresh[1:]
+        todo = todo[equal]
+        if not len(todo) or h >= reach:
+            return order
+        suffix = order[todo]
+        after = suffix + h
+        key = rank[suffix] * np.int64(n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by_key = np.argsort(key, kind="stable")
+        order[todo] = suffix[by_key]
+        ordered = key[by_key]
         h *= 2
-    return order
 
 
 def _sorted_stars(text: np.ndarray, symbols: int, folder: str, in_memory: int) -> np.ndarray:
@@ -358,15 +369,29 @@ def _shared(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Length of the prefix that each suffix shares with the one before, up to the cap."""
     out = np.zeros(len(order), np.uint8)
     left, right, n = order[:-1], order[1:], len(text)
-    active = np.arange(1, len(order))
-    for k in range(CAP):
-        a, b = left[active - 1] + k, right[active - 1] + k
-        inside = np.maximum(a, b) < n
+    active, shift = np.arange(1, len(order)), np.zeros(len(order), np.int64)
+    if text.dtype == np.uint16 and text.flags.c_contiguous and n > 4:  # four symbols at a time as long as they agree
+        words = np.ndarray((n - 3,), np.uint64, text, 0, (2,))
+        for k in range(0, CAP - 3, 4):
+            a, b = left[active - 1] + k, right[active - 1] + k
+            inside = np.maximum(a, b) < n - 3
+            active, a, b = active[inside], a[inside], b[inside]
+            active = active[words[a] == words[b]]
+            if not len(active):
+                break
+            shift[active] = k + 4
+        out[:] = shift
+        active = np.arange(1, len(order))[shift[1:] < CAP]
+    for _ in range(CAP):
+        done = shift[active]
+        a, b = left[active - 1] + done, right[active - 1] + done
+        inside = (np.maximum(a, b) < n) & (done < CAP)
         active, a, b = active[inside], a[inside], b[inside]
         active = active[text[a] == text[b]]
         if not len(active):
             break
-        out[active] = k + 1
+        shift[active] += 1
+    out[:] = shift
     return out
 
 

@@ -118,32 +118,37 @@ def key_of(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 _SEGMENTS = "doc_id long, text_key int, anchor long, content long, start int, windows int"
 
 
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
-            texts = [(t.as_py() or "").encode() for t in batch.column("text")]
-            keys = np.array([key_of(t) for t in texts], np.int32)
-            for data, where in _pieces(texts):
-                ends = [w[2] for w in where[1:]] + [len(data)]
-                anchors, starts, windows = segments(data, [(w[2], e) for w, e in zip(where, ends, strict=True)])
-                if not len(starts):
-                    continue
-                part = np.searchsorted(np.array([w[2] for w in where]), starts, side="right") - 1
-                row, offset, place = np.array(where).T
-                raw = memoryview(data)
-                content = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(starts.tolist(), (windows + LENGTH - 1).tolist(), strict=True)), np.uint64, len(starts))
-                rows = row[part]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(rows)), pa.array(keys[rows]), pa.array(anchors.view(np.int64)), pa.array(content.view(np.int64)),
-                        pa.array((starts - place[part] + offset[part]).astype(np.int32)), pa.array(windows.astype(np.int32)),
-                    ],
-                    names=["doc_id", "text_key", "anchor", "content", "start", "windows"],
-                )
+    for batch in _sliced(batches):
+        texts = [(t.as_py() or "").encode() for t in batch.column("text")]
+        keys = np.array([key_of(t) for t in texts], np.int32)
+        for data, where in _pieces(texts):
+            ends = [w[2] for w in where[1:]] + [len(data)]
+            anchors, starts, windows = segments(data, [(w[2], e) for w, e in zip(where, ends, strict=True)])
+            if not len(starts):
+                continue
+            part = np.searchsorted(np.array([w[2] for w in where]), starts, side="right") - 1
+            row, offset, place = np.array(where).T
+            raw = memoryview(data)
+            content = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(starts.tolist(), (windows + LENGTH - 1).tolist(), strict=True)), np.uint64, len(starts))
+            rows = row[part]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(rows)), pa.array(keys[rows]), pa.array(anchors.view(np.int64)), pa.array(content.view(np.int64)),
+                    pa.array((starts - place[part] + offset[part]).astype(np.int32)), pa.array(windows.astype(np.int32)),
+                ],
+                names=["doc_id", "text_key", "anchor", "content", "start", "windows"],
+            )
 
 
 def filter_table(rows: DataFrame) -> np.ndarray:
@@ -183,7 +188,7 @@ def _joined(rows: DataFrame, table, by_doc: DataFrame, how: str = "inner") -> Da
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments asked for, from their texts."""
-    for batch in batches:
+    for batch in _sliced(batches):
         rows = []
         for doc_id, key, text, asked in zip(batch.column("doc_id"), batch.column("text_key"), batch.column("text"), batch.column("asked"), strict=True):
             data = (text.as_py() or "").encode()
@@ -240,7 +245,7 @@ def _spans_batch(found: list[tuple]) -> pa.RecordBatch:
 
 def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """128-bit hashes of all windows of segments whose anchor has too many of them for a shard."""
-    for batch in batches:
+    for batch in _sliced(batches):
         rows = []
         for doc_id, key, start, members, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "start", "members", "data")), strict=True):
             rows += [(xxhash.xxh3_128_digest(data[i : i + LENGTH]), doc_id, key, start + i, members) for i in range(len(data) - LENGTH + 1)]
@@ -264,7 +269,7 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _remove(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             rows = []
             for text, asked in zip(batch.column("text"), spans, strict=True):
@@ -275,7 +280,7 @@ def _remove(with_bytes: bool):
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                rows.append((len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest))
+                rows.append((len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if with_bytes else None))
             n, removed, count, digest, rest = zip(*rows, strict=True) if rows else ((),) * 5
             columns, names = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_bytes:
