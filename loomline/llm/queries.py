@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, mixing, near_dedup, sentencepiece_bpe, sharding, substring_dedup, topk, url_filter
+from . import exact_dedup, html_extract, langid, mixing, near_dedup, oracles, sentencepiece_bpe, sharding, substring_dedup, topk, url_filter
 
 #: The rules that op9's contract states.
 URL_RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
@@ -69,4 +69,13 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sentencepiece, op4_near_dedup, op5_jump_shards, op6_html_text, op7_suffix_dedup, op8_exact_topk, op9_url_filter, op10_pareto_mix)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL gives no language model, no merges of a tokenizer and no template; tests hold those queries against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": oracles.OP1,
+    "op4_near_dedup": oracles.OP4,
+    "op5_jump_shards": oracles.OP5,
+    "op7_suffix_dedup": oracles.OP7,
+    "op8_exact_topk": oracles.OP8,
+    "op9_url_filter": oracles.op9(URL_RULES),
+    "op10_pareto_mix": oracles.OP10,
+}
