@@ -1 +1 @@
-"""Plans of the catalogue engine."""
+"""Queries over the driver's tables that exercise the catalogue's operators."""
