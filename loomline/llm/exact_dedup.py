@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .workers import small_batches, tidy
 
 #: Characters of a text that a splitter holds; the hash after them tells longer equal beginnings apart.
 SPLITTER_CHARS = 48
@@ -68,12 +69,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep_id is null only if a group has no id at all.  Other columns of
     ``docs`` are not looked at, whatever their names.  No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     norm = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
     keyed = norm.select("doc_id", "text", F.substring("text", 1, SPLITTER_CHARS).alias("start"), F.xxhash64("text").alias("hash"))
     order = [F.col("start"), F.col("hash")]
     id_order = F.col("doc_id").asc_nulls_last()
     sorted_rows = keyed.repartitionByRange(*order, id_order).sortWithinPartitions(*order, F.col("text"), id_order)
-    runs = scratch.stage(sorted_rows.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256")).mapInArrow(_runs, _RUNS), "op1")
+    runs = scratch.stage(sorted_rows.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256")).mapInArrow(tidy(_runs), _RUNS), "op1")
 
     # The chain of borders: where a partition begins with the text that the one before ended with, the group goes on.
     along = Window.orderBy("pid", "kind")

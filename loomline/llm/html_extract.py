@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .url_filter import host_of
+from .workers import small_batches, tidy
 
 #: A template's class occurs on this share of a host's pages at least.
 SUPPORT = 0.5
@@ -250,7 +251,7 @@ def templates(pages: DataFrame) -> DataFrame:
     belong to its template, so what is gathered for a host has the size of a
     page or two.
     """
-    counted = pages.select("page_id", "host", "html").mapInArrow(_count, "host string, path string, pages long, vector long, words long, linked long")
+    counted = pages.select("page_id", "host", "html").mapInArrow(tidy(_count), "host string, path string, pages long, vector long, words long, linked long")
     tokens = counted.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "words", "linked")), F.bit_xor("vector").alias("vector"))
     tokens = scratch.stage(tokens, "op6-tokens")
     n = tokens.where("path = ''").select("host", F.col("pages").alias("n"))
@@ -269,8 +270,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     space, and blocks follow each other by page order, one to a line.  Other
     columns are ignored; repeated rows are repeated; no rows give no rows.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     found = scratch.stage(templates(rows), "op6-templates")
     small = found.count() <= BROADCAST_HOSTS
     joined = rows.join(F.broadcast(found) if small else found, "host", "left")
-    return joined.select("page_id", "url", "html", "roots").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "roots").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workers import small_batches, tidy
+
 #: Bounds of the fit: labelled rows of a language that are read (on average), and trigrams of a language that are kept.
 SAMPLE_ROWS, SAMPLE_GRAMS = 2_000, 30_000
 #: What a change of language costs, and what a trigram counts, as the three that overlap on a letter are not independent.
@@ -27,7 +29,7 @@ SWITCH, GRAM_WEIGHT = 8.0, 0.5
 #: A language uses a script that at least this share of its letters is in.
 SCRIPT_SHARE = 0.01
 #: Words labelled together, words that a worker remembers, and their greatest length.
-TOGETHER, REMEMBERED, REMEMBERED_CHARS = 200_000, 400_000, 40
+TOGETHER, REMEMBERED, REMEMBERED_CHARS = 200_000, 200_000, 40
 
 UNDETERMINED = "und"
 #: First code points of ranges and the scripts there, after the Unicode blocks.
@@ -97,12 +99,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ``sample_rows`` of a language are read on average, chosen by a hash of the
     id; of a language with fewer, all.  A rare language is so learned as well.
     """
+    small_batches(docs.sparkSession)
     lang, text, key = F.col(lang_col).cast("string"), F.col(text_col), F.col(id_col)
     rows = docs.where(lang.isNotNull() & text.isNotNull() & ~held_out(key)).select(lang.alias("lang"), text.alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("draw"))
     share = rows.groupBy("lang").agg((F.lit(float(sample_rows) * (1 << 30)) / F.count(F.lit(1))).alias("upto"))
     # One row for each language: a label's values, not documents.
     sample = rows.join(F.broadcast(share), "lang").where("draw < upto").select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(_count), "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "key")
     found = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= SAMPLE_GRAMS).select("lang", "kind", "key", "n").collect()
     langs = sorted({r["lang"] for r in found})
@@ -261,6 +264,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     the language that comes first by name.  Repeated rows and null ids pass
     through; other columns are ignored.  The model is bounded by SAMPLE_GRAMS.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +274,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_certain(docs: DataFrame, model: Model, least_share: float, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text has a language with at least ``least_share`` of its letters, with all their columns."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -284,4 +289,4 @@ def keep_certain(docs: DataFrame, model: Model, least_share: float, text_col: st
             found = label_texts(batch.column(at).to_pylist(), words)
             yield batch.filter(pa.array([lang != UNDETERMINED and share >= least_share for lang, share in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

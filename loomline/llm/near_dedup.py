@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
+from .workers import small_batches, tidy
 
 SHINGLE = 5
 #: A pair is linked if 100 * intersection >= PERCENT * union.
@@ -36,7 +37,7 @@ AGREE = 70
 #: Nodes of a bucket that are compared as one block with another.
 BLOCK = 500
 #: Shingles whose coordinates are made together, and words that a worker remembers.
-TOGETHER, REMEMBERED = 1 << 16, 500_000
+TOGETHER, REMEMBERED = 1 << 16, 200_000
 
 _M64 = (1 << 64) - 1
 #: Odd multipliers; any do.
@@ -279,7 +280,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) that the full sets confirm."""
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify, "a binary, b binary")
+    return both.mapInArrow(tidy(_verify), "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,8 +294,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     share an id but not a text are nodes of their own.  Other columns are
     ignored; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.stage(rows.mapInArrow(_sign, "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"), "op4-signed")
+    signed = scratch.stage(rows.mapInArrow(tidy(_sign), "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"), "op4-signed")
     light = signed.select("doc_id", "n_shingles", "node")
     one = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n_shingles", "bands", "sig")
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("r")).select("node", "r.doc_id", "r.n_shingles", "r.bands", "r.sig")
@@ -316,7 +318,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The texts of all nodes in buckets, once for both rounds.
     asked = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("asked_id")), "node")
     matched = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("node", "text")
-    texts = scratch.stage(matched.mapInArrow(_texts_of_nodes, "node binary, text string").dropDuplicates(["node"]), "op4-texts")
+    texts = scratch.stage(matched.mapInArrow(tidy(_texts_of_nodes), "node binary, text string").dropDuplicates(["node"]), "op4-texts")
     first = scratch.stage(_confirmed(stars, texts), "op4-links")
 
     roots = scratch.stage(components(first), "op4-roots")
@@ -329,9 +331,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     side = (F.col("own") > F.col("other")).cast("int")
     waiting = waiting.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "band", "node", "root", "n_shingles", "sig")
     group = ["bucket", "low", "high"]
-    involved = waiting.repartition(*group).sortWithinPartitions(*group).mapInArrow(_involved, waiting.schema)
+    involved = waiting.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(_involved), waiting.schema)
     involved = scratch.stage(involved, "op4-involved")
-    second = involved.join(texts, "node").select(*_ROW, "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(_linked, "a binary, b binary")
+    second = involved.join(texts, "node").select(*_ROW, "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(_linked), "a binary, b binary")
     second = scratch.stage(second, "op4-links")
 
     final = scratch.stage(components(first.unionByName(second)), "op4-roots")

@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from .workers import small_batches, tidy
+
 SPACE = "▁"
 #: Cuts remembered by a worker, their greatest length, and pairs of tokens remembered.
-REMEMBERED, REMEMBERED_CHARS, PAIRS = 300_000, 48, 1_000_000
+REMEMBERED, REMEMBERED_CHARS, PAIRS = 200_000, 48, 300_000
 
 #: Types of a piece in the model's file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -189,4 +191,5 @@ def encode_rows(docs: DataFrame, model_path: str, with_ids: bool = False, id_col
     with open(model_path, "rb") as f:
         digest = hashlib.sha256(f.read()).hexdigest()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encoder(model_path, digest, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(tidy(_encoder(model_path, digest, with_ids)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import induced, scratch
+from .workers import small_batches, tidy
 
 LENGTH = 200
 GRAM = 32
@@ -181,7 +182,7 @@ _KEYED = "doc_id long, text_key int, text string"
 
 def _joined(rows: DataFrame, table, by_doc: DataFrame, how: str = "inner") -> DataFrame:
     """Rows that the filter passes, joined with a table by id and key; the texts that it holds back are not shuffled."""
-    passing = rows.mapInArrow(_passing(table, True), _KEYED)
+    passing = rows.mapInArrow(tidy(_passing(table, True)), _KEYED)
     other = by_doc.select(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key"), *[c for c in by_doc.columns if c not in ("doc_id", "text_key")])
     return passing.join(other, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_key") == F.col("o_key")), how).drop("o_id", "o_key")
 
@@ -301,7 +302,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    found = scratch.stage(rows.mapInArrow(_find_segments, _SEGMENTS), "op7-segments")
+    small_batches(spark)
+    found = scratch.stage(rows.mapInArrow(tidy(_find_segments), _SEGMENTS), "op7-segments")
     common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     shared = scratch.stage(found.join(common, "anchor"), "op7-shared")
 
@@ -316,15 +318,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = scratch.stage(asked.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("asked")), "op7-asked")
     table = spark.sparkContext.broadcast(filter_table(asked))
     cut = _joined(rows, table, asked).select("doc_id", "text_key", "text", "asked")
-    cut = cut.mapInArrow(_cut_out, "doc_id long, text_key int, anchor long, start int, members long, kinds long, data binary").dropDuplicates(["doc_id", "text_key", "anchor", "start"])
+    cut = cut.mapInArrow(tidy(_cut_out), "doc_id long, text_key int, anchor long, start int, members long, kinds long, data binary").dropDuplicates(["doc_id", "text_key", "anchor", "start"])
     cut = scratch.stage(cut, "op7-cut")
 
     total = cut.where(F.col("kinds") <= ANCHOR_SEGMENTS).agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     dealt = cut.where(F.col("kinds") <= ANCHOR_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
     dealt = dealt.select("shard", "doc_id", "text_key", "start", "members", "data").repartition(shards, "shard").sortWithinPartitions("shard")
-    sorted_spans = dealt.mapInArrow(_sort_shards, _SPANS)
-    windows = cut.where(F.col("kinds") > ANCHOR_SEGMENTS).mapInArrow(_each_window, "window binary, doc_id long, text_key int, start int, members long")
+    sorted_spans = dealt.mapInArrow(tidy(_sort_shards), _SPANS)
+    windows = cut.where(F.col("kinds") > ANCHOR_SEGMENTS).mapInArrow(tidy(_each_window), "window binary, doc_id long, text_key int, start int, members long")
     often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     counted = windows.where("members = 1").join(often, "window").select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.lit(LENGTH)).alias("last"))
     spans = whole.unionByName(sorted_spans).unionByName(counted)
@@ -332,6 +334,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = scratch.stage(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "op7-spans")
     table = spark.sparkContext.broadcast(filter_table(by_doc))
     schema = _RESULT + ", kept binary" * with_bytes
-    cleaned = _joined(rows, table, by_doc, "left").select("doc_id", "text", "spans").mapInArrow(_remove(with_bytes), schema)
-    clean = rows.mapInArrow(_passing(table, False), _KEYED).select("doc_id", "text").mapInArrow(_remove(with_bytes), schema)
+    cleaned = _joined(rows, table, by_doc, "left").select("doc_id", "text", "spans").mapInArrow(tidy(_remove(with_bytes)), schema)
+    clean = rows.mapInArrow(tidy(_passing(table, False)), _KEYED).select("doc_id", "text").mapInArrow(tidy(_remove(with_bytes)), schema)
     return cleaned.unionByName(clean)
