@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 from .seasons import yes
@@ -75,7 +76,7 @@ def slug(text: str) -> str:
 def _udf(one):
     """An Arrow UDF of a function on strings; nulls stay null."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(one, na_action="ignore").astype(object)
 
@@ -85,7 +86,7 @@ def _udf(one):
 def _array_udf(one, drop_empty: bool = True):
     """The same on arrays: nulls in them are left out, and empty results if asked."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(arrays: pd.Series) -> pd.Series:
         return arrays.map(lambda a: None if a is None else [k for k in (one(t) for t in a if t is not None) if k or not drop_empty])
 
