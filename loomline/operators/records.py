@@ -100,4 +100,4 @@ def buckets(rows: DataFrame, tests: dict[str, Column], key: str, examples: int =
 def bag_values(bag: Column, keys: Sequence[str]) -> Column:
     """Trimmed distinct values of a bag of (key, values) facts whose key is one of the given, in order."""
     chosen = F.filter(bag, lambda e: yes(F.lower(e["key"]).isin(*[k.lower() for k in keys])))
-    return F.filter(F.array_distinct(F.flatten(F.transform(chosen, lambda e: F.transform(e["values"], F.trim)))), lambda v: F.length(v) > 0)
+    return F.filter(F.array_distinct(F.flatten(F.transform(chosen, lambda e: F.transform(e["values"], lambda v: F.trim(v))))), lambda v: F.length(v) > 0)

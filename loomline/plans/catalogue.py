@@ -1,6 +1,6 @@
 """All queries: importing the modules registers them."""
 
-from . import record_queries, season_queries
+from . import record_queries, season_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "record_queries", "season_queries"]
+__all__ = ["QUERIES", "SQL", "record_queries", "season_queries", "text_queries"]
