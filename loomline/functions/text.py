@@ -73,7 +73,7 @@ def slug(text: str) -> str:
     return re.sub("[^a-z0-9一-鿿]+", "-", folded(text)).strip("-") or "unknown"
 
 
-def _udf(one):
+def string_udf(one):
     """An Arrow UDF of a function on strings; nulls stay null."""
 
     @F.pandas_udf(T.StringType())
@@ -93,14 +93,14 @@ def _array_udf(one, drop_empty: bool = True):
     return run
 
 
-repair = _udf(repaired)
-nfkc = _udf(lambda t: unicodedata.normalize("NFKC", t))
-content_text = _udf(content_key)
-search_text = _udf(search_key)
-merge_title = _udf(merge_key)
-audit_title = _udf(audit_key)
-identity_title = _udf(identity_key)
-slugified = _udf(slug)
+repair = string_udf(repaired)
+nfkc = string_udf(lambda t: unicodedata.normalize("NFKC", t))
+content_text = string_udf(content_key)
+search_text = string_udf(search_key)
+merge_title = string_udf(merge_key)
+audit_title = string_udf(audit_key)
+identity_title = string_udf(identity_key)
+slugified = string_udf(slug)
 repair_all = _array_udf(repaired)
 content_texts = _array_udf(content_key)
 search_texts = _array_udf(search_key, drop_empty=False)
