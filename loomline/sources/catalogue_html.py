@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import seasons as S
 from ..functions import text as X
@@ -94,17 +97,32 @@ def entries(pages: DataFrame) -> DataFrame:
     return R.first_by_key(named, ["page", "id", "_j", "_c"], ["place"]).drop("_j", "_c").select("id", *[c for c in found.columns if c != "id"])
 
 
+_DAY, _TIME, _AHEAD = re.compile(r"(\d{1,2})/(\d{1,2})"), re.compile(r"([01]?\d|2[0-3]):([0-5]\d)"), re.compile(AHEAD)
+
+
+def first_showing(text: str) -> tuple[int | None, int | None, str | None]:
+    """Month, day and time of a broadcast's text: the first day that isn't an advance showing, else the first."""
+    text = unicodedata.normalize("NFKC", text)
+    days = list(_DAY.finditer(text))
+    day = next((d for d in days if not _AHEAD.search(text[d.start() : d.start() + 18])), days[0] if days else None)
+    time = _TIME.search(text)
+    return (int(day[1]) if day else None, int(day[2]) if day else None, f"{int(time[1]):02d}:{time[2]}" if time else None)
+
+
+_SHOWING = T.StructType([T.StructField("month", T.IntegerType()), T.StructField("day", T.IntegerType()), T.StructField("time", T.StringType())])
+
+
+@F.pandas_udf(_SHOWING)
+def _showing(texts: pd.Series) -> pd.DataFrame:
+    found = pd.DataFrame([first_showing(t or "") for t in texts], columns=["month", "day", "time"], dtype=object)
+    return found.astype({"month": "Int32", "day": "Int32"})
+
+
 def slot(text: Column, year: Column, season: Column) -> Column:
-    """struct(date, time) of a broadcast: the first day that isn't an advance showing, else the first; December on a January page is the year before."""
-    t = X.nfkc(text)
-    parts = F.split(t, r"(?=(?<!\d)\d{1,2}/\d{1,2})")
-    dated = F.filter(F.transform(parts, lambda p, i: F.struct(F.regexp_extract(p, r"^(\d{1,2}/\d{1,2})", 1).alias("day"), i.alias("i"))), lambda p: F.length(p["day"]) > 0)
-    ahead = lambda p: X.matches(F.substring(F.array_join(F.slice(parts, p["i"] + 1, F.size(parts)), ""), 1, 18), AHEAD)
-    day = F.coalesce(F.get(F.filter(dated, lambda p: ~ahead(p)), F.lit(0)), F.get(dated, F.lit(0)))["day"]
-    month, number = F.split(day, "/")[0].cast("int"), F.split(day, "/")[1].cast("int")
-    date = F.format_string("%d-%02d-%02d", F.when((season == 1) & (month == 12), year - 1).otherwise(year), month, number)
-    clock = F.regexp_extract(t, r"([01]?\d|2[0-3]):([0-5]\d)", 0)
-    return F.when(day.isNotNull(), F.struct(date.alias("date"), F.when(F.length(clock) > 0, F.lpad(clock, 5, "0")).alias("time")))
+    """struct(date, time) of a broadcast, null without a day; December on a January page is the year before."""
+    shown = _showing(text)
+    date = F.format_string("%d-%02d-%02d", F.when((season == 1) & (shown["month"] == 12), year - 1).otherwise(year), shown["month"], shown["day"])
+    return F.when(shown["month"].isNotNull(), F.struct(date.alias("date"), shown["time"].alias("time")))
 
 
 def entry_format() -> Column:

@@ -61,7 +61,7 @@ def bag(text: Column) -> Column:
 
 def latest(subjects: DataFrame) -> DataFrame:
     """One row for each id: the last one's values (by month and place)."""
-    return R.first_by_key(subjects.withColumn("_o", -(F.col("month") * 1_000_000 + F.col("ordinal"))), ["id"], ["_o"]).drop("_o")
+    return R.first_by_key(subjects.withColumn("_o", -(F.col("month").cast("long") * 1_000_000 + F.col("ordinal"))), ["id"], ["_o"]).drop("_o")
 
 
 def values(box: Column, keys: tuple[str, ...]) -> Column:
@@ -140,7 +140,7 @@ def to_items(subjects: DataFrame, at: str, episodes: DataFrame | None = None) ->
     if episodes is None:
         rows = rows.withColumn("_eps", F.array().cast(PT.ArrayType(T.SUBJECT_EPISODE)))
     else:
-        listed = episodes.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("sort", F.struct(*(F.col(f.name).cast(f.dataType) for f in T.SUBJECT_EPISODE.fields)).alias("e")))).alias("_l"))
+        listed = episodes.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("sort", F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T.SUBJECT_EPISODE.fields)).alias("e")))).alias("_l"))
         rows = rows.join(listed, F.col("id") == F.col("subject_id"), "left").withColumn("_eps", F.coalesce(F.transform("_l", lambda x: x["e"]), F.array().cast(PT.ArrayType(T.SUBJECT_EPISODE))))
     rows = rows.withColumn("_schedule", episodes_to_schedule(F.col("_eps"), F.col("_source")))
     c, now = F.col, F.try_to_timestamp(F.lit(at))

@@ -22,6 +22,8 @@ def item(id_="a", title="タイトル", **fields):
         "bangumi": {"subjectId": None, "url": None, "rating": None, "ratingCount": None, "rank": None, "lastSyncedAt": None}, "schedule": [episode("2026-07-03")], "staff": None, "sources": [source()], "dataStatus": "partial", "updatedAt": NOW, "createdAt": NOW,
     }
     out = copy.deepcopy(out)
+    if isinstance(title, dict):
+        out["title"] = title
     for key, value in fields.items():
         head, _, tail = key.partition("__")
         if tail:

@@ -121,7 +121,7 @@ def test_json_ld(spark):
 
 
 def test_timetables(spark):
-    text = "<p>7/10（五）</p>21:30《甲》<br>22:5 乙 更新<div>《丙》 7/11 每週六 23:00</div>《丁》 2026/7/12 08:00 上架<br>nothing"
+    text = "<p>7/10（五）</p>21:30《甲》<br>22:5 乙 更新<br>《丙》 7/11 每週六 23:00<br>《丁》 2026/7/12 08:00 上架<br>nothing"
     found = timetable.entries(spark.createDataFrame([("https://t/?sn=9", text, 2026, NOW)], "url string, text string, year int, retrievedAt string"))
     assert sorted((r.title, r.uploadDate, r.uploadTime, r.sn) for r in found.collect()) == sorted([("甲", "2026-07-10", "21:30", "9"), ("乙", "2026-07-10", "22:05", "9"), ("丙", "2026-07-11", "23:00", "9"), ("丁", "2026-07-12", "08:00", "9")])
     a = {r.title.original: r for r in timetable.to_items(found, NOW).collect()}
