@@ -46,7 +46,7 @@ CLOSED_BY = {
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"},
 }
 #: Elements whose text is not the article's, wherever they stand; a header counts as part of an article that it stands in.
-APART = frozenset("head nav footer aside form fieldset button select option label menu dialog object audio video canvas figcaption search datalist".split()) - {"figcaption"}
+APART = frozenset("head nav footer aside form fieldset button select option label menu dialog object audio video canvas search datalist".split())
 ROLES_APART = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that mark such elements too.
 MARKED_APART = frozenset(

@@ -305,11 +305,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Buckets of two nodes or more.  All others of a bucket are compared with its hub first: the node that meets most nodes
     # in all its buckets, as the original of a group of near copies does, so that the group hangs together at once.
     banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # What is joined back on a key that may be common is staged first: a join of two plain shuffles is one that Spark can split.
+    shared = scratch.stage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "op4-buckets")
     members = scratch.stage(banded.join(shared, "bucket"), "op4-members")
     meets = members.groupBy("node").agg(F.sum("members").alias("meets"), F.first("n_shingles").alias("n"))
     placed = members.join(meets, "node")
-    hubs = placed.groupBy("bucket").agg(F.max(F.struct("meets", "node", "n")).alias("hub"))
+    hubs = scratch.stage(placed.groupBy("bucket").agg(F.max(F.struct("meets", "node", "n")).alias("hub")), "op4-hubs")
     size, hub_size = F.col("n_shingles"), F.col("hub.n")
     fits = F.lit(100) * F.least(size, hub_size) >= F.lit(PERCENT) * F.greatest(size, hub_size)
     stars = members.join(hubs, "bucket").where((F.col("node") != F.col("hub.node")) & fits)
@@ -325,6 +326,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = scratch.stage(placed, "op4-placed")
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root").select("bucket")
+    open_buckets = scratch.stage(open_buckets, "op4-open")
     waiting = placed.join(open_buckets, "bucket").join(nodes.select("node", "sig"), "node")
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     waiting = waiting.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
@@ -339,7 +341,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     final = scratch.stage(components(first.unionByName(second)), "op4-roots")
     named = light.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     named = named.where(F.col("root").isNotNull())
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = scratch.stage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "op4-least")
     grouped_rows = named.join(least, "root").select("doc_id", "n_shingles", "component_id")
     alone = light.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped_rows.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -304,13 +304,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     found = scratch.stage(rows.mapInArrow(tidy(_find_segments), _SEGMENTS), "op7-segments")
-    common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # What is joined back on a key that may be common is staged first: a join of two plain shuffles is one that Spark can split.
+    common = scratch.stage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "op7-common")
     shared = scratch.stage(found.join(common, "anchor"), "op7-shared")
 
     # By content: how often it occurs, and one occurrence; by anchor: how many contents it has.
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "start", "windows")).alias("one")
     contents = scratch.stage(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("members"), one), "op7-contents")
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = scratch.stage(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "op7-kinds")
     whole = shared.join(contents.where("members > 1").select("anchor", "content"), ["anchor", "content"])
     whole = whole.select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("windows") + F.lit(LENGTH - 1)).alias("last"))
 
