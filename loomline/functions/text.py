@@ -83,7 +83,7 @@ def string_udf(one):
     return run
 
 
-def _array_udf(one, drop_empty: bool = True):
+def array_udf(one, drop_empty: bool = True):
     """The same on arrays: nulls in them are left out, and empty results if asked."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -101,10 +101,10 @@ merge_title = string_udf(merge_key)
 audit_title = string_udf(audit_key)
 identity_title = string_udf(identity_key)
 slugified = string_udf(slug)
-repair_all = _array_udf(repaired)
-content_texts = _array_udf(content_key)
-search_texts = _array_udf(search_key, drop_empty=False)
-merge_titles = _array_udf(merge_key)
+repair_all = array_udf(repaired)
+content_texts = array_udf(content_key)
+search_texts = array_udf(search_key, drop_empty=False)
+merge_titles = array_udf(merge_key)
 
 
 def trim(text: Column) -> Column:

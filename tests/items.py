@@ -35,7 +35,8 @@ def item(id_="a", title="タイトル", **fields):
 
 def bound(id_, subject, **fields):
     """An item with a subject."""
-    return item(id_, bangumi={"subjectId": subject, "url": f"https://bgm.tv/subject/{subject}", "rating": 7.5, "ratingCount": 100, "rank": 5, "lastSyncedAt": NOW}, **fields)
+    rating = {"subjectId": subject, "url": f"https://bgm.tv/subject/{subject}", "rating": 7.5, "ratingCount": 100, "rank": 5, "lastSyncedAt": NOW}
+    return item(id_, **({"bangumi": rating} | fields))
 
 
 def frame(spark, items):
