@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch
 from .workers import small_batches, tidy
@@ -36,28 +37,33 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(carried: bool):
     """Number the runs of equal neighbours of one sorted partition; at its end, give the texts at its two borders."""
-    pid = TaskContext.get().partitionId()
-    first, last, grp = None, None, -1
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        texts = batch.column("text")
-        head = pa.concat_arrays([pa.array([last is None or texts[0].as_py() != last]), pc.not_equal(texts[1:], texts[:-1])])
-        ids = pc.add(pc.cumulative_sum(head.cast(pa.int64())), grp)
-        grp, last = ids[n - 1].as_py(), texts[n - 1].as_py()
-        first = last if first is None and n == 1 else texts[0].as_py() if first is None else first
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([0] * n, pa.int32()), batch.column("doc_id"), batch.column("text_sha256"), pa.array([pid] * n, pa.int32()), ids, head, pa.nulls(n, pa.string())],
-            names=["kind", "doc_id", "text_sha256", "pid", "grp", "head", "text"],
-        )
-    if first is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([1, 2], pa.int32()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.string()), pa.array([pid, pid], pa.int32()), pa.array([0, grp], pa.int64()), pa.nulls(2, pa.bool_()), pa.array([first, last], pa.string())],
-            names=["kind", "doc_id", "text_sha256", "pid", "grp", "head", "text"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        names = ["kind", "doc_id", "text_sha256", "pid", "grp", "head", "text"] + ["row"] * carried
+        first, last, grp, kind = None, None, -1, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            texts = batch.column("text")
+            head = pa.concat_arrays([pa.array([last is None or texts[0].as_py() != last]), pc.not_equal(texts[1:], texts[:-1])])
+            ids = pc.add(pc.cumulative_sum(head.cast(pa.int64())), grp)
+            first = texts[0].as_py() if first is None else first
+            grp, last = ids[n - 1].as_py(), texts[n - 1].as_py()
+            rows = [batch.column("row")] if carried else []
+            kind = rows[0].type if carried else None
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("doc_id"), batch.column("text_sha256"), pa.array([pid] * n, pa.int32()), ids, head, pa.nulls(n, pa.string()), *rows], names=names)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([1, 2], pa.int32()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.string()), pa.array([pid, pid], pa.int32()), pa.array([0, grp], pa.int64()), pa.nulls(2, pa.bool_()), pa.array([first, last], pa.string())]
+                + ([pa.nulls(2, kind)] if carried else []),
+                names=names,
+            )
+
+    return run
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,13 +75,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep_id is null only if a group has no id at all.  Other columns of
     ``docs`` are not looked at, whatever their names.  No rows give no rows.
     """
+    return _groups(docs, id_col, text_col, False)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, carried: bool) -> DataFrame:
+    """The rows of :func:`exact_groups`, with the whole row as struct ``row`` if it is to be carried along."""
     small_batches(docs.sparkSession)
-    norm = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    keyed = norm.select("doc_id", "text", F.substring("text", 1, SPLITTER_CHARS).alias("start"), F.xxhash64("text").alias("hash"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carried else []
+    norm = normalised(F.col(text_col))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(row or [F.col(text_col).alias("raw")]), F.substring(norm, 1, SPLITTER_CHARS).alias("start"), F.xxhash64(norm).alias("hash"))
+    raw = F.col("row")[text_col] if carried else F.col("raw")
     order = [F.col("start"), F.col("hash")]
     id_order = F.col("doc_id").asc_nulls_last()
-    sorted_rows = keyed.repartitionByRange(*order, id_order).sortWithinPartitions(*order, F.col("text"), id_order)
-    runs = scratch.stage(sorted_rows.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256")).mapInArrow(tidy(_runs), _RUNS), "op1")
+    dealt = keyed.repartitionByRange(*order, id_order).withColumn("text", normalised(raw))
+    sorted_rows = dealt.sortWithinPartitions(*order, F.col("text"), id_order).select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"), *["row"] * carried)
+    schema = T.StructType([*T.StructType.fromDDL(_RUNS).fields, *([T.StructField("row", sorted_rows.schema["row"].dataType)] if carried else [])])
+    runs = scratch.stage(sorted_rows.mapInArrow(tidy(_runs(carried)), schema), "op1")
 
     # The chain of borders: where a partition begins with the text that the one before ended with, the group goes on.
     along = Window.orderBy("pid", "kind")
@@ -85,7 +100,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = chain.groupBy("chain").agg(F.min(F.struct("pid", "grp")).alias("root"))
     moved = chain.join(roots, "chain").select("pid", "grp", F.col("root.pid").alias("rpid"), F.col("root.grp").alias("rgrp")).distinct()
 
-    rows = runs.where("kind = 0").select("doc_id", "text_sha256", "pid", "grp", "head")
+    rows = runs.where("kind = 0").select("doc_id", "text_sha256", "pid", "grp", "head", *["row"] * carried)
     # Groups are summed up within their partition first: no key has more rows than a partition, whatever is common.
     local = scratch.stage(rows.groupBy("pid", "grp").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "op1-groups")
     # Two border groups at most for each partition, whatever the input: small enough to broadcast.
@@ -96,10 +111,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "pid", "grp", F.when(F.col("whole_size").isNull(), F.col("keep_id")).otherwise(F.col("whole_id")).alias("keep_id"),
         F.coalesce("whole_size", "group_size").alias("group_size"), F.coalesce("begins", F.lit(True)).alias("begins"),
     )
-    return rows.join(groups, ["pid", "grp"]).select("doc_id", "keep_id", "group_size", (F.col("head") & F.col("begins")).alias("kept"), "text_sha256")
+    return rows.join(groups, ["pid", "grp"]).select("doc_id", "keep_id", "group_size", (F.col("head") & F.col("begins")).alias("kept"), "text_sha256", *["row"] * carried)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text an earlier row has; ids must be distinct and not null."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns: one for each text, whatever ids they have."""
+    return _groups(docs, id_col, text_col, True).where("kept").select("row.*")

@@ -76,10 +76,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     task.  Pareto ranks are cut into bins, words are summed by bin, and only
     the bin in which a source's rest ends is ranked row by row.
     """
+    return _mix(docs, id_col, text_col, source_col, seed, False)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, carried: bool) -> DataFrame:
+    """The rows of :func:`mix`, with the whole row as struct ``row`` if it is to be carried along; rows are not shuffled but for one bin."""
+    row = ["row"] * carried
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * carried
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("skey"), draw.alias("draw"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("skey"), draw.alias("draw"), *whole,
     )
     rows = scratch.stage(rows, "op10")
     sums = scratch.stage(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "op10-sources")
@@ -92,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = goal.withColumn("certain", F.floor("ratio")).withColumn("chance", F.col("ratio") - F.col("certain"))
     goal = scratch.stage(goal.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size")), "op10-targets")
 
-    placed = _with_small(rows.select("doc_id", "size", "skey", "draw"), goal, n_sources, F.hash("doc_id", "draw"))
+    placed = _with_small(rows.select("doc_id", "size", "skey", "draw", *row), goal, n_sources, F.hash("doc_id", "draw"))
     random_odds = (F.col("draw") + F.lit(0.5)) / (F.lit(float(1 << 48)) - (F.col("draw") + F.lit(0.5)))
     odds = F.col("chance") / (F.lit(1.0) - F.col("chance"))
     rank = F.when(F.col("chance") > 0, random_odds / F.when(F.col("chance") > 0, odds)).otherwise(F.lit(float("inf")))
@@ -118,11 +125,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     other = cut_rows.where(~inside).withColumn("extra", before.cast("long"))
     copies = F.when(F.col("size") > 0, F.col("certain") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     result = here.unionByName(other).withColumn("copies", copies)
-    return result.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return result.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *row)
 
 
-def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as the mix holds it: each row as often as it has copies; ids must be distinct and not null."""
-    copies = mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col("doc_id").alias(id_col), F.col("copies").alias("_copies_"))
-    joined = docs.join(copies, id_col)
-    return joined.withColumn("_copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies_")))).select(*docs.columns)
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """``docs`` as the mix holds it: each row, with all its columns, as often as it has copies."""
+    taken = _mix(docs, id_col, text_col, source_col, seed, True).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

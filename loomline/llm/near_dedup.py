@@ -150,8 +150,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, line, keys in zip(filled, made.astype(np.uint16), band_keys(made), strict=True):
                     node[i], sig[i], bands[i] = set_key(sets[i]), line.tobytes(), keys
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "sig", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "node", "sig", "bands"],
             )
 
 
@@ -294,10 +294,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     share an id but not a text are nodes of their own.  Other columns are
     ignored; no rows give no rows.
     """
+    found = _components(docs, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and root (null without words) of each row, and text_hash of its text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.stage(rows.mapInArrow(tidy(_sign), "doc_id long, n_shingles long, node binary, sig binary, bands array<long>"), "op4-signed")
-    light = signed.select("doc_id", "n_shingles", "node")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    signed = scratch.stage(rows.mapInArrow(tidy(_sign), "doc_id long, text_hash long, n_shingles long, node binary, sig binary, bands array<long>"), "op4-signed")
+    light = signed.select("doc_id", "text_hash", "n_shingles", "node")
     one = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n_shingles", "bands", "sig")
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("r")).select("node", "r.doc_id", "r.n_shingles", "r.bands", "r.sig")
     nodes = scratch.stage(nodes, "op4-nodes")
@@ -339,15 +345,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     second = scratch.stage(second, "op4-links")
 
     final = scratch.stage(components(first.unionByName(second)), "op4-roots")
-    named = light.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    named = light.join(final, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root"))
     named = named.where(F.col("root").isNotNull())
-    least = scratch.stage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "op4-least")
-    grouped_rows = named.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    alone = light.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped_rows.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    least = scratch.stage(named.groupBy("root").agg(first.alias("first")), "op4-least")
+    grouped_rows = named.join(least, "root").select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+    alone = light.where(F.col("node").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.col("text_hash").alias("first_hash"))
+    return grouped_rows.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component; ids must be distinct and not null."""
-    kept = near_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """``docs`` with one row of each component, with all its columns: that with the smallest id, or of those that share it the one with the least hash of its text.
+
+    Rows without words are kept.  Rows equal in id and text are one row here: all of them are kept or none.
+    """
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    kept = _components(docs, id_col, text_col).where(first).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    hashed = docs.withColumn("_own_hash", F.xxhash64(text_col))
+    return hashed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_own_hash") == F.col("_kept_hash")), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -241,3 +241,20 @@ def test_best_path_is_the_best():
             value = lambda p, s=start: sum(scores[s + i, k] for i, k in enumerate(p)) - 2.0 * sum(a != b for a, b in itertools.pairwise(p))
             best = max(itertools.product(range(3), repeat=int(n)), key=value)
             assert abs(value(best) - value(tuple(labels[start : start + n]))) < 1e-4
+
+
+def test_whole_rows_come_through(table):
+    """Rows with null and repeated ids, and columns whose names the operators use themselves."""
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = rows(table)
+    first = exact_dedup.keep_first(table)
+    assert first.columns == table.columns and set(rows(first)) <= set(whole)
+    assert sorted(plain.normal(r[1]) for r in rows(first)) == sorted({plain.normal(r[1]) for r in whole})
+    one = near_dedup.keep_one(first)
+    least = {r[2] for r in plain.near(pairs(first)) if r[1] and r[2] is not None}
+    assert one.columns == table.columns and set(rows(one)) <= set(rows(first))
+    assert {r[0] for r in rows(one) if r[0] is not None and plain.shingles(r[1])} == least
+    assert {r[1] for r in rows(one)} >= {r[1] for r in rows(first) if not plain.shingles(r[1])}
+    mixed = mixing.repeat_rows(table)
+    assert mixed.columns == table.columns and set(rows(mixed)) <= set(whole)
+    assert sum(len((r[1] or "").split()) for r in rows(mixed)) == sum(r.taken for r in mixing.mix(table).collect())
