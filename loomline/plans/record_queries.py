@@ -74,15 +74,12 @@ def status_summary_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Audits
 
-_BUCKETS = {
-    "cheap": ("o_totalprice < 1000", F.col("o_totalprice") < 1000), "urgent": ("o_orderpriority = '1-URGENT'", F.col("o_orderpriority") == "1-URGENT"),
-    "never": ("o_orderkey < 0", F.col("o_orderkey") < 0), "open": ("o_orderstatus = 'O'", F.col("o_orderstatus") == "O"),
-}
+_BUCKETS = {"cheap": "o_totalprice < 1000", "urgent": "o_orderpriority = '1-URGENT'", "never": "o_orderkey < 0", "open": "o_orderstatus = 'O'"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS bucket, count(*) FILTER ({c}) AS n, coalesce(array_to_string(list_sort(list(o_orderkey) FILTER ({c}))[1:5], ','), '') AS examples FROM orders" for k, (c, _) in _BUCKETS.items()))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS bucket, count(*) FILTER ({c}) AS n, coalesce(array_to_string(list_sort(list(o_orderkey) FILTER ({c}))[1:5], ','), '') AS examples FROM orders" for k, c in _BUCKETS.items()))
 def audit_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.buckets(table(spark, sf_dir, "orders"), {k: t for k, (_, t) in _BUCKETS.items()}, "o_orderkey", 5)
+    found = R.buckets(table(spark, sf_dir, "orders"), {k: F.expr(c) for k, c in _BUCKETS.items()}, "o_orderkey", 5)
     return found.select("bucket", "n", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
 
 
@@ -160,11 +157,11 @@ def status_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("merged", R.merged_status(F.col("a"), F.col("b"))).groupBy("a", "b", "merged").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH x AS (SELECT o_orderkey, {order_of(_D)} AS season, o_totalprice FROM orders), old AS (SELECT *, 'old' AS side FROM x WHERE o_orderkey % 2 = 0), new AS (SELECT o_orderkey, season, o_totalprice, 'new' AS side FROM x WHERE season = 23980 AND o_orderkey % 3 = 0)
+@query(f"""WITH x AS (SELECT o_orderkey, {order_of(_D)} AS season, o_totalprice FROM orders), old AS (SELECT *, 'old' AS side FROM x), new AS (SELECT o_orderkey, season, o_totalprice * 2 AS o_totalprice, 'new' AS side FROM x WHERE season = 23980 AND o_totalprice > 50000)
 SELECT * FROM old WHERE season <> 23980 AND o_orderkey NOT IN (SELECT o_orderkey FROM new) UNION ALL SELECT * FROM new""")
 def season_partition_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = starts(spark, sf_dir).select("o_orderkey", S.season_order(S.primary_season(F.col("start"))).alias("season"), "o_totalprice")
-    old, new = rows.where("o_orderkey % 2 = 0").withColumn("side", F.lit("old")), rows.where("season = 23980 and o_orderkey % 3 = 0").withColumn("side", F.lit("new"))
+    old, new = rows.withColumn("side", F.lit("old")), rows.where("season = 23980 and o_totalprice > 50000").withColumns({"o_totalprice": F.col("o_totalprice") * 2, "side": F.lit("new")})
     return R.replace_partition(old, new, "o_orderkey", F.col("season") == 23980)
 
 
@@ -186,11 +183,13 @@ def override_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "list_distinct(string_split(p_name, ' '))"
 
 
-@query(f"""WITH w AS (SELECT p_partkey, p_size, unnest({_WORDS}) AS k FROM part)
-SELECT l.p_partkey, min(r.p_partkey) AS match FROM w l JOIN w r ON l.k = r.k AND l.p_size = r.p_size AND l.p_partkey <> r.p_partkey WHERE l.p_partkey % 2 = 0 AND r.p_partkey % 2 = 1 GROUP BY 1""")
+@query(f"""WITH w AS (SELECT p_partkey, p_size, p_brand, unnest({_WORDS}) AS k FROM part)
+SELECT l.p_partkey, min(r.p_partkey) AS match FROM w l JOIN w r ON l.k = r.k AND l.p_size = r.p_size AND l.p_brand <> r.p_brand GROUP BY 1""")
 def title_overlap_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.split("p_name", " ").alias("words"))
-    return R.first_overlap(rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 = 1"), "p_partkey", "p_partkey", "words", "p_partkey", F.col("l.p_size") == F.col("r.p_size"))
+    """For each part, the first of another brand that has its size and shares a word of its name."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", F.split("p_name", " ").alias("words"))
+    other = (F.col("l.p_size") == F.col("r.p_size")) & (F.col("l.p_brand") != F.col("r.p_brand"))
+    return R.first_overlap(rows, rows, "p_partkey", "p_partkey", "words", "p_partkey", other)
 
 
 @query("""SELECT c_custkey, coalesce(s.s_name, f.s_name) AS found, s.s_name IS NOT NULL AS by_id FROM customer LEFT JOIN supplier s ON s.s_suppkey = c_custkey

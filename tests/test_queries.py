@@ -45,3 +45,20 @@ def test_query(spark, sql, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0 and set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_import_needs_no_session_and_no_llm(tmp_path):
+    """The registry can be read in a process without Spark, and where the folders of llm are gone."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    here = pathlib.Path(entry_point.__file__).parent
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    shutil.copytree(here / "loomline", tmp_path / "loomline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for folder in (here, tmp_path):
+        done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=folder, capture_output=True, text=True, timeout=120, check=False)
+        names = done.stdout.split()
+        assert done.returncode == 0, done.stderr
+        assert "season_page" in names and (folder == here or not any(n.startswith("op1_") or n == "pipeline" for n in names))
