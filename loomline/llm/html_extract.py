@@ -64,12 +64,12 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"
 
 
 class Element:
-    """An open block element: its path, whether its text stands apart, and whether it lies in an article."""
+    """An open block element, or an inline one that stands apart: its path, whether its text stands apart, and whether it lies in an article."""
 
-    __slots__ = ("apart", "article", "path", "tag")
+    __slots__ = ("apart", "article", "inline", "path", "tag")
 
-    def __init__(self, tag: str, path: str, apart: bool, article: bool):
-        self.tag, self.path, self.apart, self.article = tag, path, apart, article
+    def __init__(self, tag: str, path: str, apart: bool, article: bool, inline: bool = False):
+        self.tag, self.path, self.apart, self.article, self.inline = tag, path, apart, article, inline
 
 
 def _opened(tag: str, attributes: str, parent: Element) -> Element:
@@ -108,7 +108,18 @@ def walk(html: str) -> Iterator[tuple[str, Element, str, bool]]:
             links = 0 if closing else 1
         elif tag in ("br", "hr"):
             yield "break", stack[-1], "", False
-        elif tag in VOID or not (tag in BLOCK or tag in APART):
+        elif tag in VOID:
+            continue
+        elif not (tag in BLOCK or tag in APART):
+            # Inline elements matter only where a mark sets them apart; such a one ends with its own end, whatever it holds.
+            top = stack[-1]
+            if closing:
+                if top.inline and top.tag == tag:
+                    del stack[-1]
+            elif top.inline and top.tag == tag:
+                stack.append(Element(tag, top.path, True, top.article, True))
+            elif not top.apart and attributes.strip() and (found := _opened(tag, attributes, top)).apart:
+                stack.append(Element(tag, top.path, True, found.article, True))
             continue
         elif closing:
             for k in range(len(stack) - 1, 0, -1):
@@ -159,7 +170,7 @@ def main_text(html: str | None, roots: list[str]) -> str:
                 blocks.append((element.path, element.article, []))
             blocks[-1][2].append(text)
             fresh = False
-        else:
+        elif not element.inline:
             fresh = True
     lines = [(path, article, " ".join(entities.unescape("".join(parts)).split())) for path, article, parts in blocks]
     lines = [x for x in lines if x[2]]

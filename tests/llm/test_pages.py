@@ -12,7 +12,7 @@ PAGE = "<!DOCTYPE html><html><head><title>T &amp; t</title><script>var a='</p>';
 
 def test_article_without_what_surrounds_it(spark):
     rows = [
-        (1, "http://a.com/1", PAGE % "<article><h1>Head  &lt;1&gt;</h1><p><b>Some\n text<br>more<p>And&nbsp;&#233;<ul><li>one<li>two</ul><div class='share'>Tweet</div><!-- <p>no</p> --></article>"),
+        (1, "http://a.com/1", PAGE % "<article><h1>Head  &lt;1&gt;</h1><p><b>Some\n <span class='ad x'>Buy <span>now</span> ok</span>text<br>more<p>And&nbsp;&#233;<ul><li>one<li>two</ul><div class='share'>Tweet</div><!-- <p>no</p> --></article>"),
         (2, "http://a.com/2", PAGE % "<article><h1>Other</h1><p>Line</article>"),
         (3, "http://b.com/1", PAGE % "<div class='content'><p>No article here, but much text in it.</p><p>Second line.</p></div>"),
         (4, "http://b.com/2", PAGE % "<div class='content'><p>Another one of the same host here.</p></div>"),
