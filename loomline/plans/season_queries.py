@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seasons as S
-from .registry import calendar_order, moved, order_of, quarter_of, query, table, year_of
+from .registry import calendar_order, order_of, quarter_of, query, table, year_of
 
 #: The instant that the queries take for now, and the season asked for.
 NOW = "2000-06-15T03:00:00"
