@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import exact_dedup, html_extract, langid, mixing, near_dedup, oracles, sentencepiece_bpe, sharding, substring_dedup, topk, url_filter
 
