@@ -75,6 +75,21 @@ def margins(scored: DataFrame, keys: Sequence[str], score: str, tie: str) -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).withColumn("lead", F.coalesce(F.col(score) - F.lead(score).over(w), F.lit(100)))
 
 
+def numbered(rows: DataFrame, leading: Sequence[str], last: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """Rows numbered from 1 in order of the leading columns (nulls last), then of the last keys.
+
+    Groups of equal leading values are counted, the counts summed up in order,
+    and each group numbers its own rows from there: no task sorts all rows,
+    only one the groups.
+    """
+    groups = rows.groupBy(*leading).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*(F.col(c).asc_nulls_last() for c in leading)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.select(*(F.col(c).alias(f"_group_{c}") for c in leading), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*leading).orderBy(*last)))
+    same = [F.col(c).eqNullSafe(F.col(f"_group_{c}")) for c in leading]
+    return own.join(starts, same).withColumn(name, F.col("_before") + F.col("_own")).select(*rows.columns, name)
+
+
 def rolling_count(rows: DataFrame, key: str, millis: Column, window: int = 60_000) -> Column:
     """Rows of a key in the window that ends with the row."""
     return F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(millis).rangeBetween(1 - window, 0))

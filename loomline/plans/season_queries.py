@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seasons as S
+from ..operators import records as R
 from .registry import calendar_order, order_of, quarter_of, query, table, year_of
 
 #: The instant that the queries take for now, and the season asked for.
@@ -60,11 +61,11 @@ def _page(rows: DataFrame, actual: int) -> DataFrame:
     order = S.season_order(F.col("primary"))
     runs = F.exists("active", lambda s: S.season_order(s) == ASKED)
     seen = rows.where((order == ASKED) | (F.lit(ASKED == actual) & (order < ASKED) & runs)).withColumn("weekday", S.update_weekday(F.lit(None).cast("int"), F.col("schedule"), F.col("start")))
-    by = Window.orderBy(F.col("weekday").asc_nulls_last(), F.col("o_orderstatus").asc_nulls_last(), F.col("start").asc_nulls_last(), F.col("o_orderkey"))
-    return seen.select("o_orderkey", F.row_number().over(by).alias("place"), S.season_order(F.col("primary")).alias("primary_order"))
+    placed = R.numbered(seen, ["weekday", "o_orderstatus", "start"], ["o_orderkey"])
+    return placed.select("o_orderkey", "place", S.season_order(F.col("primary")).alias("primary_order"))
 
 
-_PAGE = "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY isodow(d), o_orderstatus, d, o_orderkey) AS INTEGER) AS place, primary_order FROM ({}) WHERE primary_order = {}"
+_PAGE = "SELECT o_orderkey, row_number() OVER (ORDER BY isodow(d), o_orderstatus, d, o_orderkey) AS place, primary_order FROM ({}) WHERE primary_order = {}"
 
 
 @query(_PAGE.format(_ACTIVE, ASKED))
@@ -138,14 +139,13 @@ def slot_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(S.week_minute(day, time, zone).cast("int").alias("week_minute"), slot["weekday"].alias("weekday"), slot["time"].alias("time")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT event_id, time, CAST(row_number() OVER (ORDER BY time NULLS LAST, event_id) AS INTEGER) AS place FROM (
+@query("""SELECT event_id, time, row_number() OVER (ORDER BY time NULLS LAST, event_id) AS place FROM (
   SELECT event_id, event_type, CAST(w // 1440 + 1 AS INTEGER) AS weekday, printf('%02d:%02d', (w % 1440) // 60, w % 60) AS time
   FROM (SELECT *, CAST(((isodow(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts) - 60 + 10080) % 10080 AS INTEGER) AS w FROM events)) WHERE weekday = 3 AND event_type IN ('click', 'view')""")
 def follow_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = S.china_slot(S.weekday(F.date_format("ts", "yyyy-MM-dd")), F.date_format("ts", "HH:mm"), F.lit(S.JAPAN))
     rows = table(spark, sf_dir, "events").withColumn("slot", slot).where((F.col("slot.weekday") == 3) & F.col("event_type").isin("click", "view"))
-    by = Window.orderBy(F.col("slot.time").asc_nulls_last(), "event_id")
-    return rows.select("event_id", F.col("slot.time").alias("time"), F.row_number().over(by).alias("place"))
+    return R.numbered(rows.select("event_id", F.col("slot.time").alias("time")), ["time"], ["event_id"])
 
 
 @query("""SELECT user_id, count(*) FILTER (m < 750) AS marker, count(*) FILTER (abs(m - 750) <= 10) AS current, count(*) AS n FROM (SELECT user_id, hour(ts) * 60 + minute(ts) AS m FROM events) GROUP BY 1""")
