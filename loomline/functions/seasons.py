@@ -75,20 +75,43 @@ def season_of_order(order: Column) -> Column:
     return season(F.floor((order - 1) / 12), month_quarter(month))
 
 
+def _quarter_order(month: Column) -> Column:
+    """Order of the season that a month (counted from the year 0) lies in."""
+    return (month - F.pmod(month, F.lit(3)) + 1).cast("int")
+
+
+def calendar_order(date: Column) -> Column:
+    """Order of the season whose months hold the date; null if it isn't one."""
+    day = date_of(date)
+    return _quarter_order(F.year(day) * 12 + F.month(day) - 1)
+
+
+def primary_order(date: Column) -> Column:
+    """Order of the season that a start counts for: late in a quarter's last month it is the next.
+
+    Arithmetic without branches: a null date makes a null, and Spark evaluates
+    the date once.
+    """
+    day = date_of(date)
+    month = F.month(day)
+    late = F.lit(0)
+    for last, first in LEAD_DAY.items():
+        late = late + ((month == last) & (F.dayofmonth(day) >= first)).cast("int")
+    return _quarter_order(F.year(day) * 12 + month - 1 + late)
+
+
+def _season_or_null(order: Column) -> Column:
+    return F.when(order.isNotNull(), season_of_order(order))
+
+
 def calendar_season(date: Column) -> Column:
     """The season whose months hold the date; null if it isn't one."""
-    day = date_of(date)
-    return F.when(day.isNotNull(), season(F.year(day), month_quarter(F.month(day))))
+    return _season_or_null(calendar_order(date))
 
 
 def primary_season(date: Column) -> Column:
-    """The season that a start counts for: late in a quarter's last month it is the next."""
-    day = date_of(date)
-    late = F.lit(False)
-    for month, first in LEAD_DAY.items():
-        late = late | ((F.month(day) == month) & (F.dayofmonth(day) >= first))
-    moved = F.when(late, F.add_months(day, 1)).otherwise(day)
-    return F.when(day.isNotNull(), season(F.year(moved), month_quarter(F.month(moved))))
+    """The season that a start counts for; see :func:`primary_order`."""
+    return _season_or_null(primary_order(date))
 
 
 def current_season(now: Column) -> Column:
@@ -105,10 +128,15 @@ def distinct_seasons(seasons: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(F.transform(seasons, season_order))), season_of_order)
 
 
+def active_orders(schedule: Column) -> Column:
+    """Distinct orders of the calendar seasons of a schedule's days, ascending."""
+    return F.array_sort(F.array_distinct(F.transform(schedule, lambda e: calendar_order(e["airDate"]))))
+
+
 def active_seasons(schedule: Column, primary: Column) -> Column:
     """Calendar seasons of a schedule's days; without a schedule the primary season, if there is one."""
     nothing = F.filter(F.array(primary), lambda s: s.isNotNull() & s["year"].isNotNull())
-    return F.when(yes(F.size(schedule) > 0), distinct_seasons(F.transform(schedule, lambda e: calendar_season(e["airDate"])))).otherwise(nothing)
+    return F.when(yes(F.size(schedule) > 0), F.transform(active_orders(schedule), season_of_order)).otherwise(nothing)
 
 
 def weekday(date: Column) -> Column:

@@ -106,7 +106,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT o_custkey, count(*) AS n, count(DISTINCT {order_of(_D)}) AS seasons FROM orders GROUP BY 1 HAVING count(DISTINCT {order_of(_D)}) < count(*)")
 def duplicates_same_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    season = S.season_order(S.primary_season(F.col("start")))
+    season = S.primary_order(F.col("start"))
     grouped = starts(spark, sf_dir).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(season).alias("seasons"))
     return grouped.where("seasons < n")
 
@@ -122,7 +122,7 @@ def source_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 20 ELSE 10 END + CASE WHEN o_totalprice > 100000 THEN 5 ELSE 0 END DESC, o_orderkey) AS r FROM orders) WHERE r = 1""")
 def keep_best_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("o_orderstatus") == "F", 100).when(F.col("o_orderstatus") == "O", 20).otherwise(10) + F.when(F.col("o_totalprice") > 100000, 5).otherwise(0)
-    rows = starts(spark, sf_dir).withColumn("season", S.season_order(S.primary_season(F.col("start"))))
+    rows = starts(spark, sf_dir).withColumn("season", S.primary_order(F.col("start")))
     return R.keep_best(rows, ["o_custkey", "season"], score, "o_orderkey").select("o_custkey", "season", "o_orderkey")
 
 
@@ -160,7 +160,7 @@ def status_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH x AS (SELECT o_orderkey, {order_of(_D)} AS season, o_totalprice FROM orders), old AS (SELECT *, 'old' AS side FROM x), new AS (SELECT o_orderkey, season, o_totalprice * 2 AS o_totalprice, 'new' AS side FROM x WHERE season = 23980 AND o_totalprice > 50000)
 SELECT * FROM old WHERE season <> 23980 AND o_orderkey NOT IN (SELECT o_orderkey FROM new) UNION ALL SELECT * FROM new""")
 def season_partition_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = starts(spark, sf_dir).select("o_orderkey", S.season_order(S.primary_season(F.col("start"))).alias("season"), "o_totalprice")
+    rows = starts(spark, sf_dir).select("o_orderkey", S.primary_order(F.col("start")).alias("season"), "o_totalprice")
     old, new = rows.withColumn("side", F.lit("old")), rows.where("season = 23980 and o_totalprice > 50000").withColumns({"o_totalprice": F.col("o_totalprice") * 2, "side": F.lit("new")})
     return R.replace_partition(old, new, "o_orderkey", F.col("season") == 23980)
 

@@ -23,8 +23,7 @@ def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with a schedule of three days, of which the last two lie five and eleven weeks after the start."""
     days = F.transform(F.array(F.lit(0), F.lit(35), F.lit(77)), lambda k: F.struct(S.shift(F.col("start"), k).alias("airDate"), F.lit("confirmed").alias("status")))
-    rows = starts(spark, sf_dir).withColumn("schedule", days).withColumn("primary", S.primary_season(F.col("start")))
-    return rows.withColumn("active", S.active_seasons(F.col("schedule"), F.col("primary")))
+    return starts(spark, sf_dir).withColumn("schedule", days).withColumns({"primary": S.primary_order(F.col("start")), "active": S.active_orders(F.col("schedule"))})
 
 
 def instant(text: str) -> Column:
@@ -45,24 +44,22 @@ def season_primary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {calendar_order(_D)} AS calendar, {order_of(_D)} AS counted, count(*) AS n FROM orders GROUP BY 1, 2")
 def season_calendar_vs_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("start")
-    return starts(spark, sf_dir).groupBy(S.season_order(S.calendar_season(start)).alias("calendar"), S.season_order(S.primary_season(start)).alias("counted")).agg(F.count(F.lit(1)).alias("n"))
+    return starts(spark, sf_dir).groupBy(S.calendar_order(start).alias("calendar"), S.primary_order(start).alias("counted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT o_custkey, array_to_string(list_sort(list_distinct(list({calendar_order(_D)}))), ',') AS seasons, count(*) AS n FROM orders GROUP BY 1")
 def active_seasons_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = F.collect_set("start")
-    grouped = starts(spark, sf_dir).groupBy("o_custkey").agg(days.alias("days"), F.count(F.lit(1)).alias("n"))
-    seasons = S.distinct_seasons(F.transform("days", S.calendar_season))
-    return grouped.select("o_custkey", F.array_join(F.transform(seasons, lambda s: S.season_order(s).cast("string")), ",").alias("seasons"), "n")
+    seasons = F.array_sort(F.collect_set(S.calendar_order(F.col("start"))))
+    return starts(spark, sf_dir).groupBy("o_custkey").agg(F.array_join(seasons.cast("array<string>"), ",").alias("seasons"), F.count(F.lit(1)).alias("n"))
 
 
 def _page(rows: DataFrame, actual: int) -> DataFrame:
     """A season's page: rows that count for it and, if it is the current one, older ones that still run; by weekday, price, start and key."""
-    order = S.season_order(F.col("primary"))
-    runs = F.exists("active", lambda s: S.season_order(s) == ASKED)
+    order = F.col("primary")
+    runs = F.array_contains("active", ASKED)
     seen = rows.where((order == ASKED) | (F.lit(ASKED == actual) & (order < ASKED) & runs)).withColumn("weekday", S.update_weekday(F.lit(None).cast("int"), F.col("schedule"), F.col("start")))
     placed = R.numbered(seen, ["weekday", "o_orderstatus", "start"], ["o_orderkey"])
-    return placed.select("o_orderkey", "place", S.season_order(F.col("primary")).alias("primary_order"))
+    return placed.select("o_orderkey", "place", F.col("primary").alias("primary_order"))
 
 
 _PAGE = "SELECT o_orderkey, row_number() OVER (ORDER BY isodow(d), o_orderstatus, d, o_orderkey) AS place, primary_order FROM ({}) WHERE primary_order = {}"
@@ -80,7 +77,9 @@ def season_page_continuing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT CASE WHEN NOT list_contains(active, {ASKED}) THEN 'not_active' WHEN primary_order < {ASKED} THEN 'continuing' ELSE 'new' END AS class, count(*) AS n FROM ({_ACTIVE}) GROUP BY 1")
 def membership_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scheduled(spark, sf_dir).groupBy(S.membership(F.col("primary"), F.col("active"), F.lit(ASKED)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    rows = starts(spark, sf_dir).select("start", *(S.shift(F.col("start"), F.lit(k)).alias(f"d{k}") for k in (35, 77)))
+    active = F.transform(F.array("start", "d35", "d77"), S.calendar_season)
+    return rows.groupBy(S.membership(S.primary_season(F.col("start")), active, F.lit(ASKED)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _END = "last_day(date_trunc('quarter', {0}) + INTERVAL 2 MONTH)"
