@@ -29,7 +29,7 @@ def yes(condition: Column) -> Column:
 
 def date_of(date: Column) -> Column:
     """A real calendar date from a strict ``YYYY-MM-DD`` string, else null."""
-    return F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(date, "yyyy-MM-dd"))
+    return F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), date.try_cast("date"))
 
 
 def is_date(date: Column) -> Column:
