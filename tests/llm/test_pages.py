@@ -80,6 +80,20 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), RULES).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 700])
+def test_verdicts_do_not_depend_on_the_number_of_hosts(spark, n):
+    """Blocked seeds, hosts that link to them, and a host with as much trust as distrust, among few and many seeds."""
+    link = lambda *hosts: "".join(f"<a href='//{h}/p'>x</a>" for h in hosts)
+    rows = [(None, f"http://s{k}.com/en/{j}", "") for k in range(n) for j in (1, 2)] + [(k, f"http://s{k}.com/x", "") for k in range(n)]
+    rows += [(10_000 + k, f"http://near{k}.io/", link(f"s{k}.com", "other.org")) for k in range(n)]
+    rows += [(20_000 + k, f"http://far{k}.io/", link(f"near{k}.io")) for k in range(n)]
+    rows += [(30_000, "http://other.org/", ""), (30_001, "http://good.net/de/1", link("good.io")), (30_002, "http://good.io/", link("s0.com"))]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect() if r.page_id is not None}
+    for k in range(n):
+        assert (got[k], got[10_000 + k], got[20_000 + k]) == ("block", "block", "block"), k
+    assert (got[30_000], got[30_001], got[30_002]) == ("allow", "allow", "allow")
+
+
 def plain_top(rows, k, every):
     vectors = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
