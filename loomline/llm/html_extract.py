@@ -6,7 +6,9 @@ an occurrence vector and form an equivalence class.  Classes that occur on half
 of the pages and whose tokens stand inside other such classes nest into the
 host's template; the text that is left between a template's tokens lies in its
 slots.  The main slot is the one inside an article or main element if the
-template has any, else the one that holds most of the text outside of links.
+template has any, else the one that holds most of the text outside of links,
+which is a container (never a paragraph, a list, a table or the like), together
+with what stands beside it.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li "
     "listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that a main slot without an article can be; the others are an article's content, never its whole.
+CONTAINER = frozenset("html body div section center".split())
 RAW = "script|style|textarea|title|iframe|noembed|noframes|xmp|svg|math|template|noscript"
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -156,25 +160,52 @@ def article_root(path: str) -> str | None:
     return None
 
 
+def beside(path: str, root: str) -> tuple[str, bool]:
+    """What of the elements around the slot ``root`` holds ``path`` that lies outside of it, and whether that is a container.
+
+    Empty if it lies in a container beside one of the elements around the slot, which is another slot.
+    """
+    parts, around = path.split("/"), root.split("/")
+    k = next((k for k, (a, b) in enumerate(zip(parts, around, strict=False)) if a != b), min(len(parts), len(around)))
+    if k == len(parts):
+        return path, False
+    container = parts[k].split(".")[0] in CONTAINER
+    return ("" if container and k < len(around) - 1 else "/".join(parts[: k + 1])), container
+
+
 def main_text(html: str | None, roots: list[str]) -> str:
-    """Text of the slots under ``roots``; of a page that has none there, of its own article, else of all that does not stand apart."""
+    """Text of the slots under ``roots``; of a page that has none there, of its own article, else of all that does not stand apart.
+
+    A slot that is no article is joined by what stands beside it: blocks of
+    text beside it or the elements around it, and containers beside it unless
+    most of their words on the page are in links.
+    """
     html = html or ""
-    chosen: list[str] = []
     blocks: list[tuple[str, bool, list[str]]] = []
+    words: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     fresh = True
-    for kind, element, text, _ in walk(html):
+    for kind, element, text, linked in walk(html):
         if kind != "text":
             fresh = True
         elif not element.apart:
             if fresh or blocks[-1][0] != element.path:
                 blocks.append((element.path, element.article, []))
             blocks[-1][2].append(text)
+            words[element.path][linked] += len(text.split())
             fresh = False
         elif not element.inline:
             fresh = True
     lines = [(path, article, " ".join(entities.unescape("".join(parts)).split())) for path, article, parts in blocks]
     lines = [x for x in lines if x[2]]
     chosen = [line for path, _, line in lines if inside(path, roots)]
+    if chosen and len(roots) == 1 and article_root(roots[0]) is None:
+        held = {path: beside(path, roots[0]) for path in words if not inside(path, roots)}
+        sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for path, (place, _) in held.items():
+            for k in (0, 1):
+                sums[place][k] += words[path][k]
+        kept = {path for path, (place, container) in held.items() if place and not (container and sums[place][1] > sums[place][0])}
+        chosen = [line for path, _, line in lines if path in kept or inside(path, roots)]
     if not chosen:
         own = any(article for _, article, _ in lines)
         chosen = [line for _, article, line in lines if article or not own]
@@ -234,11 +265,15 @@ def deduce(tokens: list[tuple[str, int, int, int, int]]) -> list[str]:
     if articles:
         inner = [r for r in articles if "article" in r.rpartition("/")[2].split(".")[0]]
         return inner or articles
-    total, best = sum(slots.values()), ""
+    total = left = sum(slots.values())
+    at = best = ""
     for path in sorted(template, key=lambda p: (p.count("/"), p)):
-        if inside(path, [best]) or best == "":
-            if sum(w for p, w in slots.items() if inside(p, [path])) > MAIN_SHARE * total:
-                best = path
+        if path.rpartition("/")[2].split(".")[0] in CONTAINER and (inside(path, [at]) or at == ""):
+            words = sum(w for p, w in slots.items() if inside(p, [path]))
+            if words > MAIN_SHARE * total:
+                at = path
+                if best == "" or words < left:  # one that holds as much as the element around it leaves nothing out
+                    best, left = path, words
     return [best] if total and best else []
 
 

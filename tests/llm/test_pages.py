@@ -35,6 +35,24 @@ def test_template_of_equal_occurrence():
     assert html_extract.deduce([]) == []
 
 
+def test_content_of_every_kind_without_an_article(spark):
+    """Headings, lists, quotes, tables and pre blocks stay, as do a heading, a lead and a quote beside the slot; a list of links does not."""
+    body = "<h2>Part %d</h2><p>%s</p><ul><li>one thing<li>two</ul><blockquote>Quote</blockquote><table><tr><td>cell</table><pre>code</pre>"
+    want = "Part %d\n%s\none thing\ntwo\nQuote\ncell\ncode"
+    p = "a word and another one " * 20
+    links = "<div class='left'><a href='/1'>first page</a> <a href='/2'>second page</a></div>"
+    rows = [(k, f"http://a.com/{k}", PAGE % f"<div class='content'>{body % (k, p)}</div>") for k in range(4)]
+    rows += [(10 + k, f"http://b.com/{k}", PAGE % f"{links}<div class='content'><h1>Title {k}</h1><div class='lead'>A lead.</div><div class='body'>{body % (k, p)}</div>{'<blockquote>Seldom</blockquote>' * (k == 3)}{links}</div>") for k in range(4)]
+    rows += [(20, "http://c.com/", PAGE % f"<h1>Alone</h1><div class='content'>{body % (0, p)}</div>")]
+    rows += [(30 + k, f"http://d.com/{k}", PAGE % f"{links}<div class='content'><div class='para'>{p}</div><div class='para'>{p}</div><div class='cite'>Cited</div></div>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(4):
+        assert got[k] == want % (k, p.strip())
+        assert got[10 + k] == f"Title {k}\nA lead.\n" + want % (k, p.strip()) + "\nSeldom" * (k == 3)
+    assert got[20] == "Alone\n" + want % (0, p.strip())
+    assert got[30] == got[32] == f"{p.strip()}\n{p.strip()}\nCited"
+
+
 RULES = [url_filter.parse_rule(x) for x in queries.URL_RULES]
 
 
