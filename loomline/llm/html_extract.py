@@ -44,7 +44,7 @@ BLOCK = frozenset(
 )
 #: Elements that a main slot without an article can be; the others are an article's content, never its whole.
 CONTAINER = frozenset("html body div section center".split())
-RAW = "script|style|textarea|title|iframe|noembed|noframes|xmp|svg|math|template|noscript"
+RAW = "script|style|textarea|title|iframe|noembed|noframes|xmp|svg|template|noscript"
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"},
@@ -61,7 +61,7 @@ MARKED_APART = frozenset(
 SITE_HEADER = frozenset({"header", "topbar"})
 
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z""",
+    rf"""<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>"']++|"[^"]*"|'[^']*')*+(?<=/)>|<({RAW})(?=[\s/>])(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z""",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -312,7 +312,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A null html counts as empty and has an empty text; so has a page without
     text outside of what stands apart.  Pages without a url, or with one that
     names no host, share the host of that empty name.  Character references
-    are decoded after markup is removed, white space in a block becomes one
+    are decoded after markup is removed.  The contents of script, style,
+    textarea, title, iframe, noembed, noframes, xmp, svg, template and noscript
+    are no text, up to the end tag or the end of the page (a self-closed svg is
+    empty); the text in math is text.  White space in a block becomes one
     space, and blocks follow each other by page order, one to a line.  Other
     columns are ignored; repeated rows are repeated; no rows give no rows.
     """

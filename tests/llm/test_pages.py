@@ -53,6 +53,18 @@ def test_content_of_every_kind_without_an_article(spark):
     assert got[30] == got[32] == f"{p.strip()}\n{p.strip()}\nCited"
 
 
+def test_elements_that_look_like_raw_text(spark):
+    """Self-closed svg and math, math's text, and names that only begin like those of raw elements."""
+    texts = {
+        "<p>one <svg viewBox='0 0 1 1'/> two</p><p>three</p>": "one two\nthree", "<p>one <math/> two</p><p>three</p>": "one two\nthree",
+        "<p>one <svg a=\"/>\"><text>no</text></svg> two": "one two", "<p>if <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> then": "if x<2 then",
+        "<title-card>a card</title-card><p>and <template-x>more</template-x>": "a card\nand more", "<script src='x'/>no</script><p>yes": "yes", "<p>one<style\n>no</style > two": "one two",
+    }
+    rows = [(k, "http://a.com/", f"<article>{html}</article>") for k, html in enumerate(texts)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+
+
 RULES = [url_filter.parse_rule(x) for x in queries.URL_RULES]
 
 
