@@ -17,9 +17,6 @@ from loomline.llm import exact_dedup, langid, mixing, near_dedup, queries, scrat
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A text stays if its language has at least this share of its letters.
-LEAST_SHARE = 0.5
-
 #: Tables that the stage before has left in the shared folder.
 _LEFT: list = []
 
@@ -43,8 +40,8 @@ def _stage(step: Stage) -> Stage:
 
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, no letter, or no language with LEAST_SHARE of the letters."""
-    return langid.keep_certain(docs, langid.fit(docs), LEAST_SHARE)
+    """Drops documents without a language: no text, or no letter.  Texts in several languages stay."""
+    return langid.keep_certain(docs, langid.fit(docs))
 
 
 @_stage

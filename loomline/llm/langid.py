@@ -277,8 +277,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_certain(docs: DataFrame, model: Model, least_share: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has a language with at least ``least_share`` of its letters, with all their columns."""
+def keep_certain(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a language, or several, with all their columns; only what is ``und`` goes."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -287,6 +287,6 @@ def keep_certain(docs: DataFrame, model: Model, least_share: float, text_col: st
         words = Words(sent.value)
         for batch in batches:
             found = label_texts(batch.column(at).to_pylist(), words)
-            yield batch.filter(pa.array([lang != UNDETERMINED and share >= least_share for lang, share in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNDETERMINED for lang, _ in found], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

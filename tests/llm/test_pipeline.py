@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from loomline.llm import queries
+from loomline.llm import langid, queries
 
 from . import plain
 
@@ -44,3 +44,16 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, seen["sentencepiece"]))
     empty = queries.table(spark, str(tmp_path), "documents").limit(0)
     assert [step(spark, empty, str(tmp_path)).count() for _, step in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_mixed_languages_stay(spark):
+    """A text in three languages, none of which has half of its letters."""
+    r = random.Random(5)
+    parts = {"en": "the of and th ing er on at".split(), "de": "der die und ung sch ein ver ge".split(), "fr": "que les ou eau oi aux ette qui".split()}
+    words = lambda lang, n: " ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(k, words(lang, 60), lang, "s", 1) for k, lang in enumerate(["en", "de", "fr"] * 40)]
+    rows += [(500, " ".join((words("en", 45), words("de", 30), words("fr", 30))), None, "s", 1), (501, "12 34", None, "s", 1), (502, None, "en", "s", 1), (503, "", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = langid.predict(docs.where("doc_id = 500"), langid.fit(docs)).first()
+    assert found.lang_pred == "en" and found.score < 0.5
+    assert sorted(x.doc_id for x in corpus_pipeline.language_id(spark, docs, "").collect()) == [*range(120), 500]
