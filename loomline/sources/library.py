@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,10 @@ from .. import schema as T
 from ..operators import quality
 
 
+#: Columns that the table is partitioned by.
+SEASON_COLUMNS = ("season_year", "season_quarter")
+
+
 class LibraryError(RuntimeError):
     """A library that must not be written, with its issues."""
 
@@ -43,8 +47,34 @@ def write_table(items: DataFrame, path: str) -> None:
     found = blocked.limit(100).collect()  # a report of some, not the whole table
     if found:
         raise LibraryError("CACHE_VALIDATION_FAILED", "the items have errors", found)
-    keyed = items.withColumn("season_year", F.col("primarySeason.year")).withColumn("season_quarter", F.col("primarySeason.quarter"))
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season_year", "season_quarter").parquet(path)
+    keyed(items).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SEASON_COLUMNS).parquet(path)
+
+
+def keyed(items: DataFrame) -> DataFrame:
+    """Items with the columns that the table is partitioned by; both are null for an item without a season."""
+    return items.withColumn("season_year", F.col("primarySeason.year")).withColumn("season_quarter", F.col("primarySeason.quarter"))
+
+
+def in_seasons(seasons: Iterable[tuple[int | None, str | None]]) -> Column:
+    """Whether a row of the table lies in one of the seasons, null being a season of its own: a filter on partitions."""
+    found = F.lit(False)
+    for year, quarter in sorted(seasons, key=str):
+        found = found | (F.col("season_year").eqNullSafe(F.lit(year)) & F.col("season_quarter").eqNullSafe(F.lit(quarter)))
+    return found
+
+
+def delete_season(spark: SparkSession, path: str, season: tuple[int | None, str | None]) -> None:
+    """Delete the files of one season of the table."""
+    year, quarter = ("__HIVE_DEFAULT_PARTITION__" if v is None else v for v in season)
+    _, files, folder = _files(spark, f"{path}/season_year={year}/season_quarter={quarter}")
+    files.delete(folder, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's package, file system and path object of a path, whatever store it is in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    return hadoop, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def append_log(spark: SparkSession, entry: dict, path: str) -> None:

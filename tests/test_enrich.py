@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
+
 from loomline import schema
 from loomline.operators import enrich, match
-from loomline.sources import snapshots
+from loomline.sources import library, snapshots
 from loomline.streaming import refresh as stream
 
 from .items import NOW, bound, episode, frame, item, source
@@ -60,3 +62,30 @@ def test_stream(spark, tmp_path):
     write(2, item("b", updateTime="20:00", updatedAt="2026-07-29T00:00:00Z"), item("c"))
     stream.start(stream.watch(spark, str(folder)), table, str(tmp_path / "state")).awaitTermination()
     assert {r.id: r.updateTime for r in spark.read.parquet(table).collect()} == {"a": "23:30", "b": "20:00", "c": "23:30"}
+
+
+def upserted(spark, table, *rows):
+    stream.upsert(frame(spark, list(rows)).drop("ordinal"), table)
+    return {r.id: (r.season_year, r.season_quarter, r.updateTime) for r in spark.read.parquet(table).collect()}
+
+
+def test_upsert_keeps_rows_without_a_season_and_moves_rows_between_seasons(spark, tmp_path):
+    table = str(tmp_path / "table")
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "reliable"))
+    undated = {"startDate": None, "primarySeason": None, "activeSeasons": [], "schedule": [], "updateWeekday": None, "updateTime": None}
+    fall = {"startDate": "2026-10-02", "primarySeason": {"year": 2026, "quarter": "fall"}, "activeSeasons": [{"year": 2026, "quarter": "fall"}], "schedule": [episode("2026-10-02")]}
+    assert set(upserted(spark, table, item("u1", **undated), item("u2", **undated), item("m"), item("s"))) == {"u1", "u2", "m", "s"}
+    assert set(upserted(spark, table, item("u3", **undated))) == {"u1", "u2", "u3", "m", "s"}
+    got = upserted(spark, table, item("m", **fall))
+    assert got["m"][:2] == (2026, "fall") and spark.read.parquet(table).count() == 5 and got["s"][1] == "summer"
+    # The last row of a season leaves it, one gets a season, one loses it; the same batch again changes nothing.
+    batch = (item("s", **fall), item("u1"), item("m", **undated))
+    first = upserted(spark, table, *batch)
+    assert first == upserted(spark, table, *batch) and spark.read.parquet(table).count() == 5
+    assert first["s"][1] == "fall" and first["u1"][1] == "summer" and first["m"][:2] == (None, None)
+    before = first
+    with pytest.raises(library.LibraryError):
+        upserted(spark, table, item("u2", timezone="UTC"))
+    assert {r.id: (r.season_year, r.season_quarter, r.updateTime) for r in spark.read.parquet(table).collect()} == before
+    assert upserted(spark, table, item("u2"), item("u2", updateTime="20:00", updatedAt="2026-07-29T00:00:00Z"))["u2"] == (2026, "summer", "20:00")
+    assert "PartitionFilters: [((" in spark.read.parquet(table).where(library.in_seasons({(None, None), (2026, "fall")}))._jdf.queryExecution().toString()
