@@ -18,9 +18,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, or a new local one where it names none."""
+    """The shared folder that the session names; where it names none, a new local one, if driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError(f"spark.checkpoint.dir is not set: executors of {master} don't see a folder of the driver's machine")
         found = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -36,6 +39,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Staged tables of one schema as one table, read by one scan."""
+    first = tables[0]
+    paths = sorted({f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()})
+    return first.sparkSession.read.schema(first.schema).parquet(*paths) if len(tables) > 1 and paths else first
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:  # the session has ended, and its folder with it
         return
