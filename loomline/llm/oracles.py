@@ -70,9 +70,9 @@ FROM h LEFT JOIN o ON o.doc_id = h.doc_id
 """
 
 OP8 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
 """
@@ -95,9 +95,9 @@ e AS (SELECT src, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqr
 b AS (SELECT 'trust' AS kind, src, dst, weight FROM e UNION ALL SELECT 'distrust', dst, src, weight FROM e),
 f AS (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS part FROM b),
 m AS (SELECT 'distrust' AS kind, host FROM h WHERE nb * 2 > n UNION ALL SELECT 'trust', host FROM h WHERE na > 0 AND nb * 2 <= n),
-r0 AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS s FROM m),
+r0 AS (SELECT kind, host, 1.0::DOUBLE AS s FROM m),
 {", ".join(rounds)},
-z AS (SELECT host, round(coalesce(sum(s) FILTER (kind = 'trust'), 0), 12) AS trust, round(coalesce(sum(s) FILTER (kind = 'distrust'), 0), 12) AS distrust FROM r{ROUNDS} GROUP BY host)
+z AS (SELECT host, round(coalesce(sum(s) FILTER (kind = 'trust'), 0), 9) AS trust, round(coalesce(sum(s) FILTER (kind = 'distrust'), 0), 9) AS distrust FROM r{ROUNDS} GROUP BY host)
 SELECT page_id, j.host, path, best.rule AS rule, coalesce(best.v, CASE WHEN coalesce(distrust, 0) >= {threshold} AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN z ON z.host = j.host
 """

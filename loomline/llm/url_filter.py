@@ -73,34 +73,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def host_scores(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Trust and distrust of hosts: host, trust, distrust, trust_parts, distrust_parts.
+    """Trust and distrust of hosts: host, trust, distrust.
 
     ``hosts`` has host, trusted and blocked (booleans); ``edges`` has src, dst
-    and weight.  Each seed begins with an equal part of 1.  Trust follows the
-    links in proportion to their weight, distrust goes against them.  What a
-    host without links would pass on is lost, so scores sum to 1 at most.  The
-    parts are the scores measured in what one seed begins with; other than the
-    scores, they do not shrink as the number of seeds grows.
+    and weight.  Each seed begins with 1 and gets 1 - damping back in every
+    round, so scores are measured in seeds and don't shrink as seeds become
+    more (shares of 1 would be these scores over the number of seeds).  Trust
+    follows the links in proportion to their weight, distrust goes against
+    them.  What a host without links would pass on is lost.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     total = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     flows = scratch.stage(both.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("part")), "op9-edges")
     marks = hosts.select("host", F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("trusted").alias("on")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("on")))).alias("m"))
-    marks = marks.where("m.on").select("m.kind", "host")
-    n = marks.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    seeds = scratch.stage(marks.join(F.broadcast(n), "kind").select("kind", "host", "n", (F.lit(1.0) / F.col("n")).alias("s")), "op9-seeds")  # n: two rows
-    rank = seeds.select("kind", "host", F.col("s").alias("score"))
-    restart = seeds.select("kind", "host", (F.col("s") * F.lit(1.0 - damping)).alias("score"))
+    seeds = scratch.stage(marks.where("m.on").select("m.kind", "host"), "op9-seeds")
+    rank = seeds.withColumn("score", F.lit(1.0))
+    restart = seeds.withColumn("score", F.lit(1.0 - damping))
     for k in range(rounds):
         moved = rank.join(flows, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * F.lit(damping)).alias("score"))
         rank = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if (k + 1) % CUT == 0:
             rank = scratch.stage(rank, "op9-rank")
-    rank = rank.join(F.broadcast(seeds.groupBy("kind").agg(F.max("n").alias("n"))), "kind")
-    value = lambda kind, score: F.coalesce(F.sum(F.when(F.col("kind") == kind, score)), F.lit(0.0))
-    kinds, score, parts = ("trust", "distrust"), F.col("score"), F.col("score") * F.col("n")
-    return rank.groupBy("host").agg(*(value(k, score).alias(k) for k in kinds), *(value(k, parts).alias(k + "_parts") for k in kinds))
+    value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
+    return rank.groupBy("host").agg(value("trust"), value("distrust"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.001, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -108,11 +104,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.001, id_
 
     A host is a blocked seed if rules block more than half of its pages, and a
     trusted one if it isn't and a rule allows one.  Without a fitting rule a
-    page is blocked if its host's distrust is at least ``threshold`` and above
-    its trust, both measured in what one seed begins with, else allowed; so the
-    number of hosts does not decide.  A null url, or one without ``://``, has an empty
-    host, no rule and the verdict allow; a null html has no links.  Other
-    columns are ignored; no rows give no rows.
+    page is blocked if its host's distrust is at least ``threshold`` seeds and
+    above its trust, else allowed; so the number of hosts does not decide.  A
+    null url, or one without ``://``, has an empty host, no rule and the verdict
+    allow; a null html has no links.  Other columns are ignored; no rows give
+    no rows.
     """
     url = F.col(url_col)
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_col).alias("html"))
@@ -122,9 +118,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.001, id_
     blocked = F.col("nb") * 2 > F.col("n")
     hosts = per_host.select("host", blocked.alias("blocked"), ((F.col("na") > 0) & ~blocked).alias("trusted"))
     scores = host_scores(hosts, host_edges(read))
-    scores = scores.select("host", *(F.round(c, 12).alias(c) for c in ("trust", "distrust", "trust_parts", "distrust_parts")))
+    scores = scores.select("host", *(F.round(c, 9).alias(c) for c in ("trust", "distrust")))
     zero = F.lit(0.0)
     trust, distrust = F.coalesce("trust", zero), F.coalesce("distrust", zero)
-    by_host = F.when((F.col("distrust_parts") >= threshold) & (F.col("distrust_parts") > F.col("trust_parts")), F.lit("block")).otherwise(F.lit("allow"))
+    by_host = F.when((distrust >= threshold) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))
     out = read.drop("html").join(scores, "host", "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
