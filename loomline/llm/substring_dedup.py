@@ -31,10 +31,14 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of text that windows are formed of at a time.
 PIECE = 1 << 18
-#: Bytes of segments in a shard, about.
-SHARD_BYTES = 2_000_000
+#: Bytes of segments in a shard, about, and in the shards that one task sorts one after the other.
+SHARD_BYTES, TASK_BYTES = 2_000_000, 128_000_000
+#: Tasks that shards are dealt to at least, if there are as many shards.
+LEAST_TASKS = 4_096
 #: An anchor with more segments than this is not sorted in one shard; its windows are counted one by one instead.
 ANCHOR_SEGMENTS = 20_000
+#: Rows of a common anchor that one part of a salted join holds, about.
+SALT_ROWS = 2_000
 #: Bits of the table that tells which documents a step can leave where they are: 2**FILTER_BITS, 64 to a row.
 FILTER_BITS = 26
 
@@ -114,9 +118,14 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int, in
         yield np.frombuffer(b"".join(held), np.uint8), where
 
 
-def key_of(text: bytes) -> int:
-    """With the id, what a row's pieces are joined by again: rows may share an id."""
-    return xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF
+def keys_of(ids: list[int | None], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row's id and text, as two arrays: what a row's pieces are joined by again.
+
+    Rows that agree in id and text share a key, and lose the same bytes.
+    """
+    raw = b"".join(xxhash.xxh3_128_digest(b"%d:" % i + t if i is not None else b":" + t) for i, t in zip(ids, texts, strict=True))
+    both = np.frombuffer(raw, np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -126,13 +135,16 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-_SEGMENTS = "doc_id long, text_key int, anchor long, content long, start int, windows int"
+#: Columns of a row's key.
+_KEY = ["key_a", "key_b"]
+_KEYS = "key_a long, key_b long"
+_SEGMENTS = f"{_KEYS}, anchor long, content long, start int, windows int"
 
 
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(batches):
         texts = [(t.as_py() or "").encode() for t in batch.column("text")]
-        keys = np.array([key_of(t) for t in texts], np.int32)
+        key_a, key_b = keys_of(batch.column("doc_id").to_pylist(), texts)
         for data, where in _pieces(texts):
             ends = [w[2] for w in where[1:]] + [len(data)]
             anchors, starts, windows = segments(data, [(w[2], e) for w, e in zip(where, ends, strict=True)])
@@ -145,17 +157,17 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows = row[part]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(rows)), pa.array(keys[rows]), pa.array(anchors.view(np.int64)), pa.array(content.view(np.int64)),
+                    pa.array(key_a[rows]), pa.array(key_b[rows]), pa.array(anchors.view(np.int64)), pa.array(content.view(np.int64)),
                     pa.array((starts - place[part] + offset[part]).astype(np.int32)), pa.array(windows.astype(np.int32)),
                 ],
-                names=["doc_id", "text_key", "anchor", "content", "start", "windows"],
+                names=[*_KEY, "anchor", "content", "start", "windows"],
             )
 
 
 def filter_table(rows: DataFrame) -> np.ndarray:
-    """Bits set at the text_keys of ``rows``: a table of a fixed size, whatever their number."""
-    bit = F.pmod("text_key", F.lit(1 << FILTER_BITS))
-    words = rows.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(text_key, {1 << FILTER_BITS}) & 63 as int))").alias("bit"))
+    """Bits set at the keys of ``rows``: a table of a fixed size, whatever their number."""
+    bit = F.pmod("key_a", F.lit(1 << FILTER_BITS))
+    words = rows.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key_a, {1 << FILTER_BITS}) & 63 as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy()
@@ -163,44 +175,42 @@ def filter_table(rows: DataFrame) -> np.ndarray:
 
 
 def _passing(table, wanted: bool):
-    """Rows whose text_key the table has (or has not), with that key; a row that it has not is surely not among those it was made of."""
+    """Rows whose key the table has (or has not), with that key; a row that it has not is surely not among those it was made of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
-            keys = np.array([key_of((t.as_py() or "").encode()) for t in batch.column("text")], np.int32)
-            at = keys.astype(np.int64) & ((1 << FILTER_BITS) - 1)
+            key_a, key_b = keys_of(batch.column("doc_id").to_pylist(), [(t.as_py() or "").encode() for t in batch.column("text")])
+            at = key_a & ((1 << FILTER_BITS) - 1)
             inside = ((bits[at >> 6] >> (at & 63)) & 1).astype(bool)
             mask = pa.array(inside == wanted)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(mask), pa.array(keys).filter(mask), batch.column("text").filter(mask)], names=["doc_id", "text_key", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(mask), pa.array(key_a).filter(mask), pa.array(key_b).filter(mask), batch.column("text").filter(mask)], names=["doc_id", *_KEY, "text"])
 
     return run
 
 
-_KEYED = "doc_id long, text_key int, text string"
+_KEYED = f"doc_id long, {_KEYS}, text string"
 
 
 def _joined(rows: DataFrame, table, by_doc: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows that the filter passes, joined with a table by id and key; the texts that it holds back are not shuffled."""
-    passing = rows.mapInArrow(tidy(_passing(table, True)), _KEYED)
-    other = by_doc.select(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key"), *[c for c in by_doc.columns if c not in ("doc_id", "text_key")])
-    return passing.join(other, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_key") == F.col("o_key")), how).drop("o_id", "o_key")
+    """Rows that the filter passes, joined with a table by key; the texts that it holds back are not shuffled."""
+    return rows.mapInArrow(tidy(_passing(table, True)), _KEYED).join(by_doc, _KEY, how)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments asked for, from their texts."""
     for batch in _sliced(batches):
         rows = []
-        for doc_id, key, text, asked in zip(batch.column("doc_id"), batch.column("text_key"), batch.column("text"), batch.column("asked"), strict=True):
+        for key_a, key_b, text, asked in zip(*(batch.column(c) for c in (*_KEY, "text", "asked")), strict=True):
             data = (text.as_py() or "").encode()
-            rows += [(doc_id.as_py(), key.as_py(), s["anchor"], s["start"], s["members"], s["kinds"], data[s["start"] : s["start"] + s["windows"] + LENGTH - 1]) for s in asked.as_py()]
+            rows += [(key_a.as_py(), key_b.as_py(), s["anchor"], s["start"], s["members"], s["kinds"], data[s["start"] : s["start"] + s["windows"] + LENGTH - 1]) for s in asked.as_py()]
         for at in range(0, len(rows), 20_000):
             columns = zip(*rows[at : at + 20_000], strict=True)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text_key", "anchor", "start", "members", "kinds", "data"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*_KEY, "anchor", "start", "members", "kinds", "data"])
 
 
-_SPANS = "doc_id long, text_key int, first int, last int"
+_SPANS = f"{_KEYS}, first int, last int"
 
 
 def _spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +223,7 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "text_key", "start", "members", "data")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in ("shard", *_KEY, "start", "members", "data")), strict=True)
 
     for _, group in itertools.groupby(rows(), lambda r: r[0]):
         lines = list(group)
@@ -240,18 +250,19 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans_batch(found: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "text_key", "first", "last"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[*_KEY, "first", "last"])
 
 
 def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """128-bit hashes of all windows of segments whose anchor has too many of them for a shard."""
     for batch in _sliced(batches):
         rows = []
-        for doc_id, key, start, members, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "start", "members", "data")), strict=True):
-            rows += [(xxhash.xxh3_128_digest(data[i : i + LENGTH]), doc_id, key, start + i, members) for i in range(len(data) - LENGTH + 1)]
-        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["window", "doc_id", "text_key", "start", "members"])
+        for key_a, key_b, start, members, data in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "start", "members", "data")), strict=True):
+            rows += [(xxhash.xxh3_128_digest(data[i : i + LENGTH]), key_a, key_b, start + i, members) for i in range(len(data) - LENGTH + 1)]
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["window", *_KEY, "start", "members"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -297,42 +308,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text counts as empty.  Matches lie within a text's UTF-8 bytes, in
     the same document or another; a removed run may end inside a character.
     All occurrences go, the first one too.  Rows that repeat a text lose all of
-    it, if it has LENGTH bytes.  Null and repeated ids are told apart by the
-    texts.  Other columns are ignored; no rows give no rows.
+    it, if it has LENGTH bytes.  Rows are told apart by 128 bits of id and
+    text: many may have no id, or the same.  Other columns are ignored; no rows give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     small_batches(spark)
+    begun = scratch.mark()
     found = scratch.stage(rows.mapInArrow(tidy(_find_segments), _SEGMENTS), "op7-segments")
     # What is joined back on a key that may be common is staged first: a join of two plain shuffles is one that Spark can split.
-    common = scratch.stage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "op7-common")
-    shared = scratch.stage(found.join(common, "anchor"), "op7-shared")
+    common = scratch.stage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "op7-common")
+    # The rows of a common anchor are salted, as they meet again by content below.
+    shared = found.join(common, "anchor").withColumn("salt", F.pmod(F.xxhash64(*_KEY, "start"), F.col("salts")).cast("int"))
+    shared = scratch.stage(shared, "op7-shared")
 
     # By content: how often it occurs, and one occurrence; by anchor: how many contents it has.
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "start", "windows")).alias("one")
-    contents = scratch.stage(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("members"), one), "op7-contents")
+    one = F.min(F.struct(*_KEY, "start", "windows")).alias("one")
+    contents = scratch.stage(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("members"), one, F.max("salts").alias("salts")), "op7-contents")
     kinds = scratch.stage(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "op7-kinds")
-    whole = shared.join(contents.where("members > 1").select("anchor", "content"), ["anchor", "content"])
-    whole = whole.select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("windows") + F.lit(LENGTH - 1)).alias("last"))
+    twice = contents.where("members > 1").select("anchor", "content", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    whole = shared.join(twice, ["anchor", "content", "salt"])
+    whole = whole.select(*_KEY, F.col("start").alias("first"), (F.col("start") + F.col("windows") + F.lit(LENGTH - 1)).alias("last"))
 
-    asked = contents.join(kinds, "anchor").select("one.doc_id", "one.text_key", F.struct("anchor", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), "members", "kinds").alias("s"))
-    asked = scratch.stage(asked.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("asked")), "op7-asked")
+    asked = contents.join(kinds, "anchor").select(*(f"one.{c}" for c in _KEY), F.struct("anchor", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), "members", "kinds").alias("s"))
+    asked = scratch.stage(asked.groupBy(*_KEY).agg(F.collect_set("s").alias("asked")), "op7-asked")
     table = spark.sparkContext.broadcast(filter_table(asked))
-    cut = _joined(rows, table, asked).select("doc_id", "text_key", "text", "asked")
-    cut = cut.mapInArrow(tidy(_cut_out), "doc_id long, text_key int, anchor long, start int, members long, kinds long, data binary").dropDuplicates(["doc_id", "text_key", "anchor", "start"])
+    cut = _joined(rows, table, asked).select(*_KEY, "text", "asked")
+    cut = cut.mapInArrow(tidy(_cut_out), f"{_KEYS}, anchor long, start int, members long, kinds long, data binary").dropDuplicates([*_KEY, "anchor", "start"])
     cut = scratch.stage(cut, "op7-cut")
+    table.destroy()
 
     total = cut.where(F.col("kinds") <= ANCHOR_SEGMENTS).agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    dealt = cut.where(F.col("kinds") <= ANCHOR_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    dealt = dealt.select("shard", "doc_id", "text_key", "start", "members", "data").repartition(shards, "shard").sortWithinPartitions("shard")
+    # A task sorts its shards one after the other, so that their number doesn't become that of a shuffle's partitions.
+    tasks = min(shards, max(LEAST_TASKS, -(-total // TASK_BYTES)))
+    dealt = cut.where(F.col("kinds") <= ANCHOR_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    dealt = dealt.select("shard", *_KEY, "start", "members", "data").repartition(tasks, "shard").sortWithinPartitions("shard")
     sorted_spans = dealt.mapInArrow(tidy(_sort_shards), _SPANS)
-    windows = cut.where(F.col("kinds") > ANCHOR_SEGMENTS).mapInArrow(tidy(_each_window), "window binary, doc_id long, text_key int, start int, members long")
+    windows = cut.where(F.col("kinds") > ANCHOR_SEGMENTS).mapInArrow(tidy(_each_window), f"window binary, {_KEYS}, start int, members long")
     often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    counted = windows.where("members = 1").join(often, "window").select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.lit(LENGTH)).alias("last"))
+    counted = windows.where("members = 1").join(often, "window").select(*_KEY, F.col("start").alias("first"), (F.col("start") + F.lit(LENGTH)).alias("last"))
     spans = whole.unionByName(sorted_spans).unionByName(counted)
 
-    by_doc = scratch.stage(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "op7-spans")
+    by_doc = scratch.stage(spans.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans")), "op7-spans")
+    scratch.release_unread(scratch.since(begun), by_doc)
     table = spark.sparkContext.broadcast(filter_table(by_doc))
     schema = _RESULT + ", kept binary" * with_bytes
     cleaned = _joined(rows, table, by_doc, "left").select("doc_id", "text", "spans").mapInArrow(tidy(_remove(with_bytes)), schema)

@@ -140,6 +140,15 @@ def test_repeats_in_texts_longer_than_a_piece(spark, monkeypatch):
     assert collected(substring_dedup.remove_repeats(df)) == plain.repeats(rows)
 
 
+def test_repeats_of_many_rows_without_an_id(spark):
+    """Rows that share an id, or have none, are never taken for one another, however many they are."""
+    part = lambda k: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{k}")), 256)
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(*(part(k) for k in range(4))).alias("text"))
+    df = rows.unionByName(rows.limit(1))
+    got = substring_dedup.remove_repeats(df)
+    assert got.count() == 200_001 and [r.n_removed for r in got.where("n_removed > 0").collect()] == [256, 256]
+
+
 def test_mix(table, empty):
     got = mixing.mix(table).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(table.repartition(3)).collect()), key=repr)
