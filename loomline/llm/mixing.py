@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling (operator 10), in built-in functions only.
 
-Each source has a target in words.  A document goes into the mix with as many
-whole copies as the target is certain to hold, and one more is drawn for some:
-documents are ranked by their random odds divided by their inclusion odds, and
-the first of that order are taken until the source's rest is filled.
+Each source has a target in words.  A document's expected copies grow with the
+binary digits of its size, to fill the target on average.  It goes into the mix
+with as many whole copies as it is certain to have, and one more is drawn for
+some: documents are ranked by their random odds divided by their inclusion
+odds, and the first of that order are taken until the source's rest is filled.
 """
 
 from __future__ import annotations
@@ -61,16 +62,40 @@ def _with_small(rows: DataFrame, small: DataFrame, n_small: int, salt: Column) -
     return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(copies, ["skey", "salt"]).drop("salt")
 
 
+def expected_copies(classes: DataFrame) -> DataFrame:
+    """Expected copies of a document: ``classes`` has skey, digits, words and target; gives skey, digits, copies.
+
+    Copies are c * digits, MOST_COPIES at most, where c is such that a source's
+    words times their copies sum up to its target.  With the longest first, the
+    first classes are at the most, and the rest divide what that leaves; the
+    share that this ends in is found at once, as in :func:`targets`.  A source
+    has as many classes as a size has binary digits, 64 at most.
+    """
+    order = Window.partitionBy("skey").orderBy(F.col("digits").desc())
+    whole = Window.partitionBy("skey")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.col("words") * F.col("digits")
+    left = F.col("target") - F.lit(MOST_COPIES) * F.coalesce(F.sum("words").over(earlier), F.lit(0))
+    parts = F.sum(weight).over(whole) - F.coalesce(F.sum(weight).over(earlier), F.lit(0))
+    level = classes.withColumn("level", F.when(parts > 0, left / parts))
+    fits = F.when(F.col("level") * F.col("digits") <= MOST_COPIES, F.struct((-F.col("digits")).alias("first"), "level"))
+    settled = level.withColumn("share", F.min(fits).over(whole)["level"])
+    copies = F.least(F.lit(float(MOST_COPIES)), F.coalesce(F.col("share"), F.lit(float("inf"))) * F.col("digits"))
+    return settled.select("skey", "digits", F.greatest(copies, F.lit(0.0)).alias("expected"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken, and copies.
 
     size is the text's words, none of a null; a null source is a source of its
-    own.  Random numbers come from md5(seed:doc_id), so reruns agree; rows that
-    share an id (or have none) share a number and are ranked by size.  A
-    document without words is never taken.  copies = taken / size lies in 0 ..
-    MOST_COPIES.  The words a source takes differ from its target by half its
-    largest document at most (by half a group of rows equal in id and size).
-    Other columns are ignored; no rows give no rows.
+    own.  The chance of a copy beyond the certain ones grows with the binary
+    digits of size, see :func:`expected_copies`.  Random numbers come from md5
+    of seed, id and the text's md5, so reruns agree and rows without an id draw
+    their own; rows that agree in id and text are ranked one after the other.
+    A document without words is never taken.  copies = taken / size lies in 0
+    .. MOST_COPIES.  The words a source takes differ from its target by half
+    its largest document at most.  Other columns are ignored; no rows give no
+    rows.
 
     A source may hold a third of all rows: nothing ranks a whole source in one
     task.  Pareto ranks are cut into bins, words are summed by bin, and only
@@ -79,27 +104,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _mix(docs, id_col, text_col, source_col, seed, False)
 
 
+def digits_of(size: Column) -> Column:
+    """Binary digits of a size; 0 of none."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(F.lit(0)).cast("int")
+
+
 def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, carried: bool) -> DataFrame:
     """The rows of :func:`mix`, with the whole row as struct ``row`` if it is to be carried along; rows are not shuffled but for one bin."""
     row = ["row"] * carried
     whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * carried
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
+    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    draw = F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("long")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("skey"), draw.alias("draw"), *whole,
-    )
+    ).withColumn("digits", digits_of(F.col("size")))
     rows = scratch.stage(rows, "op10")
-    sums = scratch.stage(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "op10-sources")
+    classes = scratch.stage(rows.groupBy("skey", "source", "digits").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "op10-classes")
+    sums = scratch.stage(classes.groupBy("skey", "source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n")), "op10-sources")
     n_sources, most = sums.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     bins = max(LEAST_BINS, -(-most // BIN_ROWS))
-    goal = targets(sums.select("skey", "source", "source_size"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.select("skey", "source_size", "target", ratio.alias("ratio"))
-    # Certain copies are the whole part of target / size; the rest of it is the chance of one more.
-    goal = goal.withColumn("certain", F.floor("ratio")).withColumn("chance", F.col("ratio") - F.col("certain"))
-    goal = scratch.stage(goal.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size")), "op10-targets")
-
-    placed = _with_small(rows.select("doc_id", "size", "skey", "draw", *row), goal, n_sources, F.hash("doc_id", "draw"))
+    goal = targets(sums.select("skey", "source", "source_size")).select("skey", "source_size", "target")
+    expected = expected_copies(classes.select("skey", "digits", "words").join(goal.select("skey", "target"), "skey"))
+    # Certain copies are the whole part of the expected ones; the rest of them is the chance of one more.
+    chances = expected.select("skey", "digits", F.floor("expected").alias("certain"), (F.col("expected") - F.floor("expected")).alias("chance"))
+    sure = classes.join(chances, ["skey", "digits"]).groupBy("skey").agg(F.sum(F.col("words") * F.col("certain")).alias("sure"))
+    by_class = F.map_from_entries(F.collect_list(F.struct("digits", F.struct("certain", "chance")))).alias("classes")
+    goal = goal.join(sure, "skey").join(chances.groupBy("skey").agg(by_class), "skey")
+    goal = scratch.stage(goal.select("skey", "source_size", "target", (F.col("target") - F.col("sure")).alias("rest"), "classes"), "op10-targets")
+
+    placed = _with_small(rows.select("doc_id", "size", "skey", "digits", "draw", *row), goal, n_sources, F.hash("doc_id", "draw"))
+    placed = placed.withColumn("own", F.col("classes")[F.col("digits")]).drop("classes")
+    placed = placed.withColumns({"certain": F.col("own.certain"), "chance": F.col("own.chance")}).drop("own")
     random_odds = (F.col("draw") + F.lit(0.5)) / (F.lit(float(1 << 48)) - (F.col("draw") + F.lit(0.5)))
     odds = F.col("chance") / (F.lit(1.0) - F.col("chance"))
     rank = F.when(F.col("chance") > 0, random_odds / F.when(F.col("chance") > 0, odds)).otherwise(F.lit(float("inf")))
@@ -113,15 +149,17 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str
     cuts = by_bin.withColumn("base", F.sum("w").over(upto) - F.col("w"))
     cuts = cuts.where((F.col("base") < F.col("rest")) & (F.col("base") + F.col("w") >= F.col("rest")))
     cuts = cuts.groupBy("skey").agg(F.min(F.struct("bin", "base")).alias("cut"))
-    cuts = goal.select("skey").join(cuts, "skey", "left").select("skey", F.coalesce("cut.bin", F.when(F.lit(True), F.lit(None))).alias("cut_bin"), F.col("cut.base").alias("base"))
+    cuts = goal.select("skey").join(cuts, "skey", "left").select("skey", F.col("cut.bin").alias("cut_bin"), F.col("cut.base").alias("base"))
     cut_rows = _with_small(placed, cuts, n_sources, F.hash("doc_id", "draw"))
 
     # A source without a cut has nothing left to fill (or nothing to fill it with).
-    before = F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False))
+    possible = F.col("chance") > 0
+    before = F.coalesce((F.col("bin") < F.col("cut_bin")) & possible, F.lit(False))
     inside = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
-    ordered = Window.partitionBy("skey").orderBy("rank", "doc_id", "size")
-    here = cut_rows.where(inside).withColumn("upto", F.sum("size").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") / 2)
-    here = here.withColumn("extra", (F.col("base") + F.col("upto") < F.col("rest")).cast("long")).drop("upto")
+    # Rows that agree in all of these agree in id and text: which of them comes first makes no other mix.
+    ordered = Window.partitionBy("skey").orderBy("rank", "doc_id", "size", "draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = cut_rows.where(inside).withColumn("upto", F.sum("size").over(ordered) - F.col("size") / 2)
+    here = here.withColumn("extra", ((F.col("base") + F.col("upto") < F.col("rest")) & possible).cast("long")).drop("upto")
     other = cut_rows.where(~inside).withColumn("extra", before.cast("long"))
     copies = F.when(F.col("size") > 0, F.col("certain") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     result = here.unionByName(other).withColumn("copies", copies)

@@ -104,16 +104,22 @@ FROM j LEFT JOIN z ON z.host = j.host
 
 
 OP10 = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS draw FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS draw FROM documents),
+e AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS digits FROM d),
 s AS (SELECT source, coalesce('=' || source, '') AS skey, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * {MOST_COPIES} AS cap FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
    / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER (ORDER BY cap::DOUBLE / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
 v AS (SELECT level AS share FROM l WHERE level * weight <= cap ORDER BY cap::DOUBLE / weight, skey LIMIT 1),
 t AS (SELECT skey, source_size, least(cap::DOUBLE, coalesce((SELECT share FROM v), 'infinity'::DOUBLE) * weight) AS target FROM w),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
-q AS (SELECT d.*, g.source_size, g.target, CAST(floor(ratio) AS BIGINT) AS certain, ratio - floor(ratio) AS chance, target - floor(ratio) * g.source_size AS rest FROM d JOIN g ON g.skey = coalesce('=' || d.source, '')),
+k AS (SELECT coalesce('=' || source, '') AS skey, digits, sum(size) AS words FROM e GROUP BY ALL),
+p AS (SELECT k.*, target, (target - {MOST_COPIES} * coalesce(sum(words) OVER (PARTITION BY skey ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+   / nullif(sum(words * digits) OVER (PARTITION BY skey) - coalesce(sum(words * digits) OVER (PARTITION BY skey ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::DOUBLE AS level FROM k JOIN t USING (skey)),
+x AS (SELECT skey, arg_max(level, digits) AS share FROM p WHERE level * digits <= {MOST_COPIES} GROUP BY skey),
+y AS (SELECT p.skey, digits, words, greatest(least({MOST_COPIES}.0::DOUBLE, coalesce(share, 'infinity'::DOUBLE) * digits), 0) AS expected FROM p LEFT JOIN x USING (skey)),
+g AS (SELECT skey, digits, CAST(floor(expected) AS BIGINT) AS certain, expected - floor(expected) AS chance, CAST(sum(words * floor(expected)) OVER (PARTITION BY skey) AS DOUBLE) AS sure FROM y),
+q AS (SELECT e.*, t.source_size, t.target, certain, chance, t.target - sure AS rest FROM e JOIN t ON t.skey = coalesce('=' || e.source, '') JOIN g ON g.skey = t.skey AND g.digits = e.digits),
 o AS (SELECT *, CASE WHEN chance > 0 THEN ((draw + 0.5::DOUBLE) / (281474976710656.0::DOUBLE - (draw + 0.5::DOUBLE))) / (chance / (1.0::DOUBLE - chance)) ELSE 'infinity'::DOUBLE END AS pareto FROM q),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto, doc_id, size) - size / 2.0 AS upto FROM o)
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto, doc_id, size, draw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 AS upto FROM o)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (certain + CASE WHEN chance > 0 AND upto < rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken FROM c
 """

@@ -174,6 +174,34 @@ def test_mix_targets_reshare_what_caps_leave(spark):
     assert abs(got["a"] - (1115 - 45) / 4) < 1e-9 and abs(got["c"] - 3 * (1115 - 45) / 4) < 1e-9
 
 
+def test_inclusion_follows_the_odds(spark):
+    """Documents are drawn as often as their size's chance says, over many seeds; rows without an id draw their own."""
+    from collections import defaultdict
+
+    r = random.Random(11)
+    rows = [(None if k % 5 == 0 else k, " ".join(f"w{k}x{j}" for j in range(r.choice([1, 2, 5, 14, 40, 120]))), "ab"[k % 2]) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seeds, sums = 24, defaultdict(lambda: [0, 0])
+    for k in range(seeds):
+        for x in mixing.mix(df, seed=f"s{k}").collect():
+            got = sums[x.source_size, x.size]
+            got[0] += x.copies
+            got[1] += 1
+    for source in {s for s, _ in sums}:
+        mean = {n: c / m for (s, n), (c, m) in sums.items() if s == source}
+        digits = {n: n.bit_length() for n in mean}
+        target = sum(n * c for (s, n), (c, _) in sums.items() if s == source) / seeds
+        words = {n: n * m / seeds for (s, n), (_, m) in sums.items() if s == source}
+        low, high = 0.0, 3.0
+        for _ in range(60):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(w * min(3, c * digits[n]) for n, w in words.items()) < target else (low, c)
+        for n, got in mean.items():
+            assert abs(got - min(3, low * digits[n])) < 0.12, (source, n, got, low * digits[n])
+    one, two = ([x.copies for x in mixing.mix(df.where("doc_id is null and source = 'a'"), seed=s).collect()] for s in ("p", "q"))
+    assert sorted(one) != [] and one != two
+
+
 def test_salted_join_gives_the_same_mix(table, monkeypatch):
     want = collected(mixing.mix(table))
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
