@@ -5,7 +5,7 @@ places equal texts next to each other, and each row is compared in full with
 its neighbour.  The splitters are on (first characters, hash, id), so that a
 text that a third of all rows share is spread over as many partitions as its
 rows need; groups that cross a border are joined by comparing the texts at the
-borders, two for each partition.
+borders, two for each partition, where their hashes agree.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def _runs(carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         names = ["kind", "doc_id", "text_sha256", "pid", "grp", "head", "text"] + ["row"] * carried
-        first, last, grp, kind = None, None, -1, None
+        first, last, grp, kind, digests = None, None, -1, None, []
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -51,14 +51,15 @@ def _runs(carried: bool):
             texts = batch.column("text")
             head = pa.concat_arrays([pa.array([last is None or texts[0].as_py() != last]), pc.not_equal(texts[1:], texts[:-1])])
             ids = pc.add(pc.cumulative_sum(head.cast(pa.int64())), grp)
+            digest = batch.column("text_sha256")
             first = texts[0].as_py() if first is None else first
-            grp, last = ids[n - 1].as_py(), texts[n - 1].as_py()
+            grp, last, digests = ids[n - 1].as_py(), texts[n - 1].as_py(), [*digests[:1], digest[0].as_py(), digest[n - 1].as_py()]
             rows = [batch.column("row")] if carried else []
             kind = rows[0].type if carried else None
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("doc_id"), batch.column("text_sha256"), pa.array([pid] * n, pa.int32()), ids, head, pa.nulls(n, pa.string()), *rows], names=names)
         if first is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1, 2], pa.int32()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.string()), pa.array([pid, pid], pa.int32()), pa.array([0, grp], pa.int64()), pa.nulls(2, pa.bool_()), pa.array([first, last], pa.string())]
+                [pa.array([1, 2], pa.int32()), pa.nulls(2, pa.int64()), pa.array([digests[0], digests[-1]], pa.string()), pa.array([pid, pid], pa.int32()), pa.array([0, grp], pa.int64()), pa.nulls(2, pa.bool_()), pa.array([first, last], pa.string())]
                 + ([pa.nulls(2, kind)] if carried else []),
                 names=names,
             )
@@ -72,8 +73,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are compared after normalisation, a null text as an empty one.  Of
     equal texts the row with the smallest id is kept; a null id comes after
     every other, and of rows that agree in id and text exactly one is kept.
-    keep_id is null only if a group has no id at all.  Other columns of
-    ``docs`` are not looked at, whatever their names.  No rows give no rows.
+    keep_id is null only if a group has no id at all.  Rows that agree in text
+    and id, such as those of one text without an id, lie in one range: no
+    splitter tells them apart.  Other columns of ``docs`` are not looked at,
+    whatever their names.  No rows give no rows.
     """
     return _groups(docs, id_col, text_col, False)
 
@@ -93,10 +96,16 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, carried: bool) -> DataF
     runs = scratch.stage(sorted_rows.mapInArrow(tidy(_runs(carried)), schema), "op1")
 
     # The chain of borders: where a partition begins with the text that the one before ended with, the group goes on.
+    # One task sees the hashes of two texts for each partition; the texts themselves are compared in a join.
     along = Window.orderBy("pid", "kind")
-    border = runs.where("kind > 0").select("pid", "kind", "grp", "text")
-    fresh = F.when(F.col("kind") == 2, F.col("grp") > 0).otherwise(~F.col("text").eqNullSafe(F.lag("text").over(along)))
-    chain = border.withColumn("chain", F.sum(fresh.cast("int")).over(along))
+    border = runs.where("kind > 0").select("pid", "kind", "grp", F.col("text_sha256").alias("digest"))
+    border = border.withColumns({"back": F.lag("pid").over(along), "alike": F.col("digest") == F.lag("digest").over(along)})
+    texts = runs.where("kind > 0").select("pid", "kind", "text")
+    ends, begins = (texts.where(F.col("kind") == k).select(F.col("pid").alias(name), F.col("text").alias(f"text_{name}")) for k, name in ((2, "back"), (1, "pid")))
+    alike = border.where("kind = 1 and alike").select("pid", "back").join(ends, "back").join(begins, "pid")
+    goes_on = alike.where("text_back = text_pid").select("pid", F.lit(1).alias("kind"), F.lit(True).alias("goes_on"))
+    fresh = F.when(F.col("kind") == 2, F.col("grp") > 0).otherwise(F.col("goes_on").isNull())
+    chain = border.join(goes_on, ["pid", "kind"], "left").withColumn("chain", F.sum(fresh.cast("int")).over(along))
     roots = chain.groupBy("chain").agg(F.min(F.struct("pid", "grp")).alias("root"))
     moved = chain.join(roots, "chain").select("pid", "grp", F.col("root.pid").alias("rpid"), F.col("root.grp").alias("rgrp")).distinct()
 

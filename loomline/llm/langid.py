@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -17,13 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workers import small_batches, tidy
 
-#: Bounds of the fit: labelled rows of a language that are read (on average), and trigrams of a language that are kept.
-SAMPLE_ROWS, SAMPLE_GRAMS = 2_000, 30_000
+#: Bounds of the fit: labelled rows that are read (on average) of a language, and of all languages together.
+SAMPLE_ROWS, SAMPLE_TOTAL = 2_000, 200_000
 #: What a change of language costs, and what a trigram counts, as the three that overlap on a letter are not independent.
 SWITCH, GRAM_WEIGHT = 8.0, 0.5
 #: A language uses a script that at least this share of its letters is in.
@@ -43,7 +44,23 @@ SCRIPTS = (
     (0xFF00, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0x10000, "Other"), (0x20000, "Han"), (0x40000, "Other"),
 )
 _STARTS = [start for start, _ in SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class_of(major: str) -> str:
+    """The characters of one of Unicode's major categories, as ranges inside a pattern's brackets."""
+    inside = [unicodedata.category(chr(c))[0] == major for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(1, len(inside)) if inside[c] != inside[c - 1]] + [len(inside)]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=False))
+
+
+#: A word is letters with the marks that belong to them, and the two joiners that some scripts write inside of words.
+_LETTER, _MARK = _class_of("L"), _class_of("M")
+_WORD = re.compile(f"[{_LETTER}][{_LETTER}{_MARK}\u200c\u200d]*")
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text, composed first, so that a letter and its accent are one."""
+    return _WORD.findall(unicodedata.normalize("NFC", text))
 
 
 def script_of(char: str) -> str:
@@ -51,9 +68,8 @@ def script_of(char: str) -> str:
 
 
 def letters_of(word: str) -> str:
-    """A word in lower case, letters only; the pattern also matches some number signs."""
-    word = unicodedata.normalize("NFC", word)
-    return (word if word.isalpha() else "".join(filter(str.isalpha, word))).lower()
+    """A word as it is compared: in lower case."""
+    return word.lower()
 
 
 def grams_of(letters: str) -> list[str]:
@@ -67,11 +83,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams, scripts = Counter(), Counter()
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for word, n in Counter(_WORD.findall(text)).items():
-                if letters := letters_of(word):
-                    for gram in grams_of(letters):
-                        grams[lang, gram] += n
-                    scripts[lang, script_of(letters[0])] += n * len(letters)
+            for word, n in Counter(words_of(text)).items():
+                letters = letters_of(word)
+                for gram in grams_of(letters):
+                    grams[lang, gram] += n
+                scripts[lang, script_of(letters[0])] += n * len(letters)
     rows = [(k[0], 0, k[1], n) for k, n in grams.items()] + [(k[0], 1, k[1], n) for k, n in scripts.items()]
     if rows:
         lang, kind, key, n = zip(*rows, strict=True)
@@ -96,18 +112,22 @@ def held_out(doc_id):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from rows that are not held out and have text and language.
 
-    ``sample_rows`` of a language are read on average, chosen by a hash of the
-    id; of a language with fewer, all.  A rare language is so learned as well.
+    ``sample_rows`` of a language are read on average, chosen by a hash of id
+    and text; of a language with fewer, all.  A rare language is so learned as
+    well.  Of all languages together SAMPLE_TOTAL are read at most on average,
+    each then having fewer; so what is counted and sent to the driver, trigrams
+    by language, is bounded by the sample, whatever labels there are.
     """
     small_batches(docs.sparkSession)
     lang, text, key = F.col(lang_col).cast("string"), F.col(text_col), F.col(id_col)
-    rows = docs.where(lang.isNotNull() & text.isNotNull() & ~held_out(key)).select(lang.alias("lang"), text.alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("draw"))
-    share = rows.groupBy("lang").agg((F.lit(float(sample_rows) * (1 << 30)) / F.count(F.lit(1))).alias("upto"))
-    # One row for each language: a label's values, not documents.
-    sample = rows.join(F.broadcast(share), "lang").where("draw < upto").select("lang", "text")
+    rows = docs.where(lang.isNotNull() & text.isNotNull() & ~held_out(key)).select(lang.alias("lang"), text.alias("text"), F.pmod(F.xxhash64(key, text), F.lit(1 << 30)).alias("draw"))
+    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_langs = max(1, per_lang.count())
+    share = per_lang.select("lang", (F.lit(min(float(sample_rows), SAMPLE_TOTAL / n_langs) * (1 << 30)) / F.col("n")).alias("upto"))
+    # One row for each label; a table of very many labels is joined without a broadcast.
+    sample = rows.join(F.broadcast(share) if n_langs <= SAMPLE_ROWS else share, "lang").where("draw < upto").select("lang", "text")
     counts = sample.mapInArrow(tidy(_count), "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "key")
-    found = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= SAMPLE_GRAMS).select("lang", "kind", "key", "n").collect()
+    found = counts.select("lang", "kind", "key", "n").collect()
     langs = sorted({r["lang"] for r in found})
     place = {x: i for i, x in enumerate(langs)}
     gram: dict[str, int] = {}
@@ -128,7 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 class Words:
-    """Scores and letters of words, remembered up to a bound."""
+    """Scores of words, their letters, and those of them that some learned language could have written; remembered up to a bound."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -138,6 +158,7 @@ class Words:
         self.place: dict[str, int] = {}
         self.scores = np.empty((0, len(self.model.langs)), np.float32)
         self.letters = np.empty(0, np.int64)
+        self.fitting = np.empty(0, np.int64)
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Rows of the words in ``scores`` and ``letters``."""
@@ -162,8 +183,8 @@ class Words:
             letters = letters_of(word)
             starts.append(len(grams))
             sizes.append(len(letters))
-            grams += [known(g, 0) for g in grams_of(letters)] if letters else [0]
-            languages = model.allowed.get(script_of(letters[0])) if letters else None
+            grams += [known(g, 0) for g in grams_of(letters)]
+            languages = model.allowed.get(script_of(letters[0]))
             allow[i] = False if languages is None else languages
         scores = np.add.reduceat(model.score[np.array(grams)], np.array(starts), axis=0)
         scores -= scores.max(axis=1, keepdims=True)
@@ -171,7 +192,9 @@ class Words:
         scores[~allow] -= 50
         scores[~allow.any(axis=1)] = 0
         self.scores = np.concatenate([self.scores, np.maximum(scores, -60)])
-        self.letters = np.concatenate([self.letters, np.array(sizes, np.int64)])
+        sizes = np.array(sizes, np.int64)
+        self.letters = np.concatenate([self.letters, sizes])
+        self.fitting = np.concatenate([self.fitting, np.where(allow.any(axis=1), sizes, 0)])
 
 
 def best_path(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -214,34 +237,40 @@ def best_path(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -
 
 
 def label_texts(texts: list[str | None], words: Words) -> list[tuple[str, float]]:
-    """Language and score of each text; the score is the share of its letters that lie in spans of that language."""
+    """Language and score of each text; the score is the share of its letters that lie in spans of that language.
+
+    Letters of words in scripts that no learned language uses count for none,
+    so a text of such words alone has the first language and score 0.
+    """
     langs, out = words.model.langs, []
     at = 0
     while at < len(texts):
         flat: list[str] = []
         lengths: list[int] = []
         while at < len(texts) and (not lengths or len(flat) < TOGETHER):
-            found = _WORD.findall(texts[at] or "")
+            found = words_of(texts[at] or "")
             flat += found
             lengths.append(len(found))
             at += 1
         sizes = np.array(lengths, np.int64)
         sums = np.zeros((len(sizes), max(1, len(langs))), np.int64)
+        totals = np.zeros(len(sizes), np.int64)
         filled = sizes > 0
         if flat and langs:
             rows = words.look_up(flat)
             labels = best_path(words.scores[rows], sizes[filled])
             text = np.repeat(np.arange(len(sizes)), sizes)
-            sums = np.bincount(text * len(langs) + labels, weights=words.letters[rows], minlength=sums.size).reshape(sums.shape)
-        for line in sums:
-            total, best = line.sum(), int(line.argmax())
+            sums = np.bincount(text * len(langs) + labels, weights=words.fitting[rows], minlength=sums.size).reshape(sums.shape)
+            totals = np.bincount(text, weights=words.letters[rows], minlength=len(sizes))
+        for line, total in zip(sums, totals, strict=True):
+            best = int(line.argmax())
             out.append((langs[best], float(line[best] / total)) if total else (UNDETERMINED, 0.0))
     return out
 
 
 def spans(text: str | None, words: Words) -> list[tuple[int, int, str]]:
-    """Spans of one language: start and end in characters, and the language; none without letters or languages."""
-    found = list(_WORD.finditer(text or ""))
+    """Spans of one language: start and end in characters of the composed text, and the language; none without letters or languages."""
+    found = list(_WORD.finditer(unicodedata.normalize("NFC", text or "")))
     if not found or not words.model.langs:
         return []
     rows = words.look_up([m.group() for m in found])
@@ -260,9 +289,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row for each row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Only the text decides.  A null text, or one without a letter, is ``und``
-    with score 0, as is every text if nothing was learned.  Equal shares go to
-    the language that comes first by name.  Repeated rows and null ids pass
-    through; other columns are ignored.  The model is bounded by SAMPLE_GRAMS.
+    with score 0, as is every text if nothing was learned.  A text in scripts
+    that no learned language uses has the first language by name, as a value
+    must be given, with score 0.  Equal shares go to the language that comes
+    first by name.  Repeated rows and null ids pass through; other columns are
+    ignored.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -278,7 +309,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_certain(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has a language, or several, with all their columns; only what is ``und`` goes."""
+    """Rows of ``docs`` whose text has a language, or several, with all their columns.
+
+    What goes is ``und``, and what is written in scripts of no learned language (score 0).
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -287,6 +321,6 @@ def keep_certain(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
         words = Words(sent.value)
         for batch in batches:
             found = label_texts(batch.column(at).to_pylist(), words)
-            yield batch.filter(pa.array([lang != UNDETERMINED for lang, _ in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNDETERMINED and score > 0 for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

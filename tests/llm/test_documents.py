@@ -264,6 +264,44 @@ def test_spans_of_mixed_text(spark):
     assert [s[2] for s in langid.spans(text, langid.Words(model))] == ["en", "ru", "de"]
 
 
+def test_words_with_marks_and_scripts_that_nobody_learned(spark):
+    """Composed and decomposed text are the same words, marks belong to them, and no script means no certainty."""
+    import unicodedata
+
+    assert langid.words_of("re\u0301sume\u0301 de\u0301ja\u0300, 12 नमस्ते हिन्दी") == ["résumé", "déjà", "नमस्ते", "हिन्दी"]
+    assert langid.words_of("\u0301 ² Ⅷ _") == []
+    rows, word = language_rows()
+    rows += [(2000 + k, " ".join(["हिन्दी", "भाषा", "नमस्ते", "यह", "और", "किताब"][(k + j) % 6] for j in range(12)), "hi") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    words = langid.Words(model)
+    assert langid.label_texts(["यह किताब और भाषा"], words) == [("hi", 1.0)]
+    text = "ünd schön ver der é " * 5
+    assert langid.label_texts([text], words) == langid.label_texts([unicodedata.normalize("NFD", text)], words)
+    latin = langid.fit(docs.where("lang in ('en', 'de')"))
+    odd = ["これは日本語です", "Это русский текст", "\u0301\u0302", "the of and 日本", "the " * 300_000, "t"]
+    got = langid.label_texts(odd, langid.Words(latin))
+    assert got[:3] == [("de", 0.0), ("de", 0.0), ("und", 0.0)] and got[3] == ("en", 8 / 10) and got[4] == ("en", 1.0) and got[5][0] in latin.langs
+    kept = langid.keep_certain(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), latin)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
+
+
+def test_fit_counts_as_a_plain_version(spark):
+    """Trigrams, scripts and scores of a small fit, counted plainly over the rows that are not held out."""
+    from collections import Counter
+
+    import numpy as np
+
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("abc abd", "x"), ("abd xyz", "y"), ("ab Zé", "x"), ("яб", "y"), ("q r", "y")] * 6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    used = [(t, lang) for k, t, lang in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    grams = Counter((lang, m[i : i + 3]) for t, lang in used for w in t.lower().split() for m in [f"<{w}>"] for i in range(len(m) - 2))
+    assert set(model.gram) == {g for _, g in grams}
+    count = np.array([[0.5 + (grams[lang, g] if g else 0) for lang in ("x", "y")] for g in [None, *model.gram]])
+    assert np.allclose(model.score, langid.GRAM_WEIGHT * np.log(count / count.sum(axis=0)), atol=1e-5)
+    assert {s: list(a) for s, a in model.allowed.items()} == {"Latin": [True, True], "Cyrillic": [False, True]}
+
+
 def test_best_path_is_the_best():
     import itertools
 
