@@ -5,15 +5,17 @@ one is applied to a document's shingles, the other, shifted by one place more
 for each coordinate, gives the values whose least is the coordinate.  Documents
 that agree in a band are candidates, and links are confirmed on the full sets.
 
-Documents with equal sets are one node, so copies cost nothing further.  In a
-bucket all nodes are compared with one of them first.  Buckets whose nodes then
-still lie in several components have the others compared as well, pair by pair,
+Documents with the same words in the same order are one node, so copies cost
+nothing further.  In a bucket all nodes are compared with one of them first.
+Buckets whose nodes then still lie in several components have those outside of
+its largest component compared with each other and with that one, pair by pair,
 in blocks of bounded size; no pair that shares a bucket is left out unless its
-nodes are known to be connected.
+nodes are known to be connected, or their signatures rule a link out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -32,10 +34,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Coordinates are BANDS * ROWS; a pair at exactly 0.75 misses all bands with probability 5e-6.
 BANDS, ROWS = 32, 4
-#: In blocks, pairs are taken to the full sets if so many of 128 coordinates agree; at 0.75 fewer do with probability 1e-7.
-AGREE = 70
-#: Nodes of a bucket that are compared as one block with another.
-BLOCK = 500
+#: In blocks, pairs are taken to the full sets if so many of 128 coordinates agree; at 0.75 fewer do with probability 1e-10.
+AGREE = 64
+#: Nodes of a bucket, and shingles of theirs, that are compared as one block with another; nodes compared with one copy of a hub's text.
+BLOCK, BLOCK_SHINGLES, HUB_NODES = 500, 1_000_000, 1_000
 #: Shingles whose coordinates are made together, and words that a worker remembers.
 TOGETHER, REMEMBERED = 1 << 16, 200_000
 
@@ -59,32 +61,51 @@ def shingle_set(text: str | None) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
 
 
+def node_key(words: list[bytes]) -> bytes:
+    """128 bits of SHA-256 that stand for a sequence of words (none of which holds a space)."""
+    return hashlib.sha256(b" ".join(words)).digest()[:16]
+
+
+def _firsts(ids: np.ndarray, kinds: int, width: int) -> np.ndarray:
+    """Where the distinct ``width``-tuples of neighbouring ids (0 .. kinds - 1) stand first; numbers, not hashes, tell them apart."""
+    n = len(ids) - width + 1
+    key, bound = ids[:n], kinds
+    for i in range(1, width):
+        if bound * kinds >= 1 << 63:  # ranks keep the numbers small
+            ranks = np.unique(key, return_inverse=True)[1].reshape(-1)
+            key, bound = ranks, n
+        key, bound = key * kinds + ids[i : i + n], bound * kinds
+    return np.unique(key, return_index=True)[1]
+
+
 class Hasher:
-    """64-bit hashes of a text's shingles, with a bounded memory of words."""
+    """64-bit hashes of a text's distinct shingles, with a bounded memory of words."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """One hash for each distinct shingle: as many as the set has members, even if two of them should be equal."""
         if not words:
             return np.empty(0, np.uint64)
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        for word in set(words).difference(known):
+        for word in number.keys() - known.keys():
             known[word] = xxhash.xxh3_64_intdigest(word)
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        hashes = np.fromiter(map(known.__getitem__, number), np.uint64, len(number))
         width = min(SHINGLE, len(words))
-        n = len(words) - width + 1
-        out = np.full(n, width, np.uint64)
+        first = _firsts(ids, len(number), width)
+        out = np.full(len(first), width, np.uint64)
         for i in range(width):
             out *= _MUL
-            out += ids[i : i + n]
+            out += hashes[ids[first + i]]
             out ^= out >> np.uint64(29)
         out *= _MIX
         out ^= out >> np.uint64(32)
-        return np.unique(out)
+        return out
 
 
 def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
@@ -130,17 +151,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def set_key(hashes: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
-    return xxhash.xxh3_128_digest(hashes.tobytes())
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            sets = [hasher(t.as_py()) for t in batch.column("text")]
+            words = [words_of(t.as_py()) for t in batch.column("text")]
+            sets = list(map(hasher, words))
             filled = [i for i, s in enumerate(sets) if len(s)]
             node: list[bytes | None] = [None] * len(sets)
             sig: list[bytes | None] = [None] * len(sets)
@@ -148,7 +165,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if filled:
                 made = signatures([sets[i] for i in filled])
                 for i, line, keys in zip(filled, made.astype(np.uint16), band_keys(made), strict=True):
-                    node[i], sig[i], bands[i] = set_key(sets[i]), line.tobytes(), keys
+                    node[i], sig[i], bands[i] = node_key(words[i]), line.tobytes(), keys
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "n_shingles", "node", "sig", "bands"],
@@ -157,23 +174,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows that were joined by id, those whose text is the node's: an id may stand for several texts."""
-    hasher = Hasher()
     for batch in batches:
-        good = [set_key(hasher(t.as_py())) == n.as_py() for t, n in zip(batch.column("text"), batch.column("node"), strict=True)]
+        good = [node_key(words_of(t.as_py())) == n.as_py() for t, n in zip(batch.column("text"), batch.column("node"), strict=True)]
         yield batch.select(["node", "text"]).filter(pa.array(good, pa.bool_()))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough; the left set is kept while it lasts."""
-    left, left_set = None, set()
+    """Hubs and nodes whose full sets are similar enough; a hub's own row, without a node, comes before those of its nodes."""
+    hub, hub_set = None, set()
     for batch in batches:
         keep = []
-        for a, text_a, text_b in zip(batch.column("a"), batch.column("text_a"), batch.column("text_b"), strict=True):
-            if a.as_py() != left:
-                left, left_set = a.as_py(), shingle_set(text_a.as_py())
-            right = shingle_set(text_b.as_py())
-            both = len(left_set & right)
-            keep.append(100 * both >= PERCENT * (len(left_set) + len(right) - both))
+        for a, b, text in zip(batch.column("a"), batch.column("b"), batch.column("text"), strict=True):
+            own = shingle_set(text.as_py())
+            if not b.is_valid:
+                hub, hub_set = a.as_py(), own
+                keep.append(False)
+                continue
+            if a.as_py() != hub:
+                raise RuntimeError("a node came before its hub")
+            both = len(hub_set & own)
+            keep.append(100 * both >= PERCENT * (len(hub_set) + len(own) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -276,11 +296,19 @@ def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the full sets confirm."""
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(tidy(_verify), "a binary, b binary")
+def _confirmed(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stars (hub, node) that the full sets confirm, as links (a, b).
+
+    A hub's text goes to one group for each HUB_NODES of its nodes, and each
+    node's text to its group.
+    """
+    salts = F.ceil(F.count(F.lit(1)) / HUB_NODES).cast("int").alias("salts")
+    sized = scratch.stage(stars.groupBy("hub").agg(salts), "op4-sized")
+    dealt = stars.join(sized, "hub").select("node", F.col("hub").alias("a"), F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
+    nodes = dealt.join(texts, "node").select("a", "salt", F.col("node").alias("b"), "text")
+    hubs = sized.join(texts, F.col("hub") == F.col("node")).select(F.col("hub").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "text")
+    grouped = nodes.unionByName(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
+    return grouped.mapInArrow(tidy(_verify), "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +316,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     component_id is the smallest id of the rows that links connect, its own
     included.  A null text or one without words has an empty set: it is linked
-    with nothing, not even with its like, and is kept.  Rows with equal sets
+    with nothing, not even with its like, and is kept.  Rows of the same words
     are linked, so of rows that repeat an id and text all are kept or none.  A
     null id is never a component_id unless a component has no other; rows that
     share an id but not a text are nodes of their own.  Other columns are
@@ -301,6 +329,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, component_id and root (null without words) of each row, and text_hash of its text."""
     small_batches(docs.sparkSession)
+    begun = scratch.mark()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     signed = scratch.stage(rows.mapInArrow(tidy(_sign), "doc_id long, text_hash long, n_shingles long, node binary, sig binary, bands array<long>"), "op4-signed")
     light = signed.select("doc_id", "text_hash", "n_shingles", "node")
@@ -320,7 +349,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     size, hub_size = F.col("n_shingles"), F.col("hub.n")
     fits = F.lit(100) * F.least(size, hub_size) >= F.lit(PERCENT) * F.greatest(size, hub_size)
     stars = members.join(hubs, "bucket").where((F.col("node") != F.col("hub.node")) & fits)
-    stars = scratch.stage(stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "op4-stars")
+    # Two that are each other's hub make one star.
+    stars = stars.groupBy(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).agg(F.max("hub.node").alias("hub"))
+    stars = scratch.stage(stars.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), "op4-stars")
 
     # The texts of all nodes in buckets, once for both rounds.
     asked = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("asked_id")), "node")
@@ -331,11 +362,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     roots = scratch.stage(components(first), "op4-roots")
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = scratch.stage(placed, "op4-placed")
-    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root").select("bucket")
+    # Of a bucket, those outside of its largest component (blocks 0 ..) meet each other and that component (blocks after theirs).
+    by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    by_root = by_root.groupBy("bucket").agg(F.max(F.struct("n", "w", "root")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("roots"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
+    open_buckets = by_root.where("roots > 1").select("bucket", F.col("main.root").alias("main_root"), blocks(F.col("main.n"), F.col("main.w")).alias("main_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rest_blocks"))
     open_buckets = scratch.stage(open_buckets, "op4-open")
     waiting = placed.join(open_buckets, "bucket").join(nodes.select("node", "sig"), "node")
-    n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    waiting = waiting.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    in_main, rest = F.col("root") == F.col("main_root"), F.col("rest_blocks")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    waiting = waiting.withColumn("own", F.when(in_main, rest + dealt(F.col("main_blocks"))).otherwise(dealt(rest)))
+    waiting = waiting.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, rest).otherwise(rest + F.col("main_blocks")) - 1)))
     side = (F.col("own") > F.col("other")).cast("int")
     waiting = waiting.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "band", "node", "root", "n_shingles", "sig")
     group = ["bucket", "low", "high"]
@@ -351,7 +388,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least = scratch.stage(named.groupBy("root").agg(first.alias("first")), "op4-least")
     grouped_rows = named.join(least, "root").select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
     alone = light.where(F.col("node").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.col("text_hash").alias("first_hash"))
-    return grouped_rows.unionByName(alone)
+    result = grouped_rows.unionByName(alone)
+    scratch.release_unread(scratch.since(begun), result)
+    return result
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

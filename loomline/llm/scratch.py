@@ -69,7 +69,7 @@ def mark() -> int:
 
 def since(point: int) -> list[tuple[SparkSession, str]]:
     """The tables staged after ``point``."""
-    return _WRITTEN[point:]
+    return _WRITTEN[min(point, len(_WRITTEN)) :]
 
 
 def release_unread(tables: list[tuple[SparkSession, str]], df: DataFrame) -> list[tuple[SparkSession, str]]:

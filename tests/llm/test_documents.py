@@ -91,6 +91,30 @@ def test_near_blocks_settle_what_hubs_leave(spark, monkeypatch):
     assert collected(near_dedup.near_groups(df)) == plain.near(rows)
 
 
+def test_near_copies_of_a_common_passage(spark, monkeypatch):
+    """A bucket of thousands of nodes in two components: those of the smaller one are compared with the others, not the others with each other."""
+    monkeypatch.setattr(near_dedup, "HUB_NODES", 300)
+    r = random.Random(13)
+    passage = [f"p{k}" for k in range(120)]
+    rows = []
+    for k in range(2400):
+        text = list(passage)
+        text[r.randrange(120)] = f"own{k}"
+        rows.append((k, " ".join(text)))
+    for k in range(3):
+        rows.append((5000 + k, " ".join(passage[:60] + [f"tail{j}" for j in range(60)] + [f"x{k}"])))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[k] for k in range(2400)} == {0} and {got[5000 + k] for k in range(3)} == {5000}
+
+
+def test_sets_are_counted_by_numbers_not_hashes():
+    r = random.Random(14)
+    hasher = near_dedup.Hasher()
+    for n, kinds in ((0, 1), (1, 1), (4, 2), (5, 3), (3000, 4), (3000, 2000), (60_000, 50_000), (200_000, 9)):
+        text = " ".join(f"W{r.randrange(kinds)}" for _ in range(n))
+        assert len(hasher(near_dedup.words_of(text))) == len(plain.shingles(text)), (n, kinds)
+
+
 def test_signatures_estimate_similarity():
     import numpy as np
 
