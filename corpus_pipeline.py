@@ -17,8 +17,8 @@ from loomline.llm import exact_dedup, langid, mixing, near_dedup, queries, scrat
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Tables that the stage before has left in the shared folder.
-_LEFT: list = []
+#: Tables that the stage before has left in the shared folder, by the session and the folder that the pipeline reads.
+_LEFT: dict[tuple[str, str], list] = {}
 
 
 def _stage(step: Stage) -> Stage:
@@ -29,10 +29,11 @@ def _stage(step: Stage) -> Stage:
 
     @wraps(step)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _LEFT[:] = scratch.release_unread(_LEFT, docs)
+        own = spark.sparkContext.applicationId, sf_dir
+        left = scratch.release_unread(_LEFT.get(own, []), docs)
         since = scratch.mark()
         result = step(spark, docs, sf_dir)
-        _LEFT.extend(scratch.since(since))
+        _LEFT[own] = left + scratch.since(since)
         return result
 
     return run_step
@@ -40,31 +41,35 @@ def _stage(step: Stage) -> Stage:
 
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, or no letter.  Texts in several languages stay."""
+    """Drops documents without a language: no text (null or empty), no letter, or no script of a learned language.
+
+    Texts in several languages stay, as do repeated rows and rows without an
+    id; where no row has a language to learn from, all go.
+    """
     return langid.keep_certain(docs, langid.fit(docs))
 
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest id of those with equal texts."""
+    """Keeps the row with the smallest id of those with equal texts; one of those that have no id, or the same, if there is none smaller."""
     return exact_dedup.keep_first(docs)
 
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies, that with the smallest id; documents without words all stay."""
     return near_dedup.keep_one(docs)
 
 
 @_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents as the mix takes them."""
+    """Repeats and drops documents as the mix takes them, up to three times; those without words are not taken, and a null source is a source."""
     return mixing.repeat_rows(docs)
 
 
 @_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the mix's documents, one row for each copy: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Ids of the mix's documents, one row for each copy: doc_id (null where it was), n_tokens, ids_sha256, decoded_sha256."""
     return sentencepiece_bpe.encode_rows(docs, queries.tokenizer_path())
 
 
