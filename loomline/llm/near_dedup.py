@@ -93,8 +93,9 @@ class Hasher:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        for word in number.keys() - known.keys():
-            known[word] = xxhash.xxh3_64_intdigest(word)
+        for word in number:
+            if word not in known:
+                known[word] = xxhash.xxh3_64_intdigest(word)
         hashes = np.fromiter(map(known.__getitem__, number), np.uint64, len(number))
         width = min(SHINGLE, len(words))
         first = _firsts(ids, len(number), width)
