@@ -294,6 +294,10 @@ def test_words_with_marks_and_scripts_that_nobody_learned(spark):
 
     assert langid.words_of("re\u0301sume\u0301 de\u0301ja\u0300, 12 नमस्ते हिन्दी") == ["résumé", "déjà", "नमस्ते", "हिन्दी"]
     assert langid.words_of("\u0301 ² Ⅷ _") == []
+    for text in (x or "" for _, x in rows_of(15)):
+        assert langid.words_of(text) == langid._WORD.findall(unicodedata.normalize("NFC", text))
+    low = "".join(map(chr, range(0x300))) + "\u2019\u201c"
+    assert langid.words_of(low) == langid._WORD.findall(low) and langid.words_of("a\u200db c") == ["a\u200db", "c"]
     rows, word = language_rows()
     rows += [(2000 + k, " ".join(["हिन्दी", "भाषा", "नमस्ते", "यह", "और", "किताब"][(k + j) % 6] for j in range(12)), "hi") for k in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
