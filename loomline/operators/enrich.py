@@ -1,25 +1,25 @@
 """What a subject adds to an item, and the batch flows that use it: enrichment, detail refresh, sync and reconciliation.
 
-Which subject belongs to which item is decided by joins and scores on columns;
-a merge is a function on the two records, as in :mod:`.merge`.
+Which subject belongs to which item is decided by joins and scores; what it
+adds is said column by column on the joined structs, as in :mod:`.merge`.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schema as T
 from ..functions import seasons as S
 from ..functions import text as X
+from ..sources.settled import settle
 from . import match, merge, rules
 from . import records as R
-from .merge import Item, known
+from .merge import Row
 
 #: Columns of a subject (see snapshots.with_facts) that merging reads.
 FACTS = ("id", "name", "name_cn", "date", "images", "eps", "total_episodes", "rating", "rank", "aliases")
@@ -29,151 +29,146 @@ _RECONCILE = re.compile("[!\"'`()\\[\\]{}<>.,:;?/　、。「」『』《》\\s_
 KEEP_POINTS = (("YucWiki", 100), ("Bangumi", 20), ("YourAnimes", 10))
 
 
-# Records
+# Columns
 
-def _positive(value) -> int | float | None:
-    return value if isinstance(value, int | float) and value > 0 else None
+def _positive(value: Column) -> Column:
+    return F.when(value > 0, value)
 
 
-def episodes_of(subject: Item) -> int | None:
-    return known(_positive(subject["eps"]), _positive(subject["total_episodes"]))
+def episodes_of(subject: Column) -> Column:
+    return F.coalesce(_positive(subject["eps"]), _positive(subject["total_episodes"]))
 
 
-def rating_of(subject: Item, at: str) -> Item:
-    said = subject["rating"] or {}
-    rank = known(_positive(subject["rank"]), _positive(said.get("rank")))
-    return {"subjectId": subject["id"], "url": f"https://bgm.tv/subject/{subject['id']}", "rating": _positive(said.get("score")), "ratingCount": _positive(said.get("total")), "rank": rank, "lastSyncedAt": at}
+def _page(number: Column) -> Column:
+    return F.concat(F.lit("https://bgm.tv/subject/"), number.cast("string"))
 
 
-def cover_of(subject: Item) -> Item | None:
+def rating_of(subject: Column, at: str) -> Column:
+    said = subject["rating"]
+    rank = F.coalesce(_positive(subject["rank"]), _positive(said["rank"]))
+    return F.struct(subject["id"].alias("subjectId"), _page(subject["id"]).alias("url"), _positive(said["score"]).alias("rating"), _positive(said["total"]).alias("ratingCount"), rank.alias("rank"), F.lit(at).alias("lastSyncedAt")).cast(T.RATING)
+
+
+def cover_of(subject: Column) -> Column:
     images = subject["images"]
-    if not images:
-        return None
-    return {"large": known(images.get("large"), images.get("common")), "medium": known(images.get("medium"), images.get("common")), "small": known(images.get("small"), images.get("grid")), "source": "bangumi"}
+    sizes = {"large": ("large", "common"), "medium": ("medium", "common"), "small": ("small", "grid")}
+    cover = F.struct(*(F.coalesce(images[a], images[b]).alias(f) for f, (a, b) in sizes.items()), F.lit("bangumi").alias("source"))
+    return F.when(images.isNotNull(), cover.cast(T.COVER))
+
 
+def source_of(subject: Column, at: str) -> Column:
+    return F.struct(
+        F.lit(merge.DATABASE).alias("name"), F.lit("bangumi").alias("type"), _page(subject["id"]).alias("url"), F.lit(at).alias("retrievedAt"), F.lit(None).cast("double").alias("confidence"), F.lit("metadata").alias("scope"),
+    ).cast(T.SOURCE)
 
-def source_of(subject: Item, at: str) -> Item:
-    return {"name": "Bangumi", "type": "bangumi", "url": f"https://bgm.tv/subject/{subject['id']}", "retrievedAt": at, "confidence": None, "scope": "metadata"}
 
+def _titled(item: Row, subject: Column) -> Column:
+    title, none = item["title"], F.array().cast("array<string>")
+    return F.struct(
+        title["original"].alias("original"), F.coalesce(title["japanese"], subject["name"]).alias("japanese"), F.coalesce(title["chinese"], X.given(subject["name_cn"])).alias("chinese"), title["english"].alias("english"),
+        X.ordered_union(F.coalesce(title["aliases"], none), F.coalesce(subject["aliases"], none)).alias("aliases"),
+    )
 
-def _titled(item: Item, subject: Item) -> Item:
-    title = item["title"]
-    aliases = list(dict.fromkeys([*(title["aliases"] or ()), *(subject["aliases"] or ())]))
-    return {**title, "japanese": known(title["japanese"], subject["name"]), "chinese": known(title["chinese"], subject["name_cn"] or None), "aliases": aliases}
 
+def _outer(item: Row, subject: Column) -> Column:
+    return F.struct(subject.cast("long").alias("bangumiSubjectId"), item["externalIds"]["bahamutSn"].alias("bahamutSn"))
 
-def _bound(item: Item, subject: Item, at: str) -> Item:
-    sources = merge.merged_sources(item["sources"], [source_of(subject, at)])
-    return {**item, "externalIds": {**item["externalIds"], "bangumiSubjectId": subject["id"]}, "bangumi": rating_of(subject, at), "sources": sources, "updatedAt": at}
 
+def _bound(item: Row, subject: Column, at: str) -> dict[str, Column]:
+    sources = merge.all_sources(item["sources"], F.array(source_of(subject, at)))
+    return {**item, "externalIds": _outer(item, subject["id"]), "bangumi": rating_of(subject, at), "sources": sources, "updatedAt": F.lit(at)}
 
-def add_subject(item: Item, subject: Item, at: str) -> Item:
+
+def add_subject(item: Row, subject: Column, at: str) -> dict[str, Column]:
     """An item with its subject's names, cover, rating and, where it has none, episode counts."""
-    n = episodes_of(subject)
-    extra = {"title": _titled(item, subject), "coverImage": cover_of(subject) or item["coverImage"], "episodeCount": known(item["episodeCount"], n), "airedEpisodeCount": known(item["airedEpisodeCount"], n)}
-    return {**_bound(item, subject, at), **extra}
+    counts = {f: F.coalesce(item[f], episodes_of(subject)) for f in ("episodeCount", "airedEpisodeCount")}
+    return {**_bound(item, subject, at), **counts, "title": _titled(item, subject), "coverImage": F.coalesce(cover_of(subject), item["coverImage"])}
 
 
-def add_match(item: Item, subject: Item | None, confidence: str, at: str) -> Item:
-    """An item with a match of high confidence; any other match takes the subject away."""
-    if confidence == "high" and subject is not None:
-        return {**_bound(item, subject, at), "title": _titled(item, subject), "coverImage": item["coverImage"] or cover_of(subject)}
-    nothing = dict.fromkeys(("subjectId", "url", "rating", "ratingCount", "rank", "lastSyncedAt"))
-    status = "conflicting" if item["dataStatus"] == "conflicting" else "unverified"
-    return {**item, "bangumi": nothing, "externalIds": {**item["externalIds"], "bangumiSubjectId": None}, "dataStatus": status, "updatedAt": at}
+def add_match(item: Row, subject: Column, confidence: Column, at: str) -> dict[str, Column]:
+    """An item with a match of high confidence; any other match, or none, takes the subject away."""
+    good = S.yes(confidence == "high") & subject.isNotNull()
+    bound = {**_bound(item, subject, at), "title": _titled(item, subject), "coverImage": F.coalesce(item["coverImage"], cover_of(subject))}
+    nothing = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T.RATING.fields))
+    status = F.when(S.yes(item["dataStatus"] == "conflicting"), item["dataStatus"]).otherwise(F.lit("unverified"))
+    bare = {**item, "bangumi": nothing, "externalIds": _outer(item, F.lit(None)), "dataStatus": status, "updatedAt": F.lit(at)}
+    return {f: F.when(good, bound[f]).otherwise(bare[f]) for f in bound}
 
 
-def fill_from_snapshot(item: Item, subject: Item, at: str) -> Item:
+def fill_from_snapshot(item: Row, subject: Column, at: str) -> dict[str, Column]:
     """An item with what it doesn't know yet from a snapshot."""
-    n, fresh = episodes_of(subject), rating_of(subject, at)
-    count = known(item["episodeCount"], n)
-    bound = known(merge.subject_of(item), subject["id"])
-    news = n is not None or item["bangumi"]["rating"] is None
-    rating = {k: known(item["bangumi"][k], fresh[k]) for k in ("rating", "ratingCount", "rank")}
-    rating |= {"subjectId": bound, "url": known(item["bangumi"]["url"], f"https://bgm.tv/subject/{bound}"), "lastSyncedAt": at if news else item["bangumi"]["lastSyncedAt"]}
-    aired = known(item["airedEpisodeCount"], count if item["status"] == "finished" else None)
-    external = {**item["externalIds"], "bangumiSubjectId": known(item["externalIds"]["bangumiSubjectId"], bound)}
-    return {**item, "episodeCount": count, "airedEpisodeCount": aired, "externalIds": external, "bangumi": rating, "updatedAt": at if news else item["updatedAt"]}
-
-
-def weekly(item: Item, source: Item) -> list[Item]:
-    """A schedule of weekly episodes, if the slot and the number of episodes are known; else the one there is."""
-    n, old = item["episodeCount"], item["schedule"]
-    if not item["startDate"] or not item["updateTime"] or n is None or n <= 1:
-        return old
-    first, number = (old[0]["airDate"], known(old[0]["episodeNumber"], 1)) if old else (item["startDate"], 1)
-    at = lambda k, f: old[k][f] if k < len(old) else None
-    same = {"airTime": item["updateTime"], "timezone": "Asia/Shanghai", "status": "confirmed", "source": source}
-    return [{"episodeNumber": number + k, "episodeTitle": at(k, "episodeTitle"), "airDate": merge.moved(first, 7 * k), **same, "rawTimeText": at(k, "rawTimeText")} for k in range(n)]
-
-
-def overwrite_detail(item: Item, subject: Item, now: str) -> Item:
+    count, old, fresh = F.coalesce(item["episodeCount"], episodes_of(subject)), item["bangumi"], rating_of(subject, at)
+    number = F.coalesce(merge.subject_of(item), subject["id"])
+    news = episodes_of(subject).isNotNull() | old["rating"].isNull()
+    rating = F.struct(
+        number.alias("subjectId"), F.coalesce(old["url"], _page(number)).alias("url"), *(F.coalesce(old[f], fresh[f]).alias(f) for f in ("rating", "ratingCount", "rank")),
+        F.when(news, F.lit(at)).otherwise(old["lastSyncedAt"]).alias("lastSyncedAt"),
+    )
+    aired = F.coalesce(item["airedEpisodeCount"], F.when(S.yes(item["status"] == "finished"), count))
+    outer = _outer(item, F.coalesce(item["externalIds"]["bangumiSubjectId"], number))
+    return {**item, "episodeCount": count, "airedEpisodeCount": aired, "externalIds": outer, "bangumi": rating, "updatedAt": F.when(news, F.lit(at)).otherwise(item["updatedAt"])}
+
+
+def weekly(old: Column, start: Column, time: Column, episodes: Column, source: Column) -> Column:
+    """A schedule of weekly episodes from the first known one on, if the slot and their number are known; else the one there is."""
+    head = F.get(old, F.lit(0))
+    first, number = F.coalesce(head["airDate"], start), F.when(head.isNotNull(), F.coalesce(head["episodeNumber"], F.lit(1))).otherwise(F.lit(1))
+    was = lambda k: F.get(old, k)
+    made = F.transform(F.sequence(F.lit(0), episodes - 1), lambda k: F.struct(
+        (number + k).alias("episodeNumber"), was(k)["episodeTitle"].alias("episodeTitle"), S.shift(first, k * 7).alias("airDate"), time.alias("airTime"), F.lit(S.CHINA).alias("timezone"),
+        F.lit("confirmed").alias("status"), source.alias("source"), was(k)["rawTimeText"].alias("rawTimeText"),
+    ).cast(T.EPISODE))
+    return F.when(S.yes(episodes > 1) & X.given(start).isNotNull() & X.given(time).isNotNull(), made).otherwise(old)
+
+
+def overwrite_detail(item: Row, subject: Column, now: str) -> dict[str, Column]:
     """An item with a fresh detail: rating and cover anew, a weekly schedule, and the state that its days give."""
-    n = known(episodes_of(subject), item["episodeCount"])
-    day = subject["date"] if merge._date(subject["date"]) else None
-    start = known(item["startDate"], day)
-    source = source_of(subject, now)
-    schedule = weekly({**item, "startDate": start, "episodeCount": n}, known(item["schedule"][0]["source"] if item["schedule"] else None, source))
-    single = n is None and item["startDate"] is not None and item["endDate"] == item["startDate"] and len(item["schedule"]) <= 1
-    end = None if single else item["endDate"]
-    if n is not None and schedule:
-        end = schedule[-1]["airDate"]
-    primary = merge.primary_of(start)
-    aired = sum(e["airDate"] <= now[:10] for e in schedule) if schedule else None
+    n, old = F.coalesce(episodes_of(subject), item["episodeCount"]), item["schedule"]
+    start = F.coalesce(item["startDate"], F.when(S.is_date(subject["date"]), subject["date"]))
+    schedule = weekly(old, start, item["updateTime"], n, F.coalesce(F.get(old, F.lit(0))["source"], source_of(subject, now)))
+    some = S.yes(F.size(schedule) > 0)
+    # One day that stands for all of an unknown number of episodes is no end.
+    single = n.isNull() & S.yes(item["endDate"] == item["startDate"]) & S.yes(F.size(old) <= 1)
+    end = F.when(n.isNotNull() & some, F.element_at(schedule, -1)["airDate"]).when(~single, item["endDate"])
+    aired = F.when(some, S.aired(F.transform(schedule, lambda e: e["airDate"]), F.lit(now[:10]), n))
     out = {
-        **_bound(item, subject, now), "startDate": start, "endDate": end, "episodeCount": n, "airedEpisodeCount": min(aired, n) if aired is not None and n is not None else aired, "primarySeason": primary,
-        "activeSeasons": merge.active_of(schedule, primary), "updateWeekday": merge.weekday_of(item["updateWeekday"], schedule, start), "schedule": schedule, "coverImage": cover_of(subject) or item["coverImage"],
+        **_bound(item, subject, now), "startDate": start, "endDate": end, "episodeCount": n, "airedEpisodeCount": aired, "primarySeason": S.primary_season(start), "schedule": schedule,
+        "updateWeekday": S.update_weekday(item["updateWeekday"], schedule, start), "coverImage": F.coalesce(cover_of(subject), item["coverImage"]), "status": S.status_of(start, end, F.to_timestamp(F.lit(now)), 8),
     }
-    return merge.no_final_slot({**out, "status": state_at(start, end, now)})
-
+    return merge.no_final_slot(merge.in_seasons(out))
 
-def state_at(start: str | None, end: str | None, now: str) -> str:
-    """announced, finished, airing or unknown by China's clock; ``now`` is an instant in UTC."""
-    import datetime as dt
 
-    at = dt.datetime.fromisoformat(now.replace("Z", "+00:00"))
-    clock = lambda day, time: dt.datetime.fromisoformat(f"{day}T{time}+08:00")
-    if start and clock(start, "00:00:00") > at:
-        return "announced"
-    if end and clock(end, "23:59:59") < at:
-        return "finished"
-    return "airing" if start else "unknown"
+def retagged(item: Row) -> dict[str, Column]:
+    """An item whose seasons follow from its days."""
+    return merge.in_seasons({**item, "primarySeason": S.primary_season(item["startDate"])})
 
 
-def retagged(item: Item) -> Item:
-    primary = merge.primary_of(item["startDate"])
-    return {**item, "primarySeason": primary, "activeSeasons": merge.active_of(item["schedule"], primary)}
-
-
-def reference_time(item: Item, reference: Item | None) -> Item:
-    """An item that isn't final with a reference's start and time."""
-    if reference is None or item["status"] in merge.FINAL or reference["updateTime"] is None or not reference["schedule"]:
-        return item
-    source = reference["sources"][0] if reference["sources"] else None
-    schedule = [{**e, "airTime": reference["updateTime"], "timezone": "Asia/Shanghai", "source": source or e["source"]} for e in item["schedule"]] or reference["schedule"][:1]
-    start, primary = known(reference["startDate"], item["startDate"]), known(reference["primarySeason"], item["primarySeason"])
-    return {
-        **item, "startDate": start, "primarySeason": primary, "activeSeasons": merge.active_of(schedule, primary), "updateWeekday": merge.weekday_of(reference["updateWeekday"], schedule, start), "updateTime": reference["updateTime"],
-        "timezone": "Asia/Shanghai", "schedule": schedule, "sources": merge.merged_sources(item["sources"], [source] if source else []), "updatedAt": reference["updatedAt"],
-    }
+def reference_time(item: Row, reference: Column) -> dict[str, Column]:
+    """An item that isn't final with the start and time of a reference (a struct, null if there is none)."""
+    applies = reference.isNotNull() & ~merge.is_final(item["status"]) & reference["updateTime"].isNotNull() & S.yes(F.size(reference["schedule"]) > 0)
+    source = F.get(reference["sources"], F.lit(0))
+    timed = merge.retimed(item["schedule"], F.lit(0), reference["updateTime"], source)
+    schedule = F.when(S.yes(F.size(item["schedule"]) > 0), timed).otherwise(F.slice(reference["schedule"], 1, 1))
+    start = F.coalesce(reference["startDate"], item["startDate"])
+    changed = merge.in_seasons({
+        **item, "startDate": start, "primarySeason": F.coalesce(reference["primarySeason"], item["primarySeason"]), "updateWeekday": S.update_weekday(reference["updateWeekday"], schedule, start), "updateTime": reference["updateTime"],
+        "timezone": F.lit(S.CHINA), "schedule": schedule, "sources": merge.all_sources(item["sources"], F.slice(reference["sources"], 1, 1)), "updatedAt": reference["updatedAt"],
+    })
+    return {f: c if c is item[f] else F.when(applies, c).otherwise(item[f]) for f, c in changed.items()}
 
 
 # Flows
 
-def _with_subject(items: DataFrame, found: DataFrame, function: Callable[[Item, Item], Item]) -> DataFrame:
-    """Items (with ordinal) merged with their subject (found: id, subject as JSON); the others as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [r["item"] if r["subject"] is None else json.dumps(function(json.loads(r["item"]), json.loads(r["subject"])), ensure_ascii=False) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("ordinal")], names=["item", "ordinal"])
-
-    rows = merge.as_json(items, "id", "ordinal").join(found, "id", "left").select("item", "subject", F.col("ordinal").cast("long").alias("ordinal"))
-    return merge.from_json(rows.mapInArrow(run, "item string, ordinal long"), "ordinal")
+def _with_subject(items: DataFrame, found: DataFrame, function: Callable[[Row, Column], Row]) -> DataFrame:
+    """Items (with ordinal) merged with their subject (found: id, subject as a struct); the others as they are."""
+    both = items.join(found.select(F.col("id").alias("_id"), F.col("subject").alias("_subject")), F.col("id") == F.col("_id"), "left")
+    own = merge.own()
+    changed = F.when(F.col("_subject").isNotNull(), merge.packed(function(own, F.col("_subject")))).otherwise(merge.packed(own))
+    return both.select(changed.alias("i"), F.col("ordinal").cast("long").alias("ordinal")).select("i.*", "ordinal")
 
 
 def _facts(prefix: str = "") -> Column:
-    return F.to_json(F.struct(*(F.col(prefix + f).alias(f) for f in FACTS)), {"ignoreNullFields": "false"}).alias("subject")
+    return F.struct(*(F.col(prefix + f).alias(f) for f in FACTS)).alias("subject")
 
 
 def may_search() -> Column:
@@ -231,7 +226,7 @@ def sync_details(items: DataFrame, details: DataFrame, snapshots: DataFrame, now
     by_snapshot = bound.join(by_detail, "id", "left_anti").join(snapshots.select(F.col("id").alias("_s"), _facts()), "_s").select("id", "subject")
     loose = items.where(rules.subject_id().isNull() & rules.from_source(merge.CATALOGUE) & F.col("primarySeason").isNotNull())
     matched = best_subjects(loose, snapshots, snapshot_accepted)
-    first = _with_subject(items, by_detail, lambda i, s: overwrite_detail(i, s, now))
+    first = settle(_with_subject(items, by_detail, lambda i, s: overwrite_detail(i, s, now)))
     return _with_subject(first, by_snapshot.unionByName(matched), lambda i, s: fill_from_snapshot(i, s, now))
 
 
@@ -256,20 +251,22 @@ def keep_best(items: DataFrame) -> DataFrame:
 
 def reconcile(items: DataFrame, references: DataFrame, overrides: DataFrame, now: str) -> DataFrame:
     """The library over local references (items with ordinal) and manual slots: by subject, the last one; else by title, the first."""
-    timed = references.where(F.col("updateTime").isNotNull())
-    as_json = merge.as_json(timed, "ordinal", "bangumi", "title").withColumnRenamed("item", "subject")
-    by_subject = R.last_by_key(as_json.select(F.col("bangumi.subjectId").alias("_s"), "subject", "ordinal").where("_s is not null"), ["_s"], "ordinal").select("_s", "subject")
+    timed = references.where(F.col("updateTime").isNotNull()).select("ordinal", "bangumi", "title", merge.packed(merge.own()).alias("subject"))
+    by_subject = R.last_by_key(timed.select(F.col("bangumi.subjectId").alias("_s"), "subject", "ordinal").where("_s is not null"), ["_s"], "ordinal").select("_s", "subject")
     keys = lambda d: d.withColumn("_k", F.explode(_reconcile_keys(X.titles_of(F.col("title")))))
-    by_title = R.first_by_key(keys(as_json).select("_k", "subject", "ordinal"), ["_k"], ["ordinal"]).select("_k", F.col("subject").alias("_t"))
+    by_title = R.first_by_key(keys(timed).select("_k", "subject", "ordinal"), ["_k"], ["ordinal"]).select("_k", F.col("subject").alias("_t"))
     kept = items.where(rules.eligible())
-    places = keys(kept.select("id", "title")).select("id", "_k", F.monotonically_increasing_id().alias("place"))
+    # Of the titles of an item the first one counts that a reference has.
+    places = kept.select("id", F.posexplode(_reconcile_keys(X.titles_of(F.col("title")))).alias("place", "_k"))
     titled = places.join(by_title, "_k").groupBy("id").agg(F.min_by("_t", "place").alias("_t"))
     found = kept.select("id", F.col("bangumi.subjectId").alias("_s")).join(by_subject, "_s", "left").join(titled, "id", "left").select("id", F.coalesce("subject", "_t").alias("subject"))
-    manual = overrides.select("id", F.to_json(F.struct(*overrides.columns), {"ignoreNullFields": "false"}).alias("subject"))
-    tagged = _with_subject(kept, kept.select("id", F.lit("{}").alias("subject")), lambda i, _: retagged(i))
-    slotted = _with_subject(_with_subject(tagged, found.where("subject is not null"), reference_time), manual, lambda i, m: merge.override({**i, "status": "airing"}, m, now) | {"status": i["status"]})
+    manual = overrides.select("id", F.struct(*overrides.columns).alias("subject"))
+    tagged = settle(kept.select(merge.packed(retagged(merge.own())).alias("i"), "ordinal").select("i.*", "ordinal"))
+    timed_rows = settle(_with_subject(tagged, found.where("subject is not null"), reference_time))
+    # A manual slot counts for a row that has ended, too; its state stays, and with it the slot goes again.
+    slotted = _with_subject(timed_rows, manual, lambda i, m: merge.overridden({**i, "status": F.lit("airing")}, m, now) | {"status": i["status"]})
     final = S.yes(F.col("status").isin(*merge.FINAL))
-    return keep_best(slotted.withColumns({c: F.when(~final, F.col(c)) for c in ("updateTime", "updateWeekday")}))
+    return keep_best(settle(slotted.withColumns({c: F.when(~final, F.col(c)) for c in ("updateTime", "updateWeekday")})))
 
 
 def snapshot_report(subjects: DataFrame) -> DataFrame:

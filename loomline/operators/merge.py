@@ -1,307 +1,350 @@
-"""Merging items of several sources into one: survivorship, and the fold that finds duplicates.
+"""Merging items of several sources into one: survivorship by column, and the fold that finds duplicates.
 
-Rows of one title are few and their columns nested, so a merge is a function
-on two records.  What decides which rows meet is joins (:mod:`.refresh`); the
-fold's result depends on the order of its rows, and so it runs over one
-season's candidates in their order, in one Arrow group.
-
-Which side wins is data: LEFT_FIRST are taken from the left unless unknown
-there, all other fields from the right.
+Two rows that joins have brought together are two structs.  A merge says for
+each column of the result which side it comes from; what is not said comes
+from one of the sides as a whole.  Which rows of one season are the same title
+depends on their order and is settled on titles and ids alone (:func:`placed`);
+the rows themselves are then reduced group by group, as columns.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Mapping
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as T
+from ..functions import seasons as S
 from ..functions import text as X
-from .records import STATUS_RANK
+from . import records as R
+
+#: An item's columns by name.
+Row = Mapping[str, Column]
 
-Item = dict
-#: Fields in which the left row comes first.
+#: Columns in which the left row comes first.
 LEFT_FIRST = ("startDate", "endDate", "primarySeason", "officialUrl", "coverImage", "episodeCount", "airedEpisodeCount", "updateTime")
-#: Names of sources by their role.
+#: Columns that a catalogue's row takes from others where it has none.
+FILLED = ("coverImage", "episodeCount", "airedEpisodeCount")
+SLOT = ("updateWeekday", "updateTime", "timezone")
+#: Names of sources by their role, and states that end a row.
 CATALOGUE, DATABASE = "YucWiki", "Bangumi"
 REVIEWERS = ("Bahamut Anime Crazy", "YourAnimes")
 FINAL = ("finished", "cancelled")
-#: Starts from these days on count for the quarter that follows.
-_LEAD = {3: 18, 6: 17, 9: 17, 12: 18}
-
 
-# Dates and seasons of single records
+_TITLES = ("original", "japanese", "chinese", "english")
+_SOURCES, _EPISODES, _TEXTS = T.T.ArrayType(T.SOURCE), T.T.ArrayType(T.EPISODE), T.T.ArrayType(T.T.StringType())
 
-def _date(text: str | None) -> dt.date | None:
-    try:
-        return dt.date.fromisoformat(text) if text and len(text) == 10 else None
-    except ValueError:
-        return None
 
+# Structs and arrays
 
-def _season(day: dt.date) -> dict:
-    return {"year": day.year, "quarter": T.QUARTERS[(day.month - 1) // 3]}
+def row(value: Column) -> dict[str, Column]:
+    """The columns of an item that is one struct."""
+    return {f: value[f] for f in T.ITEM.fieldNames()}
 
 
-def primary_of(start: str | None) -> dict | None:
-    day = _date(start)
-    if day is None:
-        return None
-    late = day.day >= _LEAD.get(day.month, 99)
-    return _season(dt.date(day.year + day.month // 12, day.month % 12 + 1, 1) if late else day)
+def own() -> dict[str, Column]:
+    """The columns of items as they stand in a DataFrame."""
+    return {f: F.col(f) for f in T.ITEM.fieldNames()}
 
 
-def season_rank(season: dict) -> int:
-    return season["year"] * 4 + T.QUARTERS.index(season["quarter"])
+def packed(columns: Row) -> Column:
+    """An item's columns as one struct."""
+    return F.struct(*(columns[f.name].cast(f.dataType).alias(f.name) for f in T.ITEM.fields))
 
 
-def active_of(schedule: list[Item], primary: dict | None) -> list[dict]:
-    found = {season_rank(s): s for e in schedule if (d := _date(e["airDate"])) for s in [_season(d)]}
-    return [found[k] for k in sorted(found)] or ([primary] if primary and not schedule else [])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def weekday_of(given: int | None, schedule: list[Item], start: str | None) -> int | None:
-    if given is not None and 1 <= given <= 7:
-        return given
-    if any(e["status"] in ("delayed", "changed") for e in schedule):
-        return None
-    days = sorted(d for e in schedule if (d := _date(e["airDate"])))
-    day = days[0] if days else _date(start)
-    return day.isoweekday() if day else None
+def _list(value: Column, kind: T.T.ArrayType) -> Column:
+    return F.coalesce(value, F.array().cast(kind))
 
 
-def days_from(old: str | None, new: str | None) -> int:
-    a, b = _date(old), _date(new)
-    return (b - a).days if a and b else 0
+def first_by(rows: Column, key: Callable[[Column], Column]) -> Column:
+    """Elements of an array without those whose key came before."""
+    return let(F.transform(rows, key), lambda keys: F.filter(rows, lambda x, i: F.array_position(keys, key(x)) == i + 1))
 
 
-def moved(day: str, by: int) -> str:
-    d = _date(day)
-    return (d + dt.timedelta(days=by)).isoformat() if d and by else day
+def _joined(*parts: Column) -> Column:
+    return F.concat_ws("\x00", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
 
 
-# Parts of records
+def all_sources(*lists: Column) -> Column:
+    """Sources of all lists; of those equal in name, kind and address the first."""
+    return first_by(F.concat(*(_list(x, _SOURCES) for x in lists)), lambda s: _joined(s["name"], s["type"], s["url"]))
 
-def known(*values):
-    """The first value that isn't null."""
-    return next((v for v in values if v is not None), None)
 
+def by_day(schedule: Column) -> Column:
+    """A schedule without repeated entries, in the order of its days."""
+    once = first_by(_list(schedule, _EPISODES), lambda e: _joined(e["episodeNumber"], e["airDate"], e["airTime"]))
+    return F.array_sort(once, lambda a, b: F.when(a["airDate"] < b["airDate"], F.lit(-1)).when(a["airDate"] > b["airDate"], F.lit(1)).otherwise(F.lit(0)))
 
-def distinct(rows: Iterable, key: Callable) -> list:
-    """Rows without those whose key came before."""
-    out: dict = {}
-    for row in rows:
-        out.setdefault(key(row), row)
-    return list(out.values())
 
+def with_old_times(incoming: Column, old: Column) -> Column:
+    """Entries that an older schedule has with a time stay as they were there."""
+    timed = F.filter(old, lambda e: e["airTime"].isNotNull())
+    before = lambda e: F.filter(timed, lambda o: o["episodeNumber"].eqNullSafe(e["episodeNumber"]) & o["airDate"].eqNullSafe(e["airDate"]))
+    return F.when(S.yes(F.size(old) > 0), by_day(F.transform(incoming, lambda e: F.coalesce(F.try_element_at(before(e), F.lit(-1)), e)))).otherwise(incoming)
 
-def merged_sources(*lists: list[Item]) -> list[Item]:
-    return distinct((s for rows in lists for s in rows or ()), lambda s: (s["name"], s["type"], s.get("url") or ""))
 
+def retimed(schedule: Column, by: Column, time: Column, source: Column | None, note: Column | None = None) -> Column:
+    """A schedule moved by days, at a time in China, said by a source (by its own where that is null)."""
+    return F.transform(_list(schedule, _EPISODES), lambda e: F.struct(
+        e["episodeNumber"].alias("episodeNumber"), e["episodeTitle"].alias("episodeTitle"), S.shift(e["airDate"], by).alias("airDate"), time.alias("airTime"), F.lit(S.CHINA).alias("timezone"),
+        e["status"].alias("status"), (e["source"] if source is None else F.coalesce(source, e["source"])).alias("source"),
+        (e["rawTimeText"] if note is None else F.coalesce(note, e["rawTimeText"])).alias("rawTimeText"),
+    ).cast(T.EPISODE))
 
-def in_order(schedule: Iterable[Item]) -> list[Item]:
-    """A schedule without repeated entries, by day."""
-    return sorted(distinct(schedule, lambda e: (e["episodeNumber"], e["airDate"], e["airTime"] or "")), key=lambda e: e["airDate"])
 
+# What items say
 
-def with_old_times(incoming: list[Item], old: list[Item]) -> list[Item]:
-    """Entries that an older row already has with a time stay as they were there."""
-    if not old:
-        return incoming
-    timed = {(e["episodeNumber"], e["airDate"]): e for e in old if e["airTime"] is not None}
-    return in_order(timed.get((e["episodeNumber"], e["airDate"]), e) for e in incoming)
+def from_source(item: Row, *names: str) -> Column:
+    return S.yes(F.exists(item["sources"], lambda s: S.yes(s["name"].isin(*names))))
 
 
-def status_of(*states: str) -> str:
-    return next((s for s in STATUS_RANK if s in states), "unknown")
+def reviews_broadcast(item: Row) -> Column:
+    return S.yes(F.exists(item["sources"], lambda s: S.yes((s["name"] == "YourAnimes") & (s["scope"] == "japan_broadcast"))))
 
 
-def no_final_slot(item: Item) -> Item:
-    return {**item, "updateTime": None, "updateWeekday": None} if item["status"] in FINAL else item
+def subject_of(item: Row) -> Column:
+    return F.coalesce(item["bangumi"]["subjectId"], item["externalIds"]["bangumiSubjectId"])
 
 
-def subject_of(item: Item) -> int | None:
-    return known(item["bangumi"]["subjectId"], item["externalIds"]["bangumiSubjectId"])
+def is_final(status: Column) -> Column:
+    return S.yes(status.isin(*FINAL))
 
 
-def named(item: Item, *names: str) -> bool:
-    return any(s["name"] in names for s in item["sources"])
+def no_final_slot(item: Row) -> dict[str, Column]:
+    """A row that has ended has no weekly slot."""
+    return {**item, **{f: F.when(~is_final(item["status"]), item[f]) for f in ("updateTime", "updateWeekday")}}
 
 
-def broadcast_review(item: Item) -> bool:
-    return any(s["name"] == "YourAnimes" and s.get("scope") == "japan_broadcast" for s in item["sources"])
+def in_seasons(item: Row) -> dict[str, Column]:
+    """The seasons that a row's schedule lies in, from its schedule and primary season."""
+    return {**item, "activeSeasons": S.active_seasons(item["schedule"], item["primarySeason"])}
 
 
-def title_keys(item: Item, aliases: bool = True) -> set[str]:
-    title = item["title"]
-    forms = [title["original"], title["japanese"], title["chinese"], title["english"], *(title["aliases"] or () if aliases else ())]
-    return {k for f in forms if f and X.trimmed(f) for k in [X.merge_key(f)] if k}
+# Parts that several merges share
 
+def _identified(first: Row, second: Row) -> dict[str, Column]:
+    """Id, rating and outer ids: those of the first row's subject, if it has one."""
+    bound = first["bangumi"]["subjectId"].isNotNull()
+    subject = F.when(bound, first["bangumi"]["subjectId"]).otherwise(second["bangumi"]["subjectId"])
+    outer = F.struct(*(F.coalesce(first["externalIds"][f], second["externalIds"][f]).alias(f) for f in T.EXTERNAL.fieldNames()))
+    name = F.coalesce(F.concat(F.lit("anime:"), subject.cast("string")), first["id"])
+    return {"id": name, "bangumi": F.when(bound, first["bangumi"]).otherwise(second["bangumi"]), "externalIds": outer}
 
-def identity(item: Item) -> str:
-    subject = subject_of(item)
-    return f"bangumi:{subject}" if subject is not None else f"title:{X.identity_key(item['title']['original'])}:{item['startDate'] or ''}:{item['format']}"
 
+def _title(forms: Mapping[str, Column], *aliases: Column) -> Column:
+    return F.struct(*(forms[f].alias(f) for f in _TITLES), X.ordered_union(*(_list(a, _TEXTS) for a in aliases)).alias("aliases"))
 
-def _ids(left: Item, right: Item) -> dict:
-    """Ids, rating and subject of two rows, the left ones first."""
-    rating = left["bangumi"] if left["bangumi"]["subjectId"] is not None else right["bangumi"]
-    external = {k: known(left["externalIds"][k], right["externalIds"][k]) for k in ("bangumiSubjectId", "bahamutSn")}
-    return {"id": f"anime:{rating['subjectId']}" if rating["subjectId"] is not None else left["id"], "bangumi": rating, "externalIds": external}
 
-
-def _aliases(left: Item, right: Item) -> list[str]:
-    return list(dict.fromkeys([*(left["title"]["aliases"] or ()), *(right["title"]["aliases"] or ())]))
+def _slot(item: Row, old: Row, status: Column) -> dict[str, Column]:
+    """The slot of a row and of its older version, which fills in where the new one has no time."""
+    timed, ended = item["updateTime"].isNotNull(), is_final(status)
+    zone = F.when(~ended & ~timed & old["updateTime"].isNotNull(), old["timezone"]).otherwise(item["timezone"])
+    day = F.when(timed, item["updateWeekday"]).otherwise(F.coalesce(old["updateWeekday"], item["updateWeekday"]))
+    return {"updateWeekday": F.when(~ended, day), "updateTime": F.when(~ended, F.coalesce(item["updateTime"], old["updateTime"])), "timezone": zone}
 
 
 # Merges
 
-def add_database(primary: Item, subject: Item) -> Item:
-    """A catalogue row with what the subject database adds: ids, ratings, covers and counts, nothing else."""
-    extra = {f: known(primary[f], subject[f]) for f in ("coverImage", "episodeCount", "airedEpisodeCount")}
-    sources = merged_sources(primary["sources"], subject["sources"])
-    return no_final_slot({**primary, **_ids(primary, subject), **extra, "title": {**primary["title"], "aliases": _aliases(primary, subject)}, "sources": sources, "updatedAt": subject["updatedAt"]})
-
-
-def merge(left: Item, right: Item) -> Item:
-    """Two rows of one title."""
-    if named(left, CATALOGUE) and named(right, DATABASE):
-        return add_database(left, right)
-    status = status_of(left["status"], right["status"])
-    over = status in FINAL
-    out = {**left, **{k: v for k, v in right.items() if k != "exclusionReason" or v is not None}, **_ids(left, right), **{f: known(left[f], right[f]) for f in LEFT_FIRST}}
-    out["title"] = {**{f: known(left["title"][f], right["title"][f]) for f in ("japanese", "chinese", "english")}, "original": left["title"]["original"] or right["title"]["original"], "aliases": _aliases(left, right)}
-    out["format"] = left["format"] if left["format"] != "unknown" else right["format"]
-    out |= {"status": status, "createdAt": left["createdAt"], "updatedAt": right["updatedAt"], "sources": merged_sources(left["sources"], right["sources"])}
-    schedule = [*left["schedule"], *right["schedule"]]
-    if not over and broadcast_review(right) and right["startDate"] is not None:
-        # The broadcast's start is the better one; with a time, the schedule moves along.
-        out |= {"startDate": right["startDate"], "primarySeason": right["primarySeason"]}
-        if right["updateTime"] is not None:
-            by, source = days_from(left["startDate"], right["startDate"]), right["sources"][0] if right["sources"] else None
-            schedule = [{**e, "airDate": moved(e["airDate"], by), "airTime": right["updateTime"], "timezone": "Asia/Shanghai", "source": source or e["source"]} for e in left["schedule"] or right["schedule"]]
-    out["schedule"] = in_order(schedule)
-    out["activeSeasons"] = active_of(out["schedule"], out["primarySeason"])
-    out["updateWeekday"] = None if over else weekday_of(known(right["updateWeekday"], left["updateWeekday"]), out["schedule"], out["startDate"])
-    out["updateTime"] = None if over else out["updateTime"]
-    return out
-
-
-def _slot(item: Item, old: Item, status: str) -> dict:
-    """The slot of a row and its older version: the old one fills in where the new one has no time."""
-    if status in FINAL:
-        return {"updateWeekday": None, "updateTime": None, "timezone": item["timezone"]}
-    if item["updateTime"] is not None:
-        return {f: item[f] for f in ("updateWeekday", "updateTime", "timezone")}
-    zone = old["timezone"] if old["updateTime"] is not None else item["timezone"]
-    return {"updateWeekday": known(old["updateWeekday"], item["updateWeekday"]), "updateTime": old["updateTime"], "timezone": zone}
-
-
-def renew(item: Item, old: Item) -> Item:
-    """A row over its older version of the same id."""
-    status = status_of(item["status"], old["status"])
-    same = old["bangumi"]["subjectId"] == item["bangumi"]["subjectId"]
-    rating = old["bangumi"] if item["bangumi"]["rating"] is None and same else item["bangumi"]
-    return {**item, **_slot(item, old, status), "status": status, "createdAt": old["createdAt"], "schedule": with_old_times(item["schedule"], old["schedule"]), "bangumi": rating, "sources": merged_sources(old["sources"], item["sources"])}
-
-
-def renew_by_title(item: Item, old: Item) -> Item:
-    """A catalogue row over the older row that its title finds: it keeps that row's subject and counts."""
-    status = status_of(item["status"], old["status"])
-    extra = {f: known(item[f], old[f]) for f in ("coverImage", "episodeCount", "airedEpisodeCount")}
-    return {**item, **_ids(item, old), **extra, **_slot(item, old, status), "status": status, "createdAt": old["createdAt"], "schedule": with_old_times(item["schedule"], old["schedule"]), "sources": merged_sources(old["sources"], item["sources"])}
-
-
-def review(old: Item, item: Item) -> Item:
-    """A schedule's row over the row it speaks of: its slot wins."""
-    out = merge(old, item)
-    if out["dataStatus"] == "complete" and item["dataStatus"] != "complete":
-        out = {**out, "dataStatus": "partial"}
-    if out["status"] in FINAL:
-        return no_final_slot(out)
-    zone = item["timezone"] if item["updateTime"] is not None else out["timezone"]
-    return {**out, "updateTime": known(item["updateTime"], out["updateTime"]), "updateWeekday": known(item["updateWeekday"], out["updateWeekday"]), "timezone": zone}
-
-
-def renewed(item: Item, by_id: Item | None, by_title: Item | None) -> Item:
-    """A candidate over what the library has: by id, else by title, if it has anything."""
-    if named(item, *REVIEWERS):
-        old = by_id or by_title
-        return review(old, item) if old else item
-    if by_id:
-        return renew(item, by_id)
-    return renew_by_title(item, by_title) if by_title and named(item, CATALOGUE) else item
-
-
-def override(item: Item, manual: Item | None, at: str) -> Item:
-    """A manual slot over a row that isn't final."""
-    if manual is None or item["status"] in FINAL:
-        return item
-    source = {"name": manual["sourceName"], "type": "manual", "url": manual["sourceUrl"], "retrievedAt": at, "confidence": 0.95, "scope": "japan_broadcast"}
-    start, by = manual["beijingDate"], days_from(item["startDate"], manual["beijingDate"])
-    fixed = {"airTime": manual["beijingTime"], "timezone": "Asia/Shanghai", "source": source}
-    schedule = [{**e, **fixed, "airDate": moved(e["airDate"], by), "rawTimeText": known(manual.get("note"), e.get("rawTimeText"))} for e in item["schedule"]]
-    schedule = in_order(schedule or [{"episodeNumber": 1, "episodeTitle": None, "airDate": start, **fixed, "status": "confirmed", "rawTimeText": manual.get("note")}])
-    primary = primary_of(start)
-    return {
-        **item, "startDate": start, "primarySeason": primary, "activeSeasons": active_of(schedule, primary), "updateWeekday": weekday_of(None, schedule, start), "updateTime": manual["beijingTime"], "timezone": "Asia/Shanghai",
-        "schedule": schedule, "sources": merged_sources(item["sources"], [source]), "dataStatus": "complete" if item["dataStatus"] == "complete" else "partial", "updatedAt": at,
+def with_database(primary: Row, subject: Row) -> dict[str, Column]:
+    """A catalogue's row with a database's ids, ratings, covers, counts and aliases; all else is the catalogue's."""
+    title = _title({f: primary["title"][f] for f in _TITLES}, primary["title"]["aliases"], subject["title"]["aliases"])
+    filled = {f: F.coalesce(primary[f], subject[f]) for f in FILLED}
+    return no_final_slot({**primary, **_identified(primary, subject), **filled, "title": title, "sources": all_sources(primary["sources"], subject["sources"]), "updatedAt": subject["updatedAt"]})
+
+
+def united(left: Row, right: Row) -> dict[str, Column]:
+    """Two rows of one title: LEFT_FIRST are the left's where it has them, most others the right's."""
+    forms = {f: F.coalesce(left["title"][f], right["title"][f]) for f in _TITLES} | {"original": F.coalesce(X.given(left["title"]["original"]), right["title"]["original"])}
+    status = R.merged_status(left["status"], right["status"])
+    # A reviewed broadcast gives the better start; if it has a time, the schedule moves along.
+    better = ~is_final(status) & reviews_broadcast(right) & right["startDate"].isNotNull()
+    moves = better & right["updateTime"].isNotNull()
+    one = F.when(S.yes(F.size(left["schedule"]) > 0), left["schedule"]).otherwise(right["schedule"])
+    again = retimed(one, S.days_between(left["startDate"], right["startDate"]), right["updateTime"], F.get(right["sources"], F.lit(0)))
+    out = {
+        **right, **{f: F.coalesce(left[f], right[f]) for f in LEFT_FIRST}, **_identified(left, right),
+        "title": _title(forms, left["title"]["aliases"], right["title"]["aliases"]), "status": status, "createdAt": left["createdAt"],
+        "format": F.when(left["format"] != "unknown", left["format"]).otherwise(right["format"]), "exclusionReason": F.coalesce(right["exclusionReason"], left["exclusionReason"]),
+        "sources": all_sources(left["sources"], right["sources"]), "schedule": by_day(F.when(moves, again).otherwise(F.concat(_list(left["schedule"], _EPISODES), _list(right["schedule"], _EPISODES)))),
     }
-
-
-def normal(item: Item, at: str) -> Item:
-    """A fetched row with its derived fields made new."""
-    primary = primary_of(item["startDate"])
-    data = "partial" if item["dataStatus"] == "complete" and not item["schedule"] else item["dataStatus"]
-    title = {**item["title"], "aliases": item["title"]["aliases"] or []}
-    return no_final_slot({
-        **item, "title": title, "primarySeason": primary, "activeSeasons": active_of(item["schedule"], primary), "updateWeekday": weekday_of(item["updateWeekday"], item["schedule"], item["startDate"]), "dataStatus": data,
-        "updatedAt": item["updatedAt"] or at, "createdAt": item["createdAt"] or at,
+    out |= {f: F.when(better, right[f]).otherwise(out[f]) for f in ("startDate", "primarySeason")}
+    out["updateWeekday"] = S.update_weekday(F.coalesce(right["updateWeekday"], left["updateWeekday"]), out["schedule"], out["startDate"])
+    return no_final_slot(in_seasons(out))
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two rows of one title, as structs."""
+    a, b = row(left), row(right)
+    return F.when(from_source(a, CATALOGUE) & from_source(b, DATABASE), packed(with_database(a, b))).otherwise(packed(united(a, b)))
+
+
+def _over(item: Row, old: Row) -> dict[str, Column]:
+    """What a newer row keeps of an older one, however it was found."""
+    status = R.merged_status(item["status"], old["status"])
+    return {**item, **_slot(item, old, status), "status": status, "createdAt": old["createdAt"], "schedule": with_old_times(item["schedule"], old["schedule"]), "sources": all_sources(old["sources"], item["sources"])}
+
+
+def over_same_id(item: Row, old: Row) -> dict[str, Column]:
+    """A row over its older version; a rating of the same subject stays if there is no newer one."""
+    stays = item["bangumi"]["rating"].isNull() & item["bangumi"]["subjectId"].eqNullSafe(old["bangumi"]["subjectId"])
+    return {**_over(item, old), "bangumi": F.when(stays, old["bangumi"]).otherwise(item["bangumi"])}
+
+
+def over_same_title(item: Row, old: Row) -> dict[str, Column]:
+    """A catalogue's row over the older one that its title finds, whose subject, cover and counts it keeps."""
+    return {**_over(item, old), **_identified(item, old), **{f: F.coalesce(item[f], old[f]) for f in FILLED}}
+
+
+def reviewed(old: Column, item: Column) -> Column:
+    """A schedule's row over the row that it speaks of, as structs: its slot wins."""
+    new = row(item)
+
+    def finish(both: Column) -> Column:
+        out = row(both)
+        partial = S.yes(out["dataStatus"] == "complete") & ~S.yes(new["dataStatus"] == "complete")
+        slot = {f: F.coalesce(new[f], out[f]) for f in ("updateTime", "updateWeekday")}
+        zone = F.when(~is_final(out["status"]) & new["updateTime"].isNotNull(), new["timezone"]).otherwise(out["timezone"])
+        return packed(no_final_slot({**out, **slot, "timezone": zone, "dataStatus": F.when(partial, F.lit("partial")).otherwise(out["dataStatus"])}))
+
+    return let(merged(old, item), finish)
+
+
+def renewed(item: Column, by_id: Column, by_title: Column) -> Column:
+    """A candidate over what the library has of it (structs, null where nothing was found): by id, else by title."""
+    new, old = row(item), F.coalesce(by_id, by_title)
+    return (
+        F.when(from_source(new, *REVIEWERS), F.when(old.isNotNull(), reviewed(old, item)).otherwise(item))
+        .when(by_id.isNotNull(), packed(over_same_id(new, row(by_id))))
+        .when(by_title.isNotNull() & from_source(new, CATALOGUE), packed(over_same_title(new, row(by_title))))
+        .otherwise(item)
+    )
+
+
+def overridden(item: Row, manual: Column, at: str) -> dict[str, Column]:
+    """Columns of an item with a manual slot (a struct, null if there is none); a row that has ended stays."""
+    source = F.struct(
+        manual["sourceName"].alias("name"), F.lit("manual").alias("type"), manual["sourceUrl"].alias("url"), F.lit(at).alias("retrievedAt"), F.lit(0.95).alias("confidence"), F.lit("japan_broadcast").alias("scope"),
+    ).cast(T.SOURCE)
+    start = manual["beijingDate"]
+    first = F.struct(
+        F.lit(1).alias("episodeNumber"), F.lit(None).cast("string").alias("episodeTitle"), start.alias("airDate"), manual["beijingTime"].alias("airTime"), F.lit(S.CHINA).alias("timezone"),
+        F.lit("confirmed").alias("status"), source.alias("source"), manual["note"].alias("rawTimeText"),
+    ).cast(T.EPISODE)
+    moved = by_day(retimed(item["schedule"], S.days_between(item["startDate"], start), manual["beijingTime"], source, manual["note"]))
+    schedule = F.when(S.yes(F.size(item["schedule"]) > 0), moved).otherwise(F.array(first))
+    changed = in_seasons({
+        **item, "startDate": start, "primarySeason": S.primary_season(start), "schedule": schedule, "updateWeekday": S.update_weekday(F.lit(None).cast("int"), schedule, start), "updateTime": manual["beijingTime"],
+        "timezone": F.lit(S.CHINA), "sources": all_sources(item["sources"], F.array(source)), "dataStatus": F.when(S.yes(item["dataStatus"] == "complete"), item["dataStatus"]).otherwise(F.lit("partial")), "updatedAt": F.lit(at),
     })
+    applies = manual.isNotNull() & ~is_final(item["status"])
+    return {f: c if c is item[f] else F.when(applies, c).otherwise(item[f]) for f, c in changed.items()}
 
 
-def fold(items: Iterable[Item]) -> list[Item]:
-    """Rows of one title merged, in order; a place keeps the key it was made with, so one more fold may find more."""
-    places: dict[str, Item] = {}
-    for item in items:
-        key = None
-        if subject_of(item) is not None:
-            keys = title_keys(item, aliases=False)
-            key = next((k for k, x in places.items() if named(x, CATALOGUE) and keys & title_keys(x, aliases=False)), None)
-        elif named(item, *REVIEWERS):
-            keys = title_keys(item)
-            key = next((k for k, x in places.items() if (subject_of(x) is not None or named(x, DATABASE)) and keys & title_keys(x)), None)
-        key = key or identity(item)
-        places[key] = merge(places[key], item) if key in places else item
-    return list(places.values())
+def normal(item: Row, at: str) -> dict[str, Column]:
+    """Columns of a fetched row with those that follow from others made new."""
+    bare = S.yes(item["dataStatus"] == "complete") & ~S.yes(F.size(item["schedule"]) > 0)
+    out = {
+        **item, "title": _title({f: item["title"][f] for f in _TITLES}, item["title"]["aliases"]), "primarySeason": S.primary_season(item["startDate"]), "schedule": _list(item["schedule"], _EPISODES),
+        "updateWeekday": S.update_weekday(item["updateWeekday"], item["schedule"], item["startDate"]), "dataStatus": F.when(bare, F.lit("partial")).otherwise(item["dataStatus"]),
+        **{f: F.coalesce(X.given(item[f]), F.lit(at)) for f in ("updatedAt", "createdAt")},
+    }
+    return no_final_slot(in_seasons(out))
+
 
+# The fold
 
-# Records as rows
+class _Place:
+    """What decides whether a later row belongs to a place: titles, names of sources, subject."""
 
-def as_json(items: DataFrame, *others: str) -> DataFrame:
-    """Items as JSON texts (column item), with other columns."""
-    return items.select(F.to_json(F.struct(*T.ITEM.fieldNames()), {"ignoreNullFields": "false"}).alias("item"), *others)
+    def __init__(self, seen: Mapping):
+        self.titles = dict(zip(_TITLES, seen["titles"], strict=True))
+        self.aliases, self.names, self.subject = list(seen["aliases"]), set(seen["names"]), seen["subject"]
 
+    def keys(self, aliases: bool) -> set[str]:
+        forms = [*self.titles.values(), *(self.aliases if aliases else ())]
+        return {k for f in forms if f and X.trimmed(f) for k in [X.merge_key(f)] if k}
 
-def from_json(rows: DataFrame, *others: str) -> DataFrame:
-    return rows.select(F.from_json("item", T.ITEM).alias("i"), *others).select("i.*", *others)
+    def take(self, other: _Place) -> None:
+        if not (CATALOGUE in self.names and DATABASE in other.names):  # a database adds no names to a catalogue's row
+            for form, text in self.titles.items():
+                if text is None or (form == "original" and text == ""):
+                    self.titles[form] = other.titles[form]
+        self.aliases += other.aliases
+        self.names |= other.names
+        self.subject = other.subject if self.subject is None else self.subject
 
 
-def fold_items(items: DataFrame, order: str = "ordinal") -> DataFrame:
-    """Items of one season's refresh with duplicates merged, in order (column ``order``).
+def _place_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Number the places of one block's rows, in the order in which they come up.
 
-    All rows meet in one task, as each may change what the next finds; they are
-    the candidates of one season, some hundreds, not the library.
+    A row with a subject joins the first catalogue's place that has one of its
+    titles, a reviewer's row the first place with a subject or from the database
+    that has one of its titles or aliases; others, and those that find none,
+    the place of the same subject, or title, start and format.  Places are
+    found by an index of their titles.
+    """
+    places: list[_Place] = []
+    by_name: dict[str, int] = {}
+    by_title: dict[str, list[int]] = {}
+    numbers = []
+    rows = rows.sort_values("ordinal", kind="stable")
+    for seen in rows.to_dict("records"):
+        seen["subject"] = None if pd.isna(seen["subject"]) else int(seen["subject"])
+        here, at = _Place(seen), None
+        reviews = seen["subject"] is None and not here.names.isdisjoint(REVIEWERS)
+        if reviews or seen["subject"] is not None:
+            keys = here.keys(reviews)
+            for k in sorted({p for key in keys for p in by_title.get(key, ())}):
+                there = places[k]
+                open_ = (there.subject is not None or DATABASE in there.names) if reviews else CATALOGUE in there.names
+                if open_ and not keys.isdisjoint(there.keys(reviews)):
+                    at = k
+                    break
+        if at is None:
+            # A place keeps the name that it was made with.
+            name = f"bangumi:{seen['subject']}" if seen["subject"] is not None else f"title:{X.identity_key(seen['titles'][0])}:{seen['start']}:{seen['format']}"
+            at = by_name.setdefault(name, len(places))
+        if at == len(places):
+            places.append(here)
+        else:
+            places[at].take(here)
+        for key in places[at].keys(True):
+            if at not in by_title.setdefault(key, []):
+                by_title[key].append(at)
+        numbers.append(at)
+    return pd.DataFrame({"block": rows["block"], "ordinal": rows["ordinal"], "place": numbers})
+
+
+def placed(items: DataFrame, block: Column, order: str) -> DataFrame:
+    """block, ordinal and place of each item: items of a block with one place are one title.
+
+    A block is a season's candidates.  Its rows go to one task as titles and
+    ids, some hundred bytes each; a row may change what the next one finds.
     """
+    title = F.col("title")
+    light = items.select(
+        block.cast("long").alias("block"), F.col(order).cast("long").alias("ordinal"), F.array(*(title[f] for f in _TITLES)).alias("titles"), _list(title["aliases"], _TEXTS).alias("aliases"),
+        F.transform(_list(F.col("sources"), _SOURCES), lambda s: s["name"]).alias("names"), subject_of(own()).alias("subject"), F.coalesce("startDate", F.lit("")).alias("start"), "format",
+    )
+    return light.groupBy("block").applyInPandas(_place_rows, "block long, ordinal long, place long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r[order])
-        out = [json.dumps(i, ensure_ascii=False) for i in fold(json.loads(r["item"]) for r in rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(range(len(out)), pa.int64())], names=["item", order])
 
-    rows = as_json(items, order).select("item", F.col(order).cast("long").alias(order)).coalesce(1)
-    return from_json(rows.mapInArrow(run, f"item string, {order} long"), order)
+def fold_items(items: DataFrame, order: str = "ordinal", block: Column | None = None) -> DataFrame:
+    """Items with duplicates merged in their order (column ``order``, unique within a block), which is that of the places afterwards.
+
+    Blocks (the primary season, unless another is given) are folded each on its own.
+    """
+    block = S.season_order(F.col("primarySeason")) if block is None else block
+    rows = items.select(F.coalesce(block.cast("long"), F.lit(-1)).alias("block"), F.col(order).cast("long").alias("ordinal"), packed(own()).alias("item"))
+    where = placed(items, F.coalesce(block.cast("long"), F.lit(-1)), order)
+    groups = rows.join(where, ["block", "ordinal"]).groupBy("block", "place").agg(F.array_sort(F.collect_list(F.struct("ordinal", "item"))).alias("rows"))
+    later = F.transform(F.slice("rows", F.lit(2), F.size("rows")), lambda r: r["item"])
+    one = F.aggregate(later, F.get("rows", F.lit(0))["item"], merged)
+    return groups.select(F.when(F.size("rows") > 1, one).otherwise(F.get("rows", F.lit(0))["item"]).alias("i"), F.col("place").alias(order)).select("i.*", order)

@@ -1,17 +1,16 @@
 """Refreshing one season of the library: candidates in, the next library out.
 
-The library may be large and is only joined, filtered and unioned; a season's
-candidates are few and are folded in order (:mod:`.merge`).
+The library may be large: of its rows only those are looked at that the
+candidates name by id or title, and the others are filtered and unioned.
+Candidates are cut down to the season and what may belong to it, and then
+folded (:mod:`.merge`).
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from .. import schema as T
 from ..functions import seasons as S
 from ..functions import text as X
 from ..sources.library import LibraryError
+from ..sources.settled import settle
 from . import listing, merge, quality, rules
 from . import records as R
 
@@ -61,28 +61,38 @@ def title_matches(items: DataFrame, old: DataFrame, same_season: bool) -> DataFr
     return R.first_overlap(sides[0], sides[1], "id", "id", "keys", "ordinal", agree)
 
 
-def _mapped(rows: DataFrame, function, columns: list[str]) -> DataFrame:
-    """Rows of JSON columns and an ordinal, each made an item by a function."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [json.dumps(function(*(None if r[c] is None else json.loads(r[c]) for c in columns)), ensure_ascii=False) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("ordinal")], names=["item", "ordinal"])
-
-    return merge.from_json(rows.select(*columns, F.col("ordinal").cast("long").alias("ordinal")).mapInArrow(run, "item string, ordinal long"), "ordinal")
+def _whole(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key and the whole item as a struct."""
+    return rows.select(F.col("id").alias(key), merge.packed(merge.own()).alias(name))
 
 
 def renewed(items: DataFrame, old: DataFrame, overrides: DataFrame, now: str) -> DataFrame:
-    """Candidates over what the library has of them, by id and else by title, and over manual slots."""
-    previous = merge.as_json(old, "id").withColumnRenamed("item", "old").groupBy("id").agg(F.first("old").alias("old"))
+    """Candidates (with ordinal) over what the library has of them, by id and else by title, and over manual slots."""
     reviews = items.where(reviewer())
     catalogue = items.where(~reviewer() & rules.from_source(merge.CATALOGUE))
     by_title = title_matches(reviews, old, False).unionByName(title_matches(catalogue, old, True))
-    titled = by_title.join(previous.withColumnRenamed("id", "match").withColumnRenamed("old", "titled"), "match").select("id", "titled")
-    base = merge.as_json(items, "id", "ordinal").join(previous, "id", "left").join(titled, "id", "left")
-    found = _mapped(base, merge.renewed, ["item", "old", "titled"])
-    manual = overrides.select("id", F.to_json(F.struct(*overrides.columns), {"ignoreNullFields": "false"}).alias("manual"))
-    return _mapped(merge.as_json(found, "id", "ordinal").join(manual, "id", "left"), lambda i, m: merge.override(i, m, now), ["item", "manual"])
+    # Of the library, only the rows that are asked for are read in full.
+    same = R.first_by_key(_whole(old.join(items.select("id"), "id", "left_semi"), "id", "old"), ["id"], ["old"])
+    titled = _whole(old.join(by_title.select(F.col("match").alias("id")), "id", "left_semi"), "match", "titled")
+    titled = by_title.join(R.first_by_key(titled, ["match"], ["titled"]), "match").select("id", "titled")
+    base = _whole(items, "id", "item").join(items.select("id", "ordinal"), "id").join(same, "id", "left").join(titled, "id", "left")
+    found = base.select(merge.renewed(F.col("item"), F.col("old"), F.col("titled")).alias("item"), F.col("ordinal").cast("long").alias("ordinal")).select("item.*", "ordinal")
+    return slotted(settle(found), overrides, now)
+
+
+def slotted(items: DataFrame, overrides: DataFrame, now: str) -> DataFrame:
+    """Items (with ordinal) with the manual slots of their ids."""
+    manual = overrides.select(F.col("id").alias("_id"), F.struct(*overrides.columns).alias("_manual"))
+    both = items.join(manual, F.col("id") == F.col("_id"), "left")
+    return both.select(merge.packed(merge.overridden(merge.own(), F.col("_manual"), now)).alias("i"), F.col("ordinal").cast("long").alias("ordinal")).select("i.*", "ordinal")
+
+
+def related(items: DataFrame, order: int) -> DataFrame:
+    """Candidates of a season, and those of others that share a title or a subject with one: what a fold may bring into it."""
+    keyed = items.select("ordinal", in_season(order).alias("inside"), F.explode(F.array_append(
+        X.merge_titles(X.titles_of(F.col("title"))), F.coalesce(F.concat(F.lit("subject:"), rules.subject_id().cast("string")), F.concat(F.lit("row:"), F.col("ordinal").cast("string"))))).alias("key"))
+    wanted = keyed.join(keyed.where("inside").select("key"), "key", "left_semi").select("ordinal").distinct()
+    return items.join(wanted, "ordinal", "left_semi").select(*items.columns)
 
 
 def inherited(entries: DataFrame, old: DataFrame, order: int) -> DataFrame:
@@ -107,8 +117,9 @@ def refresh_season(library: DataFrame, candidates: DataFrame, overrides: DataFra
     spark = library.sparkSession
     year, quarter = listing.asked_season(year, month)
     order, stamp = year * 12 + month, now.isoformat()
-    fresh = _mapped(merge.as_json(candidates, "ordinal"), lambda i: merge.normal(i, stamp), ["item"])
-    season = merge.fold_items(fresh).where(in_season(order)).cache()
+    fold = lambda rows: merge.fold_items(rows, block=F.lit(order))
+    fresh = candidates.select(merge.packed(merge.normal(merge.own(), stamp)).alias("i"), F.col("ordinal").cast("long").alias("ordinal")).select("i.*", "ordinal")
+    season = settle(fold(related(settle(fresh), order)).where(in_season(order)))
     good = season.where(rules.eligible())
     has_primary, has_catalogue = (not good.where(c).isEmpty() for c in (rules.from_source(merge.CATALOGUE), catalogued()))
     secondary = F.lit(has_primary) & rules.from_source(merge.DATABASE) & ~rules.from_source(merge.CATALOGUE)
@@ -120,23 +131,23 @@ def refresh_season(library: DataFrame, candidates: DataFrame, overrides: DataFra
         matched = title_matches(target.where(alone), library, False).select("id")
         target = target.where(~alone | trusted_start()).unionByName(target.where(alone & ~trusted_start()).join(matched, "id", "left_semi").select(*target.columns))
     cold = lambda c, a, b: F.when(alone & (F.col(c) == a), F.lit(b)).otherwise(F.col(c))
-    target = target.withColumns({"inclusionStatus": cold("inclusionStatus", "included", "needs_review"), "dataStatus": cold("dataStatus", "complete", "partial")}).cache()
+    target = settle(target.withColumns({"inclusionStatus": cold("inclusionStatus", "included", "needs_review"), "dataStatus": cold("dataStatus", "complete", "partial")}))
     kept = target.where(rules.eligible())
     if unscheduled is not None:
         back = inherited(unscheduled, library, order).withColumn("ordinal", F.col("ordinal").cast("long") + F.lit(1 << 40))
         kept = kept.unionByName(back)
-    kept = merge.fold_items(kept).cache()
+    kept = settle(fold(kept))
     past = library.where(in_season(order) & rules.eligible())
     _gates(kept, past, warnings, order, now)
     if kept.where(catalogued()).isEmpty():
-        kept = merge.fold_items(past.withColumn("ordinal", F.col("ordinal").cast("long") - F.lit(1 << 40)).select(*kept.columns).unionByName(kept))
-    done = merge.fold_items(renewed(kept, library, overrides, stamp)).cache()
-    # In memory only: what is cached is computed again if an executor is lost.
+        kept = settle(fold(past.withColumn("ordinal", F.col("ordinal").cast("long") - F.lit(1 << 40)).select(*kept.columns).unionByName(kept)))
+    done = settle(fold(settle(renewed(kept, library, overrides, stamp))))
     slot = S.yes(F.col("status").isin(*merge.FINAL))
     old = library.select(*T.ITEM.fieldNames(), F.col("ordinal").cast("long").alias("ordinal"))
     merged = R.replace_partition(old, done.withColumn("ordinal", F.col("ordinal") + F.lit(1 << 41)), "id", in_season(order))
     merged = merged.withColumns({c: F.when(~slot, F.col(c)) for c in ("updateTime", "updateWeekday")})
-    problems = quality.issues(merged)
+    # The season's rows are what is new; of the others, which were valid before, only a repeated id can be wrong.
+    problems = quality.issues(done).unionByName(quality.repeated_ids(merged))
     if quality.blocking(problems):
         raise LibraryError("CACHE_VALIDATION_FAILED", "the new library has errors", problems.where("severity = 'error'").limit(100).collect())
     return Refreshed(merged, done, _summary(done, merged, target))
@@ -144,10 +155,11 @@ def refresh_season(library: DataFrame, candidates: DataFrame, overrides: DataFra
 
 def _gates(kept: DataFrame, past: DataFrame, warnings: DataFrame | None, order: int, now: datetime) -> None:
     """Stop where a source's failure would replace a season by less."""
+    today = F.first(S.primary_order(F.lit(now.date().isoformat())))
     n, primary, bound = kept.agg(F.count(F.lit(1)), F.count_if(rules.from_source(merge.CATALOGUE)), F.count_if(rules.subject_id().isNotNull())).first()
+    current = kept.sparkSession.range(1).agg(today).first()[0]
     said = [] if warnings is None else [(w["source"], w["code"]) for w in warnings.select("source", "code").distinct().limit(1000).collect()]
-    today = merge.primary_of(now.date().isoformat())
-    over = order < today["year"] * 12 + 3 * T.QUARTERS.index(today["quarter"]) + 1
+    over = order < current
     failed = any(s == merge.CATALOGUE and c != "SOURCE_DISABLED" for s, c in said)
     weak = over and n < HISTORICAL_ROWS and (primary or failed)
     bare = over and n >= HISTORICAL_ROWS and primary and not bound and any(s == merge.DATABASE for s, _ in said)

@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from .. import schema as T
 from ..operators import records as R
 from ..sources import library
+from ..sources.settled import settle
 
 
 def watch(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,7 +31,7 @@ def upsert(items: DataFrame, path: str) -> None:
     """
     spark = items.sparkSession
     fresh = R.last_by_key(items.withColumn("_o", F.struct("updatedAt", F.monotonically_increasing_id())), ["id"], "_o").drop("place").select(*T.ITEM.fieldNames())
-    fresh = fresh.checkpoint()  # one choice of the last row for all that follows
+    fresh = settle(fresh)  # one choice of the last row for all that follows
     try:
         old = library.read_table(spark, path)
     except AnalysisException as error:
@@ -45,8 +46,8 @@ def upsert(items: DataFrame, path: str) -> None:
     if not seasons:
         return
     touched = old.where(library.in_seasons(seasons)).select(*T.ITEM.fieldNames())
-    # Files that a plan reads can't be replaced by it: the rows are kept in a reliable checkpoint first.
-    kept = touched.join(fresh.select("id"), "id", "left_anti").unionByName(fresh).checkpoint()
+    # Files that a plan reads can't be replaced by it: the rows are written elsewhere first.
+    kept = settle(touched.join(fresh.select("id"), "id", "left_anti").unionByName(fresh))
     library.write_table(kept, path)
     filled = {tuple(r) for r in library.keyed(kept).select(*library.SEASON_COLUMNS).distinct().collect()}
     for season in seasons - filled:  # a season whose last row has left: nothing was written over its files

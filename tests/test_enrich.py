@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomline import schema
-from loomline.operators import enrich, match
+from loomline.operators import enrich, match, merge
 from loomline.sources import library, snapshots
 from loomline.streaming import refresh as stream
 
@@ -31,8 +32,10 @@ def test_details_and_matches(spark):
     items = frame(spark, [bound("a", 1, coverImage=None), bound("b", 2, coverImage={"large": "x", "medium": None, "small": None, "source": "bangumi"})])
     got = {r.id: r for r in enrich.refresh_details(items, subjects(spark, subject(1, "n", **RATED), subject(2, "m", **RATED)), NOW).collect()}
     assert got["a"].bangumi.rating == 8.0 and got["b"].bangumi.rating == 7.5
-    low = enrich.add_match(bound("a", 1), None, "medium", NOW)
-    assert low["bangumi"]["subjectId"] is None and low["dataStatus"] == "unverified"
+    one = items.where("id = 'a'").crossJoin(subjects(spark, subject(3, "n", name_cn="名", **RATED)).select(F.struct("*").alias("s")))
+    low, high = (one.select(merge.packed(enrich.add_match(merge.own(), F.col("s"), F.lit(c), NOW)).alias("i")).first().i for c in ("medium", "high"))
+    assert low.bangumi.subjectId is None and low.externalIds.bangumiSubjectId is None and low.dataStatus == "unverified"
+    assert (high.bangumi.subjectId, high.bangumi.rank, high.coverImage.large, high.title.chinese, high.dataStatus) == (3, 4, "c", "标题a", "partial")
     assert match.HIGH == 85
 
 

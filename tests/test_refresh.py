@@ -3,6 +3,7 @@
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomline import schema
 from loomline.operators import merge, refresh
@@ -14,31 +15,51 @@ AT = datetime(2026, 7, 28, 3, tzinfo=timezone.utc)
 BANGUMI, REVIEW = [source("Bangumi", "bangumi", scope="metadata")], [source("YourAnimes")]
 
 
-def test_two_rows_of_one_title():
+def folded(spark, *items):
+    return merge.fold_items(frame(spark, items)).orderBy("ordinal").collect()
+
+
+def test_two_rows_of_one_title(spark):
     a = item("a", title__aliases=["x"], schedule=[episode("2026-07-10", 2)], sources=[source("One")])
     b = item("b", title__aliases=["y", "x"], schedule=[episode("2026-07-03"), episode("2026-07-10", 2)], sources=[source("Two")], inclusionStatus="optional", dataStatus="complete")
-    got = merge.fold([a, b])
-    assert len(got) == 1 and got[0]["id"] == "a" and got[0]["title"]["aliases"] == ["x", "y"] and len(got[0]["schedule"]) == 2 and len(got[0]["sources"]) == 2 and (got[0]["inclusionStatus"], got[0]["dataStatus"]) == ("optional", "complete")
-    assert [e["airDate"] for e in got[0]["schedule"]] == ["2026-07-03", "2026-07-10"]
+    got = folded(spark, a, b)
+    assert len(got) == 1 and got[0].id == "a" and got[0].title.aliases == ["x", "y"] and len(got[0].schedule) == 2 and len(got[0].sources) == 2 and (got[0].inclusionStatus, got[0].dataStatus) == ("optional", "complete")
+    assert [e.airDate for e in got[0].schedule] == ["2026-07-03", "2026-07-10"]
 
 
-def test_catalogue_takes_only_metadata_from_the_database():
+def test_catalogue_takes_only_metadata_from_the_database(spark):
     a, b = item("a", officialUrl="https://a.jp"), bound("anime:9", 9, officialUrl="https://b", startDate="2026-07-01", episodeCount=12, sources=BANGUMI)
-    got = merge.fold([a, b])[0]
-    assert (got["id"], got["startDate"], got["officialUrl"], got["episodeCount"], got["bangumi"]["rating"]) == ("anime:9", "2026-07-03", "https://a.jp", 12, 7.5)
+    got = folded(spark, a, b)[0]
+    assert (got.id, got.startDate, got.officialUrl, got.episodeCount, got.bangumi.rating) == ("anime:9", "2026-07-03", "https://a.jp", 12, 7.5)
 
 
-def test_broadcast_review_moves_the_schedule_and_final_states_lose_their_slot():
+def test_broadcast_review_moves_the_schedule_and_final_states_lose_their_slot(spark):
     a = bound("a", 1, sources=BANGUMI, schedule=[episode("2026-07-03"), episode("2026-07-10", 2)])
     b = item("b", sources=REVIEW, startDate="2026-07-04", updateTime="01:00", updateWeekday=6)
-    got = merge.fold([a, b])[0]
-    assert got["startDate"] == "2026-07-04" and [e["airDate"] for e in got["schedule"]] == ["2026-07-04", "2026-07-11"] and {e["airTime"] for e in got["schedule"]} == {"01:00"}
-    over = merge.review(bound("a", 1, status="finished"), b)
-    assert over["status"] == "finished" and over["updateTime"] is None and over["updateWeekday"] is None
-
-
-def test_other_subjects_with_the_same_title_stay():
-    assert len(merge.fold([bound("a", 1, sources=BANGUMI), bound("b", 2, sources=BANGUMI)])) == 2
+    got = folded(spark, a, b)[0]
+    assert got.startDate == "2026-07-04" and [e.airDate for e in got.schedule] == ["2026-07-04", "2026-07-11"] and {e.airTime for e in got.schedule} == {"01:00"}
+    both = frame(spark, [bound("a", 1, status="finished"), b]).withColumn("i", merge.packed(merge.own()))
+    over = both.groupBy().pivot("id", ["a", "b"]).agg(F.first("i")).select(merge.reviewed(F.col("a"), F.col("b")).alias("o")).first().o
+    assert over.status == "finished" and over.updateTime is None and over.updateWeekday is None
+
+
+def test_other_subjects_with_the_same_title_stay(spark):
+    assert len(folded(spark, bound("a", 1, sources=BANGUMI), bound("b", 2, sources=BANGUMI))) == 2
+
+
+def test_fold_in_order(spark):
+    """A place keeps its name, takes in titles, and a later row finds it by what an earlier one brought."""
+    c = item("c", "銀河", title__aliases=["Galaxy"])
+    d = bound("d", 4, title__original="銀河", title__japanese=None, title__aliases=["Ginga"], sources=BANGUMI)
+    r = item("r", "Ginga", title__japanese=None, title__chinese=None, sources=REVIEW)
+    e = bound("e", 4, title__original="べつ", title__japanese="べつ", title__chinese="べつ", sources=BANGUMI)
+    got = folded(spark, c, d, r, e)
+    assert [x.id for x in got] == ["anime:4", "e"] and {s.name for s in got[0].sources} == {"YucWiki", "Bangumi", "YourAnimes"}
+    assert [x.id for x in folded(spark, r, c)] == ["r", "c"]
+    fall = {"startDate": "2026-10-02", "primarySeason": {"year": 2026, "quarter": "fall"}}
+    assert len(folded(spark, item("a"), item("a"), item("b", **fall), item("u", startDate=None, primarySeason=None))) == 3
+    plan = merge.fold_items(frame(spark, [c, d]))._jdf.queryExecution().toString()
+    assert "Coalesce 1" not in plan and "MapInArrow" not in plan
 
 
 def run(spark, old, new, **more):

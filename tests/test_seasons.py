@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import seasons as S
 from loomline.functions import text as X
-from loomline.operators import merge
+
 
 
 def one(spark, **columns):
@@ -16,7 +16,6 @@ def test_primary_season_leads_into_the_next_quarter(spark):
     got = {r.d: r.s for r in spark.createDataFrame([(d,) for d in [*days, None, "2026-02-29", "2026-2-9", "x"]], "d string").select("d", S.primary_season(F.col("d")).alias("s")).collect()}
     for day, season in days.items():
         assert (got[day].year, got[day].quarter) == season
-        assert tuple(merge.primary_of(day).values()) == season
     assert got[None] is None and got["2026-02-29"] is None and got["2026-2-9"] is None and got["x"] is None
 
 
