@@ -150,7 +150,7 @@ def refresh_season(library: DataFrame, candidates: DataFrame, overrides: DataFra
     problems = quality.issues(done).unionByName(quality.repeated_ids(merged))
     if quality.blocking(problems):
         raise LibraryError("CACHE_VALIDATION_FAILED", "the new library has errors", problems.where("severity = 'error'").limit(100).collect())
-    return Refreshed(merged, done, _summary(done, merged, target))
+    return Refreshed(merged, done, summary(done, merged, target))
 
 
 def _gates(kept: DataFrame, past: DataFrame, warnings: DataFrame | None, order: int, now: datetime) -> None:
@@ -167,7 +167,8 @@ def _gates(kept: DataFrame, past: DataFrame, warnings: DataFrame | None, order:
         raise LibraryError("SOURCE_UNAVAILABLE", "the sources did not give enough to replace the season", said)
 
 
-def _summary(done: DataFrame, merged: DataFrame, target: DataFrame) -> dict[str, int]:
+def summary(done: DataFrame, merged: DataFrame, target: DataFrame) -> dict[str, int]:
+    """Counts of a refresh: of the season's rows, of the new library, and of candidates that did not qualify."""
     matched = F.col("bangumi.subjectId").isNotNull()
     row = done.agg(
         F.count(F.lit(1)).alias("fetched"), F.count_if(matched).alias("matchedBangumi"), F.count_if(~matched).alias("missingBangumi"), F.count_if(F.col("bangumi.rating").isNull()).alias("missingRating"),

@@ -40,12 +40,6 @@ def search_one_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, "ring", None)
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IN (1, 7, 32, 70000000)")
-def items_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = [int(i) for i in listing.wanted_ids(["7", " 1", "32", "7", "", "70000000 "])]
-    return table(spark, sf_dir, "orders").where(F.col("o_orderkey").isin(ids)).select("o_orderkey", "o_orderstatus", "o_totalprice")
-
-
 def _sorted(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rating = F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice"))
@@ -67,11 +61,6 @@ for _mode, _key in {
     query(f"SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY {_key} NULLS LAST, p_name, p_partkey) AS INTEGER) AS place FROM part")(_sorted(_mode))
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) FILTER (o_orderstatus = 'X') AS x FROM orders")
-def status_summary_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").agg(*(F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in "FOPX"))
-
-
 # Audits
 
 _BUCKETS = {"cheap": "o_totalprice < 1000", "urgent": "o_orderpriority = '1-URGENT'", "never": "o_orderkey < 0", "open": "o_orderstatus = 'O'"}
@@ -83,39 +72,12 @@ def audit_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bucket", "n", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
 
 
-_ISSUES = [("error:NEGATIVE_BALANCE", "c_acctbal < 0"), ("error:MISSING_NAME", "trim(c_name) = ''"), ("warning:FAR_SEGMENT", "c_mktsegment = 'MACHINERY' AND c_nationkey > 20")]
-
-
-@query(" UNION ALL ".join(f"SELECT '{k}' AS issue, count(*) AS n FROM customer WHERE {c} HAVING count(*) > 0" for k, c in _ISSUES))
-def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of each row as an array, exploded and counted."""
-    issues = F.filter(F.array(*(F.when(F.expr(c), F.lit(k)) for k, c in _ISSUES)), lambda i: i.isNotNull())
-    return table(spark, sf_dir, "customer").select(F.explode(issues).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT count(*) FILTER ({_ISSUES[0][1]}) > 0 AS blocked, count(*) AS n FROM customer")
-def blocking_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").agg(F.coalesce(F.bool_or(F.expr(_ISSUES[0][1])), F.lit(False)).alias("blocked"), F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT md5(text) AS key, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS members FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.duplicate_groups(table(spark, sf_dir, "documents"), F.md5("text"), "doc_id")
     return found.select("key", "n", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
-@query(f"SELECT o_custkey, count(*) AS n, count(DISTINCT {order_of(_D)}) AS seasons FROM orders GROUP BY 1 HAVING count(DISTINCT {order_of(_D)}) < count(*)")
-def duplicates_same_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    season = S.primary_order(F.col("start"))
-    grouped = starts(spark, sf_dir).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(season).alias("seasons"))
-    return grouped.where("seasons < n")
-
-
-@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY 1")
-def source_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("langs"))
-
-
 # Choosing and merging
 
 @query(f"""SELECT o_custkey, season, o_orderkey FROM (SELECT o_custkey, {order_of(_D)} AS season, o_orderkey, row_number() OVER (PARTITION BY o_custkey, {order_of(_D)} ORDER BY
@@ -138,15 +100,6 @@ def last_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.last_by_key(rows, ["user_id", "event_type"], "event_id")
 
 
-@query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_name END, s_name) AS name, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, s_acctbal) AS balance, coalesce(s_nationkey, c_nationkey) AS nation
-FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
-def survivorship_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Left-first columns, and one that the right side wins."""
-    left = table(spark, sf_dir, "customer").withColumn("c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))).withColumn("c_acctbal", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
-    both = left.join(table(spark, sf_dir, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "left")
-    return both.select("c_custkey", R.first_known(F.col("c_name"), F.col("s_name")).alias("name"), R.first_known(F.col("c_acctbal"), F.col("s_acctbal")).alias("balance"), R.first_known(F.col("s_nationkey"), F.col("c_nationkey")).alias("nation"))
-
-
 _RANKED = "CASE WHEN 'finished' IN (a, b) THEN 'finished' WHEN 'cancelled' IN (a, b) THEN 'cancelled' WHEN 'delayed' IN (a, b) THEN 'delayed' WHEN 'airing' IN (a, b) THEN 'airing' WHEN 'announced' IN (a, b) THEN 'announced' ELSE 'unknown' END"
 
 
@@ -165,21 +118,6 @@ def season_partition_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.replace_partition(old, new, "o_orderkey", F.col("season") == 23980)
 
 
-_OVERRIDES = [(1, "1997-01-05", "22:30"), (7, "1996-02-20", "00:15"), (32, "1998-12-20", None)]
-
-
-@query(f"""WITH o(id, day, time) AS (VALUES {', '.join(f"({i}, DATE '{d}', {repr(t) if t else 'NULL'})" for i, d, t in _OVERRIDES)})
-SELECT o_orderkey, strftime(coalesce(CASE WHEN o_orderstatus <> 'F' THEN day END, {_D}), '%Y-%m-%d') AS day, CASE WHEN o_orderstatus <> 'F' THEN time END AS time,
-  CAST(CASE WHEN o_orderstatus <> 'F' AND day IS NOT NULL THEN day - {_D} ELSE 0 END AS INTEGER) AS moved FROM orders LEFT JOIN o ON id = o_orderkey""")
-def override_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manual slots replace what an open row has, and move its schedule by as many days."""
-    overrides = spark.createDataFrame(_OVERRIDES, "id long, day string, time string")
-    both = starts(spark, sf_dir).join(F.broadcast(overrides), F.col("id") == F.col("o_orderkey"), "left")  # a file of manual entries
-    open_row = F.col("o_orderstatus") != "F"
-    day = F.when(open_row, F.col("day"))
-    return both.select("o_orderkey", F.coalesce(day, "start").alias("day"), F.when(open_row, F.col("time")).alias("time"), S.days_between(F.when(day.isNotNull(), F.col("start")), day).alias("moved"))
-
-
 _WORDS = "list_distinct(string_split(p_name, ' '))"
 
 
@@ -203,17 +141,6 @@ def two_tier_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("c_custkey", F.coalesce("s_name", "fallback").alias("found"), F.col("s_name").isNotNull().alias("by_id"))
 
 
-@query("""WITH old AS (SELECT l_orderkey, l_linenumber, (min(struct_pack(s := l_suppkey, q := l_quantity))).q AS q FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2)
-SELECT n.l_orderkey, n.l_linenumber, coalesce(old.q, n.l_quantity + 1000) AS quantity, old.q IS NOT NULL AS kept FROM lineitem n LEFT JOIN old ON old.l_orderkey = n.l_orderkey AND old.l_linenumber = n.l_linenumber""")
-def timed_entry_preserve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An old entry with a time takes the place of the incoming one of the same number."""
-    lines = table(spark, sf_dir, "lineitem")
-    keys = ["l_orderkey", "l_linenumber"]
-    old = R.first_by_key(lines.where("l_returnflag <> 'N'").select(*keys, "l_quantity", "l_suppkey"), keys, ["l_suppkey", "l_quantity"]).select(*keys, F.col("l_quantity").alias("q"))
-    both = lines.select(*keys, (F.col("l_quantity") + 1000).alias("incoming")).join(old, keys, "left")
-    return both.select(*keys, F.coalesce("q", "incoming").alias("quantity"), F.col("q").isNotNull().alias("kept"))
-
-
 @query("""SELECT o_orderkey, side FROM (SELECT o_orderkey, 'first' AS side FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' UNION ALL
 SELECT o_orderkey, 'second' FROM orders WHERE o_orderpriority = '2-HIGH' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'))""")
 def drop_secondary_if_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,16 +151,6 @@ def drop_secondary_if_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second.where(F.lit(first.isEmpty())))
 
 
-@query("""SELECT count(*) AS fetched, count(*) FILTER (o_custkey % 2 = 0) AS matched, count(*) FILTER (o_custkey % 2 <> 0) AS missing, count(*) FILTER (o_totalprice < 5000) AS unrated, count(*) FILTER (o_orderstatus = 'P') AS conflicting,
-count(*) FILTER (o_orderstatus <> 'F') AS incomplete FROM orders""")
-def update_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = F.col("o_custkey") % 2 == 0
-    return table(spark, sf_dir, "orders").agg(
-        F.count(F.lit(1)).alias("fetched"), F.count_if(matched).alias("matched"), F.count_if(~matched).alias("missing"), F.count_if(F.col("o_totalprice") < 5000).alias("unrated"),
-        F.count_if(F.col("o_orderstatus") == "P").alias("conflicting"), F.count_if(F.col("o_orderstatus") != "F").alias("incomplete"),
-    )
-
-
 # Windows over events
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS n FROM events")
@@ -242,14 +159,6 @@ def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", R.rolling_count(None, "user_id", millis, 3_600_000).alias("n"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'click' AND epoch(TIMESTAMP '2024-01-20') - epoch(ts) > 900 THEN 'failed' WHEN event_type = 'click' THEN 'running' ELSE 'idle' END AS status FROM events""")
-def lock_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A job that runs longer than its lock lasts has failed."""
-    age = F.unix_timestamp(F.lit("2024-01-20 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
-    status = F.when(F.col("event_type") == "click", F.when(age > 900, F.lit("failed")).otherwise(F.lit("running"))).otherwise(F.lit("idle"))
-    return table(spark, sf_dir, "events").select("event_id", status.alias("status"))
-
-
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.when(F.col("event_type") == "purchase", F.col("value"))

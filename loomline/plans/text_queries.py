@@ -56,19 +56,6 @@ def cjk_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, 100).select(F.col("id").cast("int").alias("n")).select("n", word.alias("word")).withColumn("value", X.numeral(F.col("word")))
 
 
-_RULE = r"\bof the\b|\bder die\b|tion.*ment"
-
-
-@query(f"""SELECT d.doc_id, d.lang IN ('en', 'de') AND length(text) >= 300 AND coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0 AND NOT regexp_matches(lower(text), '{_RULE.replace(chr(39), "")}') AS eligible
-FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id""")
-def eligibility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conjunction of rules: kinds and lengths first, patterns last."""
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    good = yes(F.col("lang").isin("en", "de")) & yes(F.length("text") >= 300) & (F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & ~yes(F.lower("text").rlike(_RULE))
-    return rows.select("doc_id", good.alias("eligible"))
-
-
 _GENRE_SQL = {"恋爱": "(^|[^a-z0-9])(romance|love)([^a-z0-9]|$)", "战斗": "(^|[^a-z0-9])(battle|action)([^a-z0-9]|$)", "音乐": "(^|[^a-z0-9])(music)([^a-z0-9]|$)"}
 
 
@@ -100,18 +87,24 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.merge_title(F.upper("p_name")).alias("merge"), X.slugified(F.upper("p_name")).alias("slug"))
 
 
-# Queries without SQL: DuckDB neither normalises to NFKC nor repairs or walks such texts.
+# Normal forms, repair, and markup that is walked
 
-@query()
+_WIDE = str.maketrans({chr(k): chr(k + 0xFEE0) for k in range(0x21, 0x7F)})
+
+
+@query("SELECT p_partkey, p_name AS search, replace(p_name, ' ', '') AS merge FROM part")
 def nfkc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "ＳＰＹ×ＦＡＭＩＬＹ　第２期"), (2, "ｶﾞﾝﾀﾞﾑ"), (3, " A　b "), (4, None)]
-    return spark.createDataFrame(rows, "id int, raw string").select("id", X.search_text(F.col("raw")).alias("search"), X.merge_title(F.col("raw")).alias("merge"))
+    """Names in wide capitals, with an ideographic space, as search and merging compare them."""
+    plain, wide = ("".join(f(chr(k)) for k in range(0x21, 0x7F)) for f in (str, lambda c: c.translate(_WIDE)))
+    raw = F.translate(F.upper("p_name"), plain + " ", wide + "\u3000")
+    return table(spark, sf_dir, "part").select("p_partkey", X.search_text(raw).alias("search"), X.merge_title(raw).alias("merge"))
 
 
-@query()
+@query("SELECT c_custkey, c_name || ' 銀河 é' AS repaired, c_name AS plain FROM customer")
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, t.encode().decode("latin-1") if i % 2 else t) for i, t in enumerate(("銀河", "星の物語", "plain", "été"))]
-    return spark.createDataFrame(rows, "id int, raw string").select("id", X.repair(F.col("raw")).alias("repaired"))
+    """Names whose UTF-8 was read as Latin-1, and names that need no repair."""
+    damaged = F.decode(F.encode(F.concat("c_name", F.lit(" 銀河 é")), "UTF-8"), "ISO-8859-1")
+    return table(spark, sf_dir, "customer").select("c_custkey", X.repair(damaged).alias("repaired"), X.repair(F.col("c_name")).alias("plain"))
 
 
 @query()
