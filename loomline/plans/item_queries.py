@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +95,6 @@ _PAGE_ORDER = "wd NULLS LAST, time NULLS LAST, d, title, k"
 
 @query(sql(f"SELECT id, row_number() OVER (ORDER BY {_PAGE_ORDER}) AS place FROM i WHERE ok AND inclusion <> 'excluded' AND season = {ASKED}"))
 def page_of_past_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from datetime import datetime, timezone
-
     found = listing.season_page(items(spark, sf_dir), YEAR, MONTH, datetime(2001, 1, 1, tzinfo=timezone.utc))
     return _placed(found, *listing.page_order(), F.col("ordinal")).select("id", "place")
 
@@ -104,13 +104,11 @@ _RUNS = f"list_contains([year(x) * 12 + (quarter(x) - 1) * 3 + 1 for x in [d, d
 
 @query(sql(f"SELECT id, row_number() OVER (ORDER BY {_PAGE_ORDER}) AS place FROM i WHERE ok AND inclusion = 'included' AND (season = {ASKED} OR (season < {ASKED} AND {_RUNS}))"))
 def page_of_current_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from datetime import datetime, timezone
-
     found = listing.season_page(items(spark, sf_dir), YEAR, MONTH, datetime(1998, 5, 20, tzinfo=timezone.utc), include_optional=False)
     return _placed(found, *listing.page_order(), F.col("ordinal")).select("id", "place")
 
 
-@query(sql("SELECT id, CASE kind WHEN 9 THEN title ELSE '标题' || k END AS shown, title AS matched, 2 * (length(title) > 6)::INTEGER AS longer FROM i WHERE ok AND starts_with(title, 'タイトル77') ORDER BY length(title) > 6, season DESC, title, k LIMIT 50").replace("WHEN 9", f"WHEN {RATED}").replace("inclusion", "inclusion"))
+@query(sql("SELECT id, CASE kind WHEN 9 THEN title ELSE '标题' || k END AS shown, title AS matched, 2 * (length(title) > 6)::INTEGER AS longer FROM i WHERE ok AND starts_with(title, 'タイトル77') ORDER BY length(title) > 6, season DESC, title, k LIMIT 50").replace("WHEN 9", f"WHEN {RATED}"))
 def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title's beginning, in wide letters and with white space around it; an empty Chinese title is shown as it stands."""
     found = listing.search(items(spark, sf_dir), " タイトル７７ ", 80)
@@ -202,19 +200,19 @@ def source_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH g AS (SELECT o_custkey, year(o_orderdate) AS y, o_orderkey % 2 AS half, min(o_orderkey) AS first, count(*) AS rows, max(o_orderkey) AS last,
   count(DISTINCT o_orderdate) AS days, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'P') AS p FROM orders GROUP BY ALL)
-SELECT 'anime:' || first AS id, days, CASE WHEN f THEN 'finished' WHEN p THEN 'delayed' ELSE 'airing' END AS status, y || '-01-05' AS started, 1 AS sources, CASE WHEN rows = 1 OR NOT f THEN 'kept' ELSE 'kept' END AS made FROM g""")
+SELECT 'anime:' || first AS id, days, CASE WHEN f THEN 'finished' WHEN p THEN 'delayed' ELSE 'airing' END AS status, y || '-01-05' AS started, 1 AS sources FROM g""")
 def survivorship_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders of a year and half are one title: the first row's id, all days, the stronger state."""
-    rows = items(spark, sf_dir).withColumn("cust", F.col("ordinal"))
+    rows = items(spark, sf_dir)
     customers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("block"))
     name = F.concat(F.lit("タイトル"), (F.col("ordinal") % 2).cast("string"))
     title = F.col("title").withField("original", name).withField("japanese", name).withField("chinese", F.lit(None).cast("string")).withField("english", F.lit(None).cast("string")).withField("aliases", F.array().cast("array<string>"))
     start = F.concat(F.substring("startDate", 1, 4), F.lit("-01-05"))
-    rows = rows.withColumns({"title": title, "schedule": F.slice("schedule", 1, 1), "format": F.lit("tv"), "bangumi": F.lit(None).cast(T.RATING)}).withColumn("startDate", start).join(customers, "ordinal")
     nothing = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T.RATING.fields))
-    folded = merge.fold_items(rows.withColumn("bangumi", nothing), block=F.col("block"))
+    rows = rows.withColumns({"title": title, "schedule": F.slice("schedule", 1, 1), "format": F.lit("tv"), "startDate": start, "bangumi": nothing}).join(customers, "ordinal")
+    folded = merge.fold_items(rows, block=F.col("block"))
     once = F.transform("schedule", lambda e: e["airDate"])
-    return folded.select("id", F.size(F.array_distinct(once)).cast("long").alias("days"), "status", F.col("startDate").alias("started"), F.size("sources").alias("sources"), F.lit("kept").alias("made"))
+    return folded.select("id", F.size(F.array_distinct(once)).cast("long").alias("days"), "status", F.col("startDate").alias("started"), F.size("sources").alias("sources"))
 
 
 _MANUAL = [("anime:25", "1998-04-07", "21:00"), ("anime:50", "1996-02-20", "00:15"), ("anime:75", "1997-12-20", "22:30"), ("anime:100", "1998-12-20", "12:00")]
@@ -260,12 +258,12 @@ def update_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as subjects: twelve episodes, a rating for those with money."""
     rating = F.struct(F.when(F.col("c_acctbal") > 0, F.lit(7.5)).alias("score"), F.col("c_custkey").alias("total"), F.lit(3).alias("rank"))
-    facts = {"id": F.col("c_custkey"), "type": F.lit(2), "name": F.col("c_name"), "eps": F.lit(0), "total_episodes": F.lit(12), "rating": rating, "infobox": F.array(F.struct(F.lit("别名").alias("key"), F.concat(F.lit("\""), F.col("c_name"), F.lit("\"")).alias("value")))}
+    facts = {"id": F.col("c_custkey"), "type": F.lit(2), "name": F.col("c_name"), "eps": F.lit(0), "total_episodes": F.lit(12), "rating": rating, "infobox": F.array(F.struct(F.lit("别名").alias("key"), F.concat(F.lit("Alias "), F.col("c_name")).alias("value")))}
     rows = table(spark, sf_dir, "customer").select(*(facts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in T.SUBJECT.fields))
     return snapshots.with_facts(rows)
 
 
-@query(sql("SELECT id, CASE WHEN c_custkey IS NULL THEN rating WHEN c_acctbal > 0 THEN 7.5 END AS rating, CASE WHEN c_custkey IS NULL THEN NULL ELSE 3 END AS rank, coalesce(c_name, '') AS alias, CASE WHEN c_custkey IS NULL THEN 1 ELSE 2 END AS sources FROM i LEFT JOIN customer ON c_custkey = subject WHERE kind > 3"))
+@query(sql("SELECT id, CASE WHEN c_custkey IS NULL THEN rating WHEN c_acctbal > 0 THEN 7.5 END AS rating, CASE WHEN c_custkey IS NULL THEN NULL ELSE 3 END AS rank, coalesce('Alias ' || c_name, '') AS alias, CASE WHEN c_custkey IS NULL THEN 1 ELSE 2 END AS sources FROM i LEFT JOIN customer ON c_custkey = subject WHERE kind > 3"))
 def detail_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).where(f"ordinal % {KINDS} > {ADULT}")
     done = enrich.refresh_details(rows, _subjects(spark, sf_dir), NOW)
