@@ -7,6 +7,8 @@ that sorts.  Predicates are two-valued: a null operand makes them false.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +121,13 @@ def current_season(now: Column) -> Column:
     return primary_season(F.date_format(F.from_utc_timestamp(now, CHINA), "yyyy-MM-dd"))
 
 
+def order_now(now: datetime) -> int:
+    """Order of the :func:`current_season` of an instant, which is UTC if it names no zone."""
+    day = (now if now.tzinfo else now.replace(tzinfo=timezone.utc)).astimezone(timezone(timedelta(hours=8)))
+    month = day.year * 12 + day.month - 1 + (day.day >= LEAD_DAY.get(day.month, 32))
+    return month - month % 3 + 1
+
+
 def same_season(left: Column, right: Column) -> Column:
     return yes((left["year"] == right["year"]) & (left["quarter"] == right["quarter"]))
 

@@ -99,10 +99,17 @@ def sort_items(items: DataFrame, mode: str) -> DataFrame:
 
 
 def season_page(items: DataFrame, year: int, month: int, now: datetime, include_optional: bool = True, include_needs_review: bool = True) -> DataFrame:
-    """The page of a season, in its order."""
+    """The page of a season, in its order.
+
+    Of a table that is partitioned by season only the season's files are read;
+    for the actual season, whose page shows older rows that still run, those up
+    to it.
+    """
     year, quarter = asked_season(year, month)
-    asked = F.lit(year * 12 + month)
-    actual = S.season_order(S.current_season(F.to_timestamp(F.lit(now.isoformat()))))
+    asked, actual = F.lit(year * 12 + month), F.lit(S.order_now(now))
+    if "season_year" in items.columns:
+        own = (F.col("season_year") == year) & (F.col("season_quarter") == quarter)
+        items = items.where(F.col("season_year") <= year if S.order_now(now) == year * 12 + month else own)
     shown = items.where(visible(F.col("primarySeason"), F.col("activeSeasons"), asked, actual) & included(F.col("inclusionStatus"), include_optional, include_needs_review))
     return shown.where(rules.eligible()).orderBy(*page_order(), *_last(items))
 

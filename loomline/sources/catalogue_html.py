@@ -185,3 +185,8 @@ def unscheduled(found: DataFrame) -> DataFrame:
 
 def next_season(year: int, month: int) -> tuple[int, int]:
     return (year + 1, 1) if month == 10 else (year, month + 3)
+
+
+def with_next_page(current: DataFrame, following: DataFrame | None) -> DataFrame:
+    """Entries of a season's page and, if there are any and the next season's page is at hand, of that page."""
+    return current if following is None or current.isEmpty() else current.unionByName(following)

@@ -77,6 +77,104 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return hadoop, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file in whatever store the path names."""
+    _, files, target = _files(spark, path)
+    out = files.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def replace_document(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a JSON document: written beside it first, the old one kept as ``.bak``, then put in its place by renaming.
+
+    What is no JSON is refused before anything is touched; if the renaming
+    fails, the old document is put back.
+    """
+    json.loads(text)
+    hadoop, files, target = _files(spark, path)
+    fresh, backup = hadoop.Path(f"{path}.tmp"), hadoop.Path(f"{path}.bak")
+    _put(spark, f"{path}.tmp", text)
+    had = files.exists(target)
+    if had:
+        files.delete(backup, False)
+        if not files.rename(target, backup):
+            raise LibraryError("CACHE_WRITE_FAILED", "the old document could not be set aside")
+    if not files.rename(fresh, target):
+        if had:
+            files.rename(backup, target)
+        raise LibraryError("CACHE_WRITE_FAILED", "the new document could not be put in place")
+
+
+def document_of(items: DataFrame, updated: str, generated: str) -> str:
+    """Items as a library document, checked; for libraries that fit the driver, which a document does."""
+    blocked = quality.header_issues(1, updated, generated) + [tuple(r) for r in quality.issues(items).where("severity = 'error'").limit(100).collect()]
+    if blocked:
+        raise LibraryError("CACHE_VALIDATION_FAILED", "the items have errors", blocked)
+    order = ["ordinal"] if "ordinal" in items.columns else ["id"]
+    rows = items.orderBy(*order).select(F.to_json(F.struct(*T.ITEM.fieldNames()), {"ignoreNullFields": "false"}).alias("line")).collect()
+    head = {"schemaVersion": 1, "updatedAt": updated, "generatedBy": generated}
+    return json.dumps(head | {"items": [json.loads(r.line) for r in rows]}, ensure_ascii=False, indent=2)
+
+
+#: The status of a library that was never refreshed.
+EMPTY_STATUS = {"schemaVersion": 1, "status": "idle", "lastSuccessAt": None, "lastAttemptAt": None, "lastError": None, "currentJob": None, "cache": {"animeUpdatedAt": None, "itemCount": 0}}
+
+
+def bootstrap(spark: SparkSession, folder: str, now: str) -> None:
+    """Make what a store needs and does not have: an empty library and an empty status."""
+    empty = {"schemaVersion": 1, "updatedAt": now, "generatedBy": "migration", "items": []}
+    for name, content in (("library.json", empty), ("status.json", EMPTY_STATUS)):
+        _, files, target = _files(spark, f"{folder}/{name}")
+        if not files.exists(target):
+            _put(spark, f"{folder}/{name}", json.dumps(content, ensure_ascii=False, indent=2))
+
+
+def read_status(spark: SparkSession, path: str, now: str, seconds: int = 900) -> DataFrame:
+    """The status, with a lock that has run out released; what that changes is written back."""
+    try:
+        found = spark.read.schema(T.STATUS).json(path, multiLine=True)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.read.schema(T.STATUS).json(spark.sparkContext.parallelize([json.dumps(EMPTY_STATUS)]))
+    healed = expire_lock(found, now, seconds)
+    line = lambda d: d.select(F.to_json(F.struct(*T.STATUS.fieldNames()), {"ignoreNullFields": "false"})).first()[0]
+    before, after = line(found), line(healed)
+    if before != after:
+        replace_document(spark, path, json.dumps(json.loads(after), ensure_ascii=False, indent=2))
+    return spark.createDataFrame([(after,)], "line string").select(F.from_json("line", T.STATUS).alias("s")).select("s.*")
+
+
+def succeeded(status: DataFrame, at: str, items: int) -> DataFrame:
+    """The status after a refresh that ended well."""
+    return status.select(
+        F.lit(1).alias("schemaVersion"), F.lit("success").alias("status"), F.lit(at).alias("lastSuccessAt"), F.coalesce("currentJob.startedAt", F.lit(at)).alias("lastAttemptAt"),
+        F.lit(None).cast(T.STATUS["lastError"].dataType).alias("lastError"), F.lit(None).cast(T.STATUS["currentJob"].dataType).alias("currentJob"),
+        F.struct(F.lit(at).alias("animeUpdatedAt"), F.lit(items).alias("itemCount")).alias("cache"),
+    )
+
+
+def failed(status: DataFrame, at: str, code: str, message: str) -> DataFrame:
+    """The status after a refresh that failed: the last success and the counts stay those of the library there is."""
+    error = F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(at).alias("at"))
+    job = F.lit(None).cast(T.STATUS["currentJob"].dataType)
+    return status.select(
+        F.lit(1).alias("schemaVersion"), F.lit("failed").alias("status"), "lastSuccessAt", F.coalesce("currentJob.startedAt", F.lit(at)).alias("lastAttemptAt"), error.alias("lastError"), job.alias("currentJob"), "cache",
+    )
+
+
+def write_through(spark: SparkSession, path: str, rows: Sequence[dict], source: str) -> list[tuple]:
+    """Keep a source's rows as a document for the next time; none are not kept, and a failure is an issue, not an end."""
+    if not rows:
+        return []
+    try:
+        replace_document(spark, path, json.dumps(list(rows), ensure_ascii=False, indent=2))
+    except Exception as error:  # the rows themselves are there all the same
+        return [(source, "CACHE_WRITE_FAILED", str(error), True, None, None)]
+    return []
+
+
 def append_log(spark: SparkSession, entry: dict, path: str) -> None:
     """Append a line to a log of JSON lines."""
     spark.createDataFrame([(json.dumps(entry, ensure_ascii=False),)], "value string").coalesce(1).write.mode("append").text(path)

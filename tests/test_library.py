@@ -6,8 +6,9 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.functions import seasons
 from loomline.operators import listing, prefs, quality, rules
-from loomline.sources import library
+from loomline.sources import catalogue_html, library, remote
 
 from .items import NOW, bound, episode, frame, item, source
 
@@ -116,3 +117,70 @@ def test_files(spark, tmp_path):
     assert late.status == "failed" and late.currentJob is None and late.lastError.code == "STALE_UPDATE_LOCK"
     union, problems = library.union_sources(spark, [("one", lambda: items), ("two", lambda: 1 / 0)])
     assert union.count() == 2 and problems.first().source == "two"
+
+
+def test_season_page_reads_its_own_files(spark, tmp_path):
+    fall = item("c", startDate="2026-10-02", primarySeason={"year": 2026, "quarter": "fall"}, activeSeasons=[{"year": 2026, "quarter": "fall"}], schedule=[episode("2026-10-02")], updateWeekday=5)
+    library.write_table(frame(spark, [item("a"), fall]).drop("ordinal"), str(tmp_path / "t"))
+    page = listing.season_page(library.read_table(spark, str(tmp_path / "t")), 2026, 7, datetime(2027, 5, 1, tzinfo=timezone.utc))
+    plan = page._jdf.queryExecution().toString()
+    assert ids(page) == ["a"] and "(season_quarter" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    for at in (datetime(2026, 6, 16, 15, tzinfo=timezone.utc), datetime(2026, 6, 16, 16, 1), datetime(2026, 12, 17, 16), datetime(2026, 1, 31)):
+        order = spark.range(1).select(seasons.season_order(seasons.current_season(F.to_timestamp(F.lit(at.strftime("%Y-%m-%dT%H:%M:%SZ"))))).alias("o")).first().o
+        assert seasons.order_now(at) == order
+
+
+def test_documents_and_status(spark, tmp_path):
+    folder, path = str(tmp_path), str(tmp_path / "library.json")
+    library.bootstrap(spark, folder, NOW)
+    assert library.read(spark, path).count() == 0
+    library.replace_document(spark, path, library.document_of(frame(spark, [item("a"), item("b")]), NOW, "manual-update"))
+    library.bootstrap(spark, folder, NOW)
+    assert sorted(ids(library.read(spark, path))) == ["a", "b"] and json.loads((tmp_path / "library.json.bak").read_text())["items"] == []
+    kept = (tmp_path / "library.json").read_text()
+    for broken in ("{", ""):
+        with pytest.raises(ValueError):
+            library.replace_document(spark, path, broken)
+    with pytest.raises(library.LibraryError):
+        library.document_of(frame(spark, [item("x", timezone="UTC")]), NOW, "manual-update")
+    with pytest.raises(library.LibraryError):
+        library.document_of(frame(spark, [item("x")]), "yesterday", "manual-update")
+    assert (tmp_path / "library.json").read_text() == kept and not (tmp_path / "library.json.tmp").exists()
+    status = str(tmp_path / "status.json")
+    assert library.read_status(spark, status, NOW).first().status == "idle" and library.read_status(spark, str(tmp_path / "none.json"), NOW).first().cache.itemCount == 0
+    running = library.EMPTY_STATUS | {"status": "running", "lastSuccessAt": "2026-07-01T00:00:00Z", "currentJob": {"jobId": "j", "year": 2026, "season": 7, "quarter": "summer", "startedAt": "2026-07-28T00:00:00Z"}, "cache": {"animeUpdatedAt": "2026-07-01T00:00:00Z", "itemCount": 7}}
+    library.replace_document(spark, status, json.dumps(running))
+    now = library.read_status(spark, status, "2026-07-28T00:10:00Z")
+    good, bad = library.succeeded(now, "2026-07-28T00:11:00Z", 9).first(), library.failed(now, "2026-07-28T00:11:00Z", "X", "y").first()
+    assert (good.status, good.lastAttemptAt, good.cache.itemCount, good.currentJob) == ("success", "2026-07-28T00:00:00Z", 9, None)
+    assert (bad.status, bad.lastSuccessAt, bad.cache.itemCount, bad.lastError.code, bad.currentJob) == ("failed", "2026-07-01T00:00:00Z", 7, "X", None)
+    assert library.read_status(spark, status, "2026-07-28T01:00:00Z").first().status == "failed" and json.loads((tmp_path / "status.json").read_text())["lastError"]["code"] == "STALE_UPDATE_LOCK"
+    cache = tmp_path / "cache.json"
+    assert library.write_through(spark, str(cache), [], "s") == [] and not cache.exists()
+    assert library.write_through(spark, str(cache), [{"id": 1}], "s") == [] and json.loads(cache.read_text()) == [{"id": 1}]
+    (tmp_path / "file").write_text("x")
+    assert library.write_through(spark, str(tmp_path / "file" / "below.json"), [{"id": 1}], "s")[0][1] == "CACHE_WRITE_FAILED"
+
+
+def test_remote_lists(spark):
+    schema = "id long, name string"
+    schema = spark.createDataFrame([], schema).schema
+    asked = []
+
+    def client(limit, offset):
+        asked.append(offset)
+        rows = [{"id": (offset + k) % 250, "name": f"n{offset + k}", "more": 1} for k in range(limit if offset < 200 else 60)]
+        return 200, json.dumps({"data": rows})
+
+    got = remote.listed(spark, client, schema).collect()
+    assert asked == [0, 100, 200] and len(got) == 250 and [got[0].id, got[0].name, got[9].name, got[10].name] == [0, "n250", "n259", "n10"]
+    endless = lambda limit, offset: (200, json.dumps({"data": [{"id": offset + k} for k in range(limit)]}))
+    assert sum(map(len, remote.pages(endless))) == 1100
+    for answer, code in (((429, ""), "RATE_LIMITED"), ((500, ""), "API_ERROR"), ((200, "<"), "SOURCE_SCHEMA_CHANGED"), ((200, "[]"), "SOURCE_SCHEMA_CHANGED")):
+        with pytest.raises(remote.RemoteError) as error:
+            list(remote.pages(lambda limit, offset, answer=answer: answer))
+        assert error.value.code == code
+    rows, failed = remote.details(spark, lambda n: (200, json.dumps({"id": n, "name": "x"})) if n != 2 else 1 / 0, [1, 2, 2, 3], schema)
+    assert sorted(r.id for r in rows.collect()) == [1, 3] and [f[:2] for f in failed] == [(2, "NETWORK_FAILED")]
+    one = spark.createDataFrame([(1,)], "id int")
+    assert catalogue_html.with_next_page(one, one).count() == 2 and catalogue_html.with_next_page(one.limit(0), one).count() == 0 and catalogue_html.with_next_page(one, None).count() == 1
