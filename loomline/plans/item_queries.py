@@ -234,10 +234,9 @@ def renewal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "status", F.col("createdAt").alias("created"), F.col("startDate").alias("started"), F.col("updateTime").alias("time"), F.col("updateWeekday").alias("weekday"), last.alias("last"), F.col("bangumi.rating").alias("rating"), F.size("sources").alias("sources"))
 
 
-@query("""WITH n AS (SELECT o_orderkey AS k, l_linenumber, l_shipdate, l_returnflag, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
-SELECT k, sum(CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END) AS kept, count(*) AS n FROM n GROUP BY 1""")
+@query("""SELECT k, CAST(sum(timed) AS BIGINT) AS kept, count(*) AS n FROM (SELECT l_orderkey AS k, l_linenumber, CAST(l_shipdate AS DATE) AS day, max(CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END) AS timed FROM lineitem GROUP BY ALL) GROUP BY 1""")
 def timed_entry_preserve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schedules of order lines; entries that the older schedule has a time for take the place of the new ones."""
+    """Schedules of order lines; entries that the older schedule has a time for take the place of the new ones, and repeated ones go."""
     lines = table(spark, sf_dir, "lineitem")
     entry = lambda time: F.struct(F.col("l_linenumber").cast("int").alias("episodeNumber"), F.lit(None).alias("episodeTitle"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("airDate"), time.alias("airTime"), F.lit(S.JAPAN).alias("timezone"), F.lit("confirmed").alias("status"), F.lit(None).cast(T.SOURCE).alias("source"), F.lit(None).alias("rawTimeText")).cast(T.EPISODE)
     old = F.when(F.col("l_returnflag") != "N", F.lit("22:00"))
