@@ -7,7 +7,7 @@ that sorts.  Predicates are two-valued: a null operand makes them false.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,6 +128,13 @@ def order_now(now: datetime) -> int:
     return month - month % 3 + 1
 
 
+def start_bounds(order: int) -> tuple[date, date]:
+    """The first day whose start counts for a season, and the first day after those: a plain range that scans can use."""
+    year, month = divmod(order - 1, 12)
+    before = date(year, month, 1) if month else date(year - 1, 12, 1)
+    return before.replace(day=LEAD_DAY[before.month]), date(year, month + 3, LEAD_DAY[month + 3])
+
+
 def same_season(left: Column, right: Column) -> Column:
     return yes((left["year"] == right["year"]) & (left["quarter"] == right["quarter"]))
 

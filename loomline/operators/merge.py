@@ -27,7 +27,6 @@ Row = Mapping[str, Column]
 LEFT_FIRST = ("startDate", "endDate", "primarySeason", "officialUrl", "coverImage", "episodeCount", "airedEpisodeCount", "updateTime")
 #: Columns that a catalogue's row takes from others where it has none.
 FILLED = ("coverImage", "episodeCount", "airedEpisodeCount")
-SLOT = ("updateWeekday", "updateTime", "timezone")
 #: Names of sources by their role, and states that end a row.
 CATALOGUE, DATABASE = "YucWiki", "Bangumi"
 REVIEWERS = ("Bahamut Anime Crazy", "YourAnimes")

@@ -55,6 +55,10 @@ def active_seasons_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page(rows: DataFrame, actual: int) -> DataFrame:
     """A season's page: rows that count for it and, if it is the current one, older ones that still run; by weekday, price, start and key."""
+    first, after = S.start_bounds(ASKED)
+    # The range that the season implies reaches the scan; the rules on it do not.
+    day = F.col("o_orderdate")
+    rows = rows.where(day < F.lit(after) if actual == ASKED else (day >= F.lit(first)) & (day < F.lit(after)))
     order = F.col("primary")
     runs = F.array_contains("active", ASKED)
     seen = rows.where((order == ASKED) | (F.lit(ASKED == actual) & (order < ASKED) & runs)).withColumn("weekday", S.update_weekday(F.lit(None).cast("int"), F.col("schedule"), F.col("start")))

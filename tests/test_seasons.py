@@ -1,5 +1,7 @@
 """Dates, seasons, slots and lifecycles on fixed vectors."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from loomline.functions import seasons as S
@@ -73,3 +75,11 @@ def test_text(spark):
     assert [x.r for x in rows] == ["銀河", "été", "ＡＢＣ　d", None] and rows[2].c == "abc d" and rows[2].m == "abcd" and rows[3].m is None
     r = one(spark, a=X.numeral(F.lit("二十三")), b=X.numeral(F.lit("十")), c=X.numeral(F.lit("x")), d=X.numeral(F.lit("12")), e=X.trim(F.lit("　a \t")), g=X.genres(F.array(F.lit("a love story"), F.lit("魔法少女"), F.lit("glove"))))
     assert (r.a, r.b, r.c, r.d, r.e) == (23, 10, None, 12, "a") and r.g == ["恋爱", "奇幻"]
+
+
+def test_start_bounds_are_those_of_primary_seasons(spark):
+    for order in (2026 * 12 + 1, 2026 * 12 + 4, 2026 * 12 + 7, 2026 * 12 + 10):
+        first, after = S.start_bounds(order)
+        days = [first - timedelta(days=1), first, after - timedelta(days=1), after]
+        got = [r.o for r in spark.createDataFrame([(str(d),) for d in days], "d string").select(S.primary_order(F.col("d")).alias("o")).collect()]
+        assert got == [order - 3, order, order, order + 3]
