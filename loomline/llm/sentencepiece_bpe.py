@@ -117,13 +117,16 @@ class PieceModel:
         found = self._known.get(cut)
         if found is not None:
             return found
-        ids: list[int] = []
-        for known, run in itertools.groupby(cut, self.alphabet.__contains__):
-            if known:
-                ids += self._encode_known("".join(run))
-            else:
-                ids += [self.byte_id[b] for b in "".join(run).encode()]
-        out = tuple(ids)
+        if self.alphabet.issuperset(cut):
+            out = tuple(self._encode_known(cut))
+        else:
+            ids: list[int] = []
+            for known, run in itertools.groupby(cut, self.alphabet.__contains__):
+                if known:
+                    ids += self._encode_known("".join(run))
+                else:
+                    ids += [self.byte_id[b] for b in "".join(run).encode()]
+            out = tuple(ids)
         if len(cut) <= REMEMBERED_CHARS:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
@@ -132,13 +135,13 @@ class PieceModel:
 
     def encode(self, text: str) -> array:
         """Ids of a text, with begin and end."""
-        ids = array("I", [self.begin])
+        ids, known = [self.begin], self._known.get
         if text:
             whole = self.prefix + text.replace(" ", SPACE)
             for cut in self._cut(whole) if self._cut else [whole]:
-                ids.extend(self._known.get(cut) or self._encode_cut(cut))
+                ids += known(cut) or self._encode_cut(cut)
         ids.append(self.end)
-        return ids
+        return array("I", ids)
 
     def decode(self, ids) -> str:
         """The text of ids: control pieces are left out, bytes joined, and the mark before the first word removed."""
