@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as types_
 
+from ..functions import titles
 from ..operators import records as R
 
 #: Rows of a page, and the last offset that is asked for.
 PAGE_ROWS, LAST_OFFSET = 100, 1000
+#: Forms of an item's titles that are searched for, and subjects found that are looked at.
+MOST_TITLES, MOST_FOUND = 8, 12
 
 #: What a client answers: the status of the response and its text.
 Answer = tuple[int, str]
@@ -75,6 +78,25 @@ def listed(spark: SparkSession, client: Callable[[int, int], Answer], schema: ty
     return R.last_by_key(rows, [key], "_ordinal").orderBy("place").select(*schema.fieldNames())
 
 
+def searched(spark: SparkSession, client: Callable[[str], Answer], entries: Iterable[tuple[str, str]], schema: types_.StructType, most_titles: int = MOST_TITLES, most: int = MOST_FOUND, key: str = "id") -> tuple[DataFrame, list[tuple]]:
+    """What a source finds by the forms of a row's titles, (field, raw): the first ``most`` by key, in the order seen, and the searches that failed.
+
+    Both limits are the source's, which answers few requests; candidates of a
+    whole table come from ``match.candidate_pairs``, which has none.
+    """
+    seen: dict[object, dict] = {}
+    failed = []
+    for title in titles.search_titles(list(entries), most_titles):
+        try:
+            found = fetched(client, title)
+        except RemoteError as error:
+            failed.append((title, error.code, str(error)))
+            continue
+        for row in found.get("data") or [] if isinstance(found, dict) else []:
+            seen.setdefault(row[key], row)
+    return rows_of(spark, list(seen.values())[:most], schema), failed
+
+
 def details(spark: SparkSession, client: Callable[[int], Answer], ids: Iterable[int], schema: types_.StructType) -> tuple[DataFrame, list[tuple]]:
     """Details of some rows by id, and (id, code, message) of those that could not be had."""
     got, failed = [], []

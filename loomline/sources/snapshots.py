@@ -15,7 +15,7 @@ from ..functions import seasons as S
 from ..functions import text as X
 from ..operators import match, rules
 from ..operators import records as R
-from .library import item_from
+from .library import empty_rating, item_from
 
 #: A subject as it is read: its bag's values stay JSON, as their type differs.
 _RAW = PT.StructType([f if f.name != "infobox" else PT.StructField("infobox", PT.StringType()) for f in T.SUBJECT.fields])
@@ -134,6 +134,20 @@ def cover(images: Column) -> Column:
     return F.when(images.isNotNull(), sizes)
 
 
+def placeholder(spark: SparkSession, year: int, month: int, at: str) -> DataFrame:
+    """The one item that stands for a season whose snapshot can't be had: nothing is known of it, and it needs a review."""
+    quarter = S.month_quarter(F.lit(month))
+    season = F.struct(F.lit(year).alias("year"), quarter.alias("quarter"))
+    named = lambda form: F.format_string(form, F.lit(year), quarter)
+    blank = F.lit(None).cast("string")
+    return item_from(
+        spark.range(1), id=named("anime:mock-bangumi-%d-%s"), title=F.struct(named("Mock Bangumi %d %s").alias("original"), blank.alias("japanese"), blank.alias("chinese"), blank.alias("english"), F.array().cast("array<string>").alias("aliases")),
+        format=F.lit("unknown"), status=F.lit("unknown"), startDate=F.lit(f"{year}-{month:02d}-01"), datePrecision=F.lit("day"), primarySeason=season, activeSeasons=F.array(season), timezone=F.lit(S.JAPAN),
+        isJapaneseAnime=F.lit(True), inclusionStatus=F.lit("needs_review"), externalIds=F.struct(F.lit(None).cast("long").alias("bangumiSubjectId"), blank.alias("bahamutSn")), bangumi=empty_rating(F.lit(None)),
+        schedule=F.array().cast(PT.ArrayType(T.EPISODE)), sources=F.array().cast(PT.ArrayType(T.SOURCE)), dataStatus=F.lit("unverified"), updatedAt=F.lit(at), createdAt=F.lit(at),
+    )
+
+
 def to_items(subjects: DataFrame, at: str, episodes: DataFrame | None = None) -> DataFrame:
     """Items of subjects; ``episodes`` has the columns of an episode, with subject_id."""
     rows = with_facts(subjects).withColumn("_source", source_struct(F.col("id"), F.lit(at)))

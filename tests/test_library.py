@@ -83,6 +83,12 @@ def test_audit(spark):
     assert buckets["nonTv"] == (1, ["c"]) and buckets["missingCover"] == (1, ["d"]) and buckets["finishedWithUpdateSlot"] == (1, ["d"]) and buckets["missingBangumiSubject"][0] == 2 and buckets["excludedStatus"] == (0, [])
     assert [(r.key, r.members) for r in found["subjects_same_season"].collect()] == [(7, ["a", "b"])] and [r.members for r in found["titles"].collect()] == [["a", "c"]]
     assert [tuple(r) for r in found["sources"].collect()] == [("YucWiki", 4)]
+    errors, rows = quality.audit_failures(found)
+    blocked = sum(buckets[name][0] for name in quality.BLOCKING)
+    assert rows == blocked + 2 and errors == sum(r.n for r in found["issues"].collect() if r.issue.startswith("error:"))
+    assert quality.exit_code((errors, rows)) == 1
+    tidy = quality.audit_failures(quality.audit(frame(spark, [bound("a", 7, coverImage={"large": "l", "medium": None, "small": None, "source": "bangumi"})])))
+    assert tidy == (0, 0) and quality.exit_code(tidy) == 0
 
 
 def test_preferences(spark):
@@ -182,5 +188,9 @@ def test_remote_lists(spark):
         assert error.value.code == code
     rows, failed = remote.details(spark, lambda n: (200, json.dumps({"id": n, "name": "x"})) if n != 2 else 1 / 0, [1, 2, 2, 3], schema)
     assert sorted(r.id for r in rows.collect()) == [1, 3] and [f[:2] for f in failed] == [(2, "NETWORK_FAILED")]
+    found = {"aa": [{"id": 3, "name": "x"}, {"id": 1, "name": "y"}], "bb": [{"id": 1, "name": "z"}, *({"id": k, "name": "w"} for k in range(10, 30))]}
+    rows, failed = remote.searched(spark, lambda title: (200, json.dumps({"data": found[title]})), [("original", "aa"), ("alias", "cc"), ("alias", "bb")], schema)
+    assert [tuple(r) for r in rows.collect()] == [(3, "x"), (1, "y"), *((k, "w") for k in range(10, 20))] and [f[:2] for f in failed] == [("cc", "NETWORK_FAILED")]
+    assert remote.searched(spark, lambda title: (500, ""), [], schema)[0].count() == 0
     one = spark.createDataFrame([(1,)], "id int")
     assert catalogue_html.with_next_page(one, one).count() == 2 and catalogue_html.with_next_page(one.limit(0), one).count() == 0 and catalogue_html.with_next_page(one, None).count() == 1

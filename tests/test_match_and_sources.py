@@ -71,6 +71,13 @@ def test_candidates_come_from_blocks(spark):
     assert known == 322900
 
 
+def test_placeholder(spark):
+    made = snapshots.placeholder(spark, 2026, 7, NOW)
+    r = made.first()
+    assert (r.id, r.title.original, r.startDate, r.primarySeason.quarter, r.inclusionStatus) == ("anime:mock-bangumi-2026-summer", "Mock Bangumi 2026 summer", "2026-07-01", "summer", "needs_review")
+    assert made.schema.simpleString() == schema.ITEM.simpleString() and r.sources == [] and r.schedule == [] and [tuple(s) for s in r.activeSeasons] == [(2026, "summer")]
+
+
 def test_snapshots(spark, tmp_path):
     one = {"id": 1, "type": 2, "name": "銀河".encode().decode("latin-1"), "name_cn": "银河", "date": "2026-07-03", "platform": "TV", "eps": 1, "rating": {"score": 7.1, "total": 60, "rank": 3}, "images": {"large": "l", "common": "c"},
            "infobox": [{"key": "别名", "value": [{"v": "Galaxy"}, {"v": "银河"}]}, {"key": "官方网站", "value": "https://g.jp/"}, {"key": "动画制作", "value": "MAPPA"}], "tags": [{"name": "TV", "count": 3}]}
