@@ -5,11 +5,11 @@ one is applied to a document's shingles, the other, shifted by one place more
 for each coordinate, gives the values whose least is the coordinate.  Documents
 that agree in a band are candidates, and links are confirmed on the full sets.
 
-Documents with the same words in the same order are one node, so copies cost
-nothing further.  In a bucket all nodes are compared with one of them first.
-Buckets whose nodes then still lie in several components have those outside of
-its largest component compared with each other and with that one, pair by pair,
-in blocks of bounded size; no pair that shares a bucket is left out unless its
+Documents with the same words in the same order are one node; their words are
+compared in full once, and copies cost nothing further.  In a bucket all nodes
+are compared with one of them first.  Buckets whose nodes then still lie in
+several components have those outside of its largest component compared with
+each other and with that one, pair by pair, in blocks of bounded size; no pair that shares a bucket is left out unless its
 nodes are known to be connected, or their signatures rule a link out.
 """
 
@@ -173,11 +173,51 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+_KEYED_TEXT = "node binary, salt int, salts int, text string"
+
+
 def _texts_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows that were joined by id, those whose text is the node's: an id may stand for several texts."""
     for batch in batches:
         good = [node_key(words_of(t.as_py())) == n.as_py() for t, n in zip(batch.column("text"), batch.column("node"), strict=True)]
-        yield batch.select(["node", "text"]).filter(pa.array(good, pa.bool_()))
+        yield batch.select(["node", "salt", "salts", "text"]).filter(pa.array(good, pa.bool_()))
+
+
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each (node, salt) of sorted rows, after comparing the words of all others with its own in full.
+
+    Texts of different words under one key would make a wrong node, so they end the work with an error.
+    """
+    group, text, words = None, None, None
+    for batch in batches:
+        begins = []
+        for *key, own in zip(batch.column("node"), batch.column("salt"), batch.column("text"), strict=True):
+            key, own = [k.as_py() for k in key], own.as_py()
+            begins.append(key != group)
+            if begins[-1]:
+                group, text, words = key, own, None
+            elif own != text:
+                words = words_of(text) if words is None else words
+                if words_of(own) != words:
+                    raise RuntimeError("two sequences of words have one node key")
+        yield batch.filter(pa.array(begins, pa.bool_()))
+
+
+def _compared(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """One text of each node, all rows of which were compared in full.
+
+    copies: node, salts, and id and hash of each row's text.  A node's
+    rows are dealt to groups of some HUB_NODES; the groups' first rows, where
+    there are several, are compared in a second round.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & F.col("text_hash").eqNullSafe(F.col("asked_hash"))
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash", F.spark_partition_id()), F.col("salts")).cast("int").alias("salt")
+    matched = rows.join(copies, same).select("node", salt, "salts", "text").mapInArrow(tidy(_texts_of_nodes), _KEYED_TEXT)
+    group = ["node", "salt"]
+    first = scratch.stage(matched.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(_leaders), _KEYED_TEXT), "op4-texts")
+    several = first.where("salts > 1").withColumn("salt", F.lit(0))
+    second = scratch.stage(several.repartition("node").sortWithinPartitions(*group).mapInArrow(tidy(_leaders), _KEYED_TEXT), "op4-texts")
+    return first.where("salts = 1").unionByName(second).select("node", "text")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +375,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signed = scratch.stage(rows.mapInArrow(tidy(_sign), "doc_id long, text_hash long, n_shingles long, node binary, sig binary, bands array<long>"), "op4-signed")
     light = signed.select("doc_id", "text_hash", "n_shingles", "node")
     one = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n_shingles", "bands", "sig")
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("r")).select("node", "r.doc_id", "r.n_shingles", "r.bands", "r.sig")
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("r"), F.count(F.lit(1)).alias("copies")).select("node", "copies", "r.doc_id", "r.n_shingles", "r.bands", "r.sig")
     nodes = scratch.stage(nodes, "op4-nodes")
 
     # Buckets of two nodes or more.  All others of a bucket are compared with its hub first: the node that meets most nodes
@@ -354,10 +394,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stars = stars.groupBy(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).agg(F.max("hub.node").alias("hub"))
     stars = scratch.stage(stars.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), "op4-stars")
 
-    # The texts of all nodes in buckets, once for both rounds.
-    asked = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("asked_id")), "node")
-    matched = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("node", "text")
-    texts = scratch.stage(matched.mapInArrow(tidy(_texts_of_nodes), "node binary, text string").dropDuplicates(["node"]), "op4-texts")
+    # The texts of all nodes in buckets, once for both rounds, and of all copies, which are compared on the way.
+    bucketed = members.select("node").distinct().withColumn("bucketed", F.lit(True))
+    asked = nodes.select("node", "copies").join(bucketed, "node", "left").where("copies > 1 or bucketed")
+    asked = asked.select("node", F.ceil(F.col("copies") / HUB_NODES).cast("int").alias("salts"))
+    asked = light.join(asked, "node").select("node", "salts", F.col("doc_id").alias("asked_id"), F.col("text_hash").alias("asked_hash")).distinct()
+    texts = _compared(rows, asked)
     first = scratch.stage(_confirmed(stars, texts), "op4-links")
 
     roots = scratch.stage(components(first), "op4-roots")

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,20 @@ def test_near(table, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_copies_are_compared(spark, monkeypatch):
+    """Copies in many spacings, dealt to several groups; where keys can't tell texts apart, the work ends instead of linking them."""
+    monkeypatch.setattr(near_dedup, "HUB_NODES", 7)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(k, (" " * (k % 5 + 1)).join(words).upper() + "\t" * (k % 3)) for k in range(60)] + [(None, " ".join(words))] * 20 + [(k, f"other text number {k} " * 4) for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(near_dedup.near_groups(df)) == plain.near(rows)
+    batch = pa.RecordBatch.from_pydict({"node": [b"a", b"a", b"b"], "salt": [0, 0, 0], "salts": [1, 1, 1], "text": ["x  Y", "X y", "z"]})
+    assert [x for b in near_dedup._leaders(iter([batch])) for x in b.column("text").to_pylist()] == ["x  Y", "z"]
+    wrong = pa.RecordBatch.from_pydict({"node": [b"a", b"a"], "salt": [0, 0], "salts": [1, 1], "text": ["x y", "x z"]})
+    with pytest.raises(RuntimeError):
+        list(near_dedup._leaders(iter([wrong])))
+
+
 def test_near_blocks_settle_what_hubs_leave(spark, monkeypatch):
     """Chains of near copies, where the ends are no link of any hub, with blocks of a few rows."""
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
