@@ -9,16 +9,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_SPARK_DEFAULT = "10000"
-#: Documents in an Arrow batch. Spark's default holds tens of megabytes of text, several times over, for each task.
-BATCH_ROWS = 1_000
+#: Documents in an Arrow batch, and their bytes, a longer document being a batch of its own.
+#: Spark's defaults hold tens of megabytes of text, several times over, for each task.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+#: Settings of a batch's size: the key, Spark's default, ours.
+_SIZES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b"))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let the session send documents in batches of BATCH_ROWS, unless it has a size of its own."""
-    if spark.conf.get(_BATCH, _SPARK_DEFAULT) == _SPARK_DEFAULT:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Let the session send documents in batches of BATCH_ROWS and BATCH_BYTES, unless it has sizes of its own."""
+    for key, default, ours in _SIZES:
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
