@@ -63,6 +63,21 @@ def first_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return pairs.groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(F.min_by(F.col(f"r.{right_id}"), F.col(f"r.{right_order}")).alias("match"))
 
 
+def first_of_another(rows: DataFrame, row_id: str, keys: str, same: str, differs: str) -> DataFrame:
+    """For each row, the first other row (by id) that shares one of its keys and ``same``, but not ``differs``: row_id, match.
+
+    Of each key only two rows can be such a first one: the first of all, and the
+    first of those that differ from it.  Both come from aggregations, so no
+    pairs are made.
+    """
+    one = rows.where(F.col(same).isNotNull() & F.col(differs).isNotNull()).select(row_id, same, differs, F.explode(F.array_distinct(keys)).alias("_k")).where(F.col("_k").isNotNull())
+    sides = one.groupBy("_k", same, differs).agg(F.min(row_id).alias("_id"))
+    first = sides.groupBy("_k", same).agg(F.min(F.struct(F.col("_id"), F.col(differs).alias("_side"))).alias("_first"))
+    firsts = sides.join(first, ["_k", same]).groupBy("_k", same, "_first").agg(F.min(F.when(F.col("_first._side") != F.col(differs), F.col("_id"))).alias("_second"))
+    met = one.join(firsts, ["_k", same]).select(row_id, F.when(F.col("_first._side") != F.col(differs), F.col("_first._id")).otherwise(F.col("_second")).alias("_match"))
+    return met.where(F.col("_match").isNotNull()).groupBy(row_id).agg(F.min("_match").alias("match"))
+
+
 def duplicate_groups(rows: DataFrame, key: Column, member: str) -> DataFrame:
     """Keys that more than one row has: key, n, members in order."""
     found = rows.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(member)).alias("members"))

@@ -126,8 +126,7 @@ SELECT l.p_partkey, min(r.p_partkey) AS match FROM w l JOIN w r ON l.k = r.k AND
 def title_overlap_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part, the first of another brand that has its size and shares a word of its name."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", F.split("p_name", " ").alias("words"))
-    other = (F.col("l.p_size") == F.col("r.p_size")) & (F.col("l.p_brand") != F.col("r.p_brand"))
-    return R.first_overlap(rows, rows, "p_partkey", "p_partkey", "words", "p_partkey", other)
+    return R.first_of_another(rows, "p_partkey", "words", "p_size", "p_brand")
 
 
 @query("""SELECT c_custkey, coalesce(s.s_name, f.s_name) AS found, s.s_name IS NOT NULL AS by_id FROM customer LEFT JOIN supplier s ON s.s_suppkey = c_custkey

@@ -34,3 +34,15 @@ def orders():
 @pytest.mark.parametrize("name", ["eligibility_rules", "page_of_current_season", "page_of_past_season", "update_summary", "audit_report", "rule_signals"])
 def test_customers_are_on_no_list(spark, tmp_path, orders, name):
     assert differing(spark, tmp_path, name, orders=orders) == ([], [], 0)
+
+
+def test_first_of_another_brand(spark, tmp_path):
+    """Common words make no pairs; what is not known, meets nothing."""
+    brands = ["a", "a", "b", None, "c", "b"]
+    part = {
+        "p_partkey": pa.array(range(1, 121), pa.int64()), "p_name": ["red ring" if k % 7 else "old ring red" for k in range(120)], "p_brand": [brands[k % 6] for k in range(120)],
+        "p_size": pa.array([None if k % 11 == 0 else k % 5 for k in range(120)], pa.int32()),
+    }
+    assert differing(spark, tmp_path, "title_overlap_first_match", part=part) == ([], [], 0)
+    plan = entry_point.queries()["title_overlap_first_match"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (p_brand" not in plan  # no pairs that differ in it
