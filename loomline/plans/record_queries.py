@@ -9,6 +9,7 @@ from ..functions import seasons as S
 from ..functions import text as X
 from ..operators import listing, prefs
 from ..operators import records as R
+from . import part_pairs
 from .registry import order_of, query, table
 from .season_queries import starts
 
@@ -183,21 +184,6 @@ def prefs_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Matching
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of the same brand and size, scored by their names and prices."""
-    part = table(spark, sf_dir, "part")
-    a, b = part.alias("a"), part.alias("b")
-    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") != F.col("b.p_partkey"))
-    longest = F.greatest(F.length("a.p_name"), F.length("b.p_name"))
-    similarity = F.lit(1.0) - F.levenshtein("a.p_name", "b.p_name") / longest
-    title = F.when(F.col("a.p_name") == F.col("b.p_name"), F.lit(45)).when(similarity >= 0.6, F.floor(F.lit(20) + F.lit(12) * similarity + F.lit(0.5))).otherwise(F.lit(0))
-    gap = F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice"))
-    price = F.when(gap <= 10, F.lit(20)).when(gap <= 100, F.lit(16)).when(gap > 500, F.lit(-18)).otherwise(F.lit(0))
-    kind = F.when(F.col("a.p_type") == F.col("b.p_type"), F.lit(13)).otherwise(F.lit(-7))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), title + price + kind + 20)).cast("int")
-    return a.join(b, on).select(F.col("a.p_partkey").alias("item"), F.col("b.p_partkey").alias("candidate"), score.alias("score"))
-
-
 _PAIRS = """SELECT a.p_partkey AS item, b.p_partkey AS candidate, CAST(greatest(0, least(100, CASE WHEN a.p_name = b.p_name THEN 45 WHEN 1.0::DOUBLE - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.6
   THEN floor(20 + 12 * (1.0::DOUBLE - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name))) + 0.5::DOUBLE) ELSE 0 END
   + CASE WHEN abs(a.p_retailprice - b.p_retailprice) <= 10 THEN 20 WHEN abs(a.p_retailprice - b.p_retailprice) <= 100 THEN 16 WHEN abs(a.p_retailprice - b.p_retailprice) > 500 THEN -18 ELSE 0 END
@@ -206,7 +192,7 @@ _PAIRS = """SELECT a.p_partkey AS item, b.p_partkey AS candidate, CAST(greatest(
 
 @query(_PAIRS)
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir)
+    return part_pairs.scored(spark, sf_dir)
 
 
 _RANKS = f"SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, candidate) AS rank, coalesce(score - lead(score) OVER (PARTITION BY item ORDER BY score DESC, candidate), 100) AS lead FROM ({_PAIRS})"
@@ -214,7 +200,7 @@ _RANKS = f"SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, c
 
 @query(f"SELECT item, candidate, score, CAST(lead AS INTEGER) AS lead, score >= 74 OR (score >= 66 AND lead >= 25) AS accepted FROM ({_RANKS}) WHERE rank = 1")
 def match_top1_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = R.margins(_pairs(spark, sf_dir), ["item"], "score", "candidate").where("rank = 1")
+    best = part_pairs.best(spark, sf_dir)
     return best.select("item", "candidate", "score", "lead", ((F.col("score") >= 74) | ((F.col("score") >= 66) & (F.col("lead") >= 25))).alias("accepted"))
 
 
@@ -224,7 +210,7 @@ _PENALTY = "greatest(0, score - CASE WHEN lead < 5 THEN 20 WHEN lead < 12 THEN 1
 @query(f"""SELECT item, candidate, CAST({_PENALTY} AS INTEGER) AS score, CASE WHEN {_PENALTY} >= 85 AND lead >= 12 THEN 'high' WHEN {_PENALTY} >= 65 THEN 'medium' ELSE 'low' END AS confidence, CAST(rank AS INTEGER) AS rank FROM ({_RANKS})""")
 def match_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A candidate loses points if the next one is close; ranks stay."""
-    ranked = R.margins(_pairs(spark, sf_dir), ["item"], "score", "candidate")
+    ranked = part_pairs.ranked(spark, sf_dir)
     score = F.greatest(F.lit(0), F.col("score") - F.when(F.col("lead") < 5, 20).when(F.col("lead") < 12, 10).otherwise(0))
     confidence = F.when((score >= 85) & (F.col("lead") >= 12), F.lit("high")).when(score >= 65, F.lit("medium")).otherwise(F.lit("low"))
     return ranked.select("item", "candidate", score.cast("int").alias("score"), confidence.alias("confidence"), "rank")

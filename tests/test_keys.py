@@ -46,3 +46,18 @@ def test_first_of_another_brand(spark, tmp_path):
     assert differing(spark, tmp_path, "title_overlap_first_match", part=part) == ([], [], 0)
     plan = entry_point.queries()["title_overlap_first_match"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "NOT (p_brand" not in plan  # no pairs that differ in it
+
+
+@pytest.mark.parametrize("name", ["match_top1_margin", "match_confidence", "fuzzy_pairs"])
+def test_pairs_of_parts(spark, tmp_path, monkeypatch, name):
+    """Null names, kinds and prices, blocks larger than what a task holds at a time, and no join of pairs."""
+    from loomline.plans import part_pairs
+
+    monkeypatch.setattr(part_pairs, "CELLS", 100)
+    names = ["red ring", "red rings", None, "old anvil", "red rink", ""]
+    part = {
+        "p_partkey": pa.array([7 * k % 97 for k in range(97)], pa.int64()), "p_name": [names[k % 6] for k in range(97)], "p_brand": [None if k == 5 else "ab"[k % 2] for k in range(97)],
+        "p_type": [("x", None, "y")[k % 3] for k in range(97)], "p_size": pa.array([k % 3 if k else 9 for k in range(97)], pa.int32()), "p_retailprice": [None if k % 10 == 0 else float(k * k) for k in range(97)],
+    }
+    assert differing(spark, tmp_path, name, part=part) == ([], [], 0)
+    assert "Join" not in entry_point.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
