@@ -171,18 +171,19 @@ def accepted() -> Column:
     return good & (official | (arc & (strong | date)) | (site & date & (score >= 60)) | (score >= 74) | ((score >= 66) & date & (lead >= 25)))
 
 
-def candidate_pairs(items: DataFrame, subjects: DataFrame) -> DataFrame:
+def candidate_pairs(items: DataFrame, subjects: DataFrame, block: str | None = None) -> DataFrame:
     """Pairs that share a title key, or an item's season with a subject's month; nothing else is compared.
 
-    items: struct column i; subjects: struct column s.
+    items: struct column i; subjects: struct column s; block: a column of both, if only rows of the same block may meet.
     """
+    on = ["_k"] if block is None else ["_k", block]
     left = items.withColumn("_keys", _blocking_keys(item_titles(F.col("i.title"))))
     right = subjects.withColumn("_keys", _blocking_keys(subject_titles(F.col("s.name"), F.col("s.name_cn"), F.col("s.aliases"))))
-    by_title = left.withColumn("_k", F.explode("_keys")).join(right.withColumn("_k", F.explode("_keys")).select("s", "_k"), "_k").select("i", "s", F.lit(False).alias("from_month"))
+    by_title = left.withColumn("_k", F.explode("_keys")).join(right.withColumn("_k", F.explode("_keys")).select("s", *on), on).select("i", "s", F.lit(False).alias("from_month"))
     season = F.concat_ws(":", F.col("i.primarySeason.year").cast("string"), F.col("i.primarySeason.quarter"))
     month = S.calendar_season(F.col("s.date"))
-    by_month = left.withColumn("_k", season).join(right.withColumn("_k", F.concat_ws(":", month["year"].cast("string"), month["quarter"])).select("s", "_k"), "_k").select("i", "s", F.lit(True).alias("from_month"))
-    both = by_title.unionByName(by_month)
+    by_month = items.withColumn("_k", season).join(subjects.withColumn("_k", F.concat_ws(":", month["year"].cast("string"), month["quarter"])).select("s", *on), on).select("i", "s", F.lit(True).alias("from_month"))
+    both = by_title.unionByName(by_month).repartition(F.col("i.id"))  # an item's pairs side by side: its title is read once
     return both.groupBy(F.col("i.id").alias("_i"), F.col("s.id").alias("_s")).agg(F.first("i").alias("i"), F.first("s").alias("s"), F.bool_or("from_month").alias("from_month")).drop("_i", "_s")
 
 

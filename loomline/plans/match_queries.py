@@ -13,6 +13,8 @@ from .registry import query, table
 
 #: Parts of a season; a season's items meet all of its subjects, whatever the number of parts.
 TOGETHER = 8
+#: Years of an era: the library's dates have years of four digits, so parts go on in the next era, whose calendar is the same.
+ERA = 8000
 #: What a subject's title is, by key modulo 6, beside the item's own (0): shouted, dashed, prolonged, another, a second season's.
 SHOUTED, DASHED, LONGER, OTHER, SECOND = range(1, 6)
 #: Items of these keys modulo 9 are second seasons.
@@ -21,13 +23,17 @@ _SECOND_SEASON = " 第2期"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with the season's year and quarter (from 0), its fifth day, and a title that no other part has."""
+    """Parts with the season's year in its era and quarter (from 0), its fifth day, and a title that no other part has."""
     season, key = F.floor(F.col("p_partkey") / TOGETHER), F.col("p_partkey").cast("string")
-    rows = table(spark, sf_dir, "part").withColumns({"year": (F.floor(season / 4) + 1900).cast("int"), "quarter": (season % 4).cast("int")})
+    rows = table(spark, sf_dir, "part").withColumns({"year": (F.floor(season / 4) % ERA + 1900).cast("int"), "quarter": (season % 4).cast("int")})
     titled = lambda k: F.concat(F.substring(F.md5(k), 1, 16), F.lit(" "), "p_name")
     return rows.withColumns({"day": F.make_date("year", F.col("quarter") * 3 + 1, F.lit(5)), "title": titled(key), "another": titled(F.concat(key, F.lit("?")))})
 
 
+def _era(key: Column) -> Column:
+    return F.floor(key / (TOGETHER * 4 * ERA)).alias("era")
+
+
 def _items(parts: DataFrame) -> DataFrame:
     key, none = F.col("p_partkey"), F.lit(None).cast("string")
     original = F.when(key % 9 == SEQUEL, F.concat("title", F.lit(_SECOND_SEASON))).otherwise(F.col("title"))
@@ -39,7 +45,7 @@ def _items(parts: DataFrame) -> DataFrame:
         episodeCount=F.lit(12), officialUrl=F.when(key % 3 == 0, F.concat(F.lit("https://example.org/"), key.cast("string"))), sources=F.array(source),
         staff=F.struct(F.array("p_brand").alias("studio"), F.array().cast("array<string>").alias("productionCommittee"), none.alias("originalWorkType")),
     )
-    return items.select(F.struct("*").alias("i"))
+    return items.select(F.struct("*").alias("i"), _era(F.substring_index("id", ":", -1).cast("long")))
 
 
 def _subjects(parts: DataFrame) -> DataFrame:
@@ -54,7 +60,7 @@ def _subjects(parts: DataFrame) -> DataFrame:
         "date": F.when(key % 13 != 0, F.date_add("day", (key % 5).cast("int") * 15).cast("string")), "infobox": box,
     }
     rows = parts.select(*(facts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in T.SUBJECT.fields))
-    return snapshots.with_facts(rows).select(F.struct("*").alias("s"))
+    return snapshots.with_facts(rows).select(F.struct("*").alias("s"), _era(F.col("id")))
 
 
 def _pick(by: Column, values: dict, other: Column) -> Column:
@@ -65,7 +71,7 @@ def _pick(by: Column, values: dict, other: Column) -> Column:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
-    return match.scored(match.candidate_pairs(_items(parts), _subjects(parts)))
+    return match.scored(match.candidate_pairs(_items(parts), _subjects(parts), "era"))
 
 
 def _sorted(names: str) -> Column:

@@ -61,3 +61,11 @@ def test_pairs_of_parts(spark, tmp_path, monkeypatch, name):
     }
     assert differing(spark, tmp_path, name, part=part) == ([], [], 0)
     assert "Join" not in entry_point.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["subject_candidates", "subject_matches"])
+def test_parts_of_later_eras(spark, tmp_path, name):
+    """Parts whose seasons are past the year 9999 meet those of their own season only."""
+    keys = [*range(40), *range(256_000, 256_040), *range(1_199_960, 1_200_000)]
+    part = {"p_partkey": pa.array(keys, pa.int64()), "p_name": ["red ring" if k % 3 else "old anvil" for k in keys], "p_brand": [f"b{k % 2}" for k in keys]}
+    assert differing(spark, tmp_path, name, part=part) == ([], [], 0)

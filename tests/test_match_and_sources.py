@@ -135,3 +135,18 @@ def test_timetables(spark):
     assert a["丙"].updateWeekday == 6 and a["丙"].id == "anime:bahamut:9" and a["丙"].sources[0].type == "streaming_platform"
 
 
+
+
+def test_edit_distance_is_the_plain_one():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    texts = ["", "a", "ab", "ba", "星の物語", "星の話", "small ring", "small  rings", "x" * 70, "x" * 69 + "y"]
+    assert all(titles.edit_distance(a, b) == plain(a, b) for a in texts for b in texts)
+    pairs = [(titles.normal(a), titles.normal(b)) for a in texts for b in texts]
+    assert all(titles.alike(a, b) == (s if (s := titles.similarity(a.plain, b.plain)) >= titles.ALIKE else 0) for a, b in pairs)
