@@ -25,7 +25,8 @@ _SECOND_SEASON = " 第2期"
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with the season's year in its era and quarter (from 0), its fifth day, and a title that no other part has."""
     season, key = F.floor(F.col("p_partkey") / TOGETHER), F.col("p_partkey").cast("string")
-    rows = table(spark, sf_dir, "part").withColumns({"year": (F.floor(season / 4) % ERA + 1900).cast("int"), "quarter": (season % 4).cast("int")})
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the file is small, what is made of a part is not
+    rows = table(spark, sf_dir, "part").repartition(tasks, "p_partkey").withColumns({"year": (F.floor(season / 4) % ERA + 1900).cast("int"), "quarter": (season % 4).cast("int")})
     titled = lambda k: F.concat(F.substring(F.md5(k), 1, 16), F.lit(" "), "p_name")
     return rows.withColumns({"day": F.make_date("year", F.col("quarter") * 3 + 1, F.lit(5)), "title": titled(key), "another": titled(F.concat(key, F.lit("?")))})
 
@@ -71,11 +72,11 @@ def _pick(by: Column, values: dict, other: Column) -> Column:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
-    return match.scored(match.candidate_pairs(_items(parts), _subjects(parts), "era"))
+    return match.scored(match.candidate_pairs(_items(parts), _subjects(parts), "era", light=True))
 
 
 def _sorted(names: str) -> Column:
-    return F.array_join(F.array_sort(names), ",")
+    return F.array_join(F.sort_array(names), ",")
 
 
 _SCORED = f"""p AS (SELECT *, p_partkey AS k, make_date(1900 + p_partkey // {TOGETHER} // 4, p_partkey // {TOGETHER} % 4 * 3 + 1, 5) AS day, length(replace(p_name, ' ', '')) + 16 AS n FROM part),

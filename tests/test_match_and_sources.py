@@ -150,3 +150,12 @@ def test_edit_distance_is_the_plain_one():
     assert all(titles.edit_distance(a, b) == plain(a, b) for a in texts for b in texts)
     pairs = [(titles.normal(a), titles.normal(b)) for a in texts for b in texts]
     assert all(titles.alike(a, b) == (s if (s := titles.similarity(a.plain, b.plain)) >= titles.ALIKE else 0) for a, b in pairs)
+
+
+def test_pairs_are_not_broadcast(spark, tmp_path):
+    """Files that are small by compression may hold more rows than a driver does; and no season is not a season that two rows share."""
+    frame(spark, [item("a", "星の物語", startDate=None, primarySeason=None), item("b", "べつの話")]).select(F.struct("*").alias("i")).write.parquet(f"{tmp_path}/i")
+    snapshots.with_facts(spark.createDataFrame([subject(1, "星の物語", None), subject(2, "むかんけい", None)], schema.SUBJECT)).select(F.struct("*").alias("s")).write.parquet(f"{tmp_path}/s")
+    pairs = match.candidate_pairs(spark.read.parquet(f"{tmp_path}/i"), spark.read.parquet(f"{tmp_path}/s"))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [(r.i.id, r.s.id) for r in pairs.select("i", "s").collect()] == [("a", 1)]
