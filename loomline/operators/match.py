@@ -184,7 +184,7 @@ def _risk(*names: str) -> Column:
 def finalized(rows: DataFrame, item: str = "i.id") -> DataFrame:
     """Ranks, leads, penalties for close candidates, and confidence; ranks are those before the penalty."""
     w = Window.partitionBy(F.col(item)).orderBy(F.col("score").desc(), F.col("s.id"))
-    ranked = rows.withColumn("rank", F.row_number().over(w)).withColumn("lead", F.coalesce(F.col("score") - F.lead("score").over(w), F.lit(100)))
+    ranked = rows.withColumns({"rank": F.row_number().over(w), "lead": F.coalesce(F.col("score") - F.lead("score").over(w), F.lit(100))})  # together, so that pairs are shuffled once
     close = F.col("lead") < 12
     points = F.greatest(F.lit(0), F.col("score") - F.when(F.col("lead") < 5, 20).when(close, 10).otherwise(0))
     ranked = ranked.withColumn("risks", F.when(close, F.array_union("risks", F.array(F.lit("multiple_close_candidates")))).otherwise(F.col("risks"))).withColumn("final", points)

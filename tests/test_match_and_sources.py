@@ -159,3 +159,9 @@ def test_pairs_are_not_broadcast(spark, tmp_path):
     pairs = match.candidate_pairs(spark.read.parquet(f"{tmp_path}/i"), spark.read.parquet(f"{tmp_path}/s"))
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert [(r.i.id, r.s.id) for r in pairs.select("i", "s").collect()] == [("a", 1)]
+
+
+def test_ranks_and_leads_take_one_shuffle(spark):
+    rows = spark.createDataFrame([("a", 1, 2, 80, [])], "i string, s long, type int, score int, risks array<string>")
+    ranked = match.finalized(rows.select(F.struct(F.col("i").alias("id")).alias("i"), F.struct(F.col("s").alias("id"), "type").alias("s"), "score", "risks"))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
